@@ -145,13 +145,14 @@ def islands(
     return ordered_scan(flagged, keys, order, chunk, {name: running_sum(F.col("__new"))}).drop("__new")
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], width: float,
+def rank_picks(
+    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column], width: float,
 ) -> DataFrame:
-    """Linearly interpolated quantiles per key, exact, without gathering a group.
+    """The values at given ranks (from 0, as expressions over ``__total``) of each key's sorted values.
 
-    Equal values are counted first (map-side combined), the counts are run up in value order in chunks
-    of ``width``, and only the two values around each rank are picked out.
+    Exact, without gathering a group: equal values are counted first (map-side combined), the counts are run
+    up in value order in chunks of ``width``, and only the values at the ranks are picked out. A rank past
+    the end, or NULL, picks NULL.
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
@@ -159,15 +160,18 @@ def exact_quantiles(
     run = ordered_scan(counts, keys, [value], F.floor(F.col(value) / F.lit(width)),
                        {"__to": running_sum(F.col("__n"))}).join(totals, keys)
     first, past = F.col("__to") - F.col("__n"), F.col("__to")
-    picked = []
-    for name, p in probs.items():
-        rank = F.lit(p) * (F.col("__total") - 1)
-        for tag, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            picked.append(F.max(F.when((first <= at) & (at < past), F.col(value))).alias(f"__{tag}_{name}"))
-    found = run.groupBy(*keys, "__total").agg(*picked)
-    result = []
+    picked = [F.max(F.when((first <= at) & (at < past), F.col(value))).alias(name) for name, at in ranks.items()]
+    return run.groupBy(*keys, "__total").agg(*picked)
+
+
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], width: float,
+) -> DataFrame:
+    """Linearly interpolated quantiles per key; see ``rank_picks`` for how."""
+    ranks, result = {}, []
     for name, p in probs.items():
         rank = F.lit(p) * (F.col("__total") - 1)
+        ranks |= {f"__lo_{name}": F.floor(rank), f"__hi_{name}": F.ceil(rank)}
         lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
         result.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(name))
-    return found.select(*keys, *result)
+    return rank_picks(df, keys, value, ranks, width).select(*keys, *result)

@@ -17,7 +17,7 @@ BC = """bm AS (SELECT *, max(be) OVER (PARTITION BY key ORDER BY bs, bid ROWS BE
  bg AS (SELECT *, sum(CASE WHEN reach IS NULL OR bs > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY bs, bid) AS grp FROM bm),
  bc AS (SELECT key, min(bs) AS cs, max(be) AS ce, count(*) AS n FROM bg GROUP BY key, grp)"""
 SERIES = EV + f""", series AS (SELECT kind AS key, (t - {EPOCH}) // {HOUR} AS sec,
-  round(-20 - avg(value) / 10, 4) AS loudness, max(value) AS peak, count(*) AS n FROM ev GROUP BY 1, 2)"""
+  round(-20 - avg(value) / 9.7, 7) AS loudness, max(value) AS peak, count(*) AS n FROM ev GROUP BY 1, 2)"""
 PLACED = A + """, pl0 AS (SELECT *, CASE WHEN kind = 'click' THEN 2 ELSE 1 END AS speed FROM a),
  pl1 AS (SELECT *, (e - s) // speed AS len FROM pl0),
  pl AS (SELECT *, CAST(coalesce(sum(len) OVER (PARTITION BY key ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tl,

@@ -61,7 +61,7 @@ def series(spark, sf) -> DataFrame:
     """Hourly levels per event type: key, sec (hours since the epoch of the data), loudness, peak, n."""
     ev = events(spark, sf)
     return ev.groupBy(F.col("kind").alias("key"), F.expr(f"(t - {EPOCH}) div {HOUR}").alias("sec")).agg(
-        F.round(-20 - F.avg("value") / 10, 4).alias("loudness"), F.max("value").alias("peak"),
+        F.round(-20 - F.avg("value") / 9.7, 7).alias("loudness"), F.max("value").alias("peak"),
         F.count(F.lit(1)).alias("n"))
 
 
