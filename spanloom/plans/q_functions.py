@@ -119,15 +119,14 @@ def _blur(c):
 
 
 @query("fn_reading_blur", f"""WITH {q.WORDS}, u AS (SELECT key, ord, prob, lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS unit FROM words), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord) AS pos FROM u WHERE unit <> ''),
- nw AS (SELECT DISTINCT lower(w[1]) AS a, lower(w[2]) AS b FROM (SELECT regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark) WHERE len(w) >= 2),
- p AS (SELECT x.key, x.pos AS start, x.unit AS ua, y.unit AS ub, x.prob < 0.3 OR y.prob < 0.3 AS unsure FROM r x JOIN r y ON x.key = y.key AND y.pos = x.pos + 1)
- SELECT key, start, a || ' ' || b AS name, ua = a AND ub = b AS exact FROM p JOIN nw ON {_blur('ua')} = {_blur('a')} AND {_blur('ub')} = {_blur('b')} WHERE unsure AND NOT (ua = a AND ub = b)""")
+ nw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS a FROM benchmark)
+ SELECT key, pos AS start, a AS name, unit = a AS exact FROM r JOIN nw ON {_blur('unit')} = {_blur('a')} WHERE prob < 0.3 AND unit <> a""")
 def fn_reading_blur(spark, sf):
     from ..operators.ordered import row_number
     w = tb.words(spark, sf).select("key", "ord", (F.col("prob") < 0.3).alias("unsure"), F.lower(bare(F.col("text"))).alias("unit")).where("unit <> ''")
     u = ordered_scan(w, ["key"], ["ord"], by_width("ord", 1_000_000), {"pos": row_number()})
-    first = tb.load(spark, sf, "benchmark").select(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, 2).alias("w")).where("size(w) = 2")
-    names = first.select(F.array_join("w", " ").alias("name"), F.posexplode("w").alias("k", "unit")).distinct()
+    said = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    names = tb.load(spark, sf, "benchmark").select(said.alias("name")).distinct().select("name", F.lit(0).alias("k"), F.col("name").alias("unit"))
     # Here a word reads as it is written; for characters this is the table of their readings.
     readings = u.select("unit").unionByName(names.select("unit")).distinct().withColumn("reading", F.col("unit"))
     return nm.sound_alikes(u, ["key"], "pos", "unit", "unsure", names, readings)
