@@ -29,17 +29,17 @@ def sound_alikes(units: DataFrame, keys: Sequence[str], pos: str, unit: str, uns
     return whole.join(size, "name").where((F.col("__n") == F.col("__size")) & ~F.col("same") & F.col("unsure")).select(*keys, "start", "name", "exact")
 
 
-def missing_terms(texts: DataFrame, text: str, terms: DataFrame, term: str, most: int = 100_000) -> DataFrame:
-    """Terms that no text contains. A prompt's terms are few and go to the tasks as one array; a list past
-    ``most`` is looked up by its words instead."""
-    held = terms.select(F.lower(term).alias("__t")).distinct()
-    if held.limit(most + 1).count() <= most:
-        listed = held.agg(F.collect_list("__t").alias("__terms"))
-        hits = texts.join(F.broadcast(listed)).select(F.explode(F.filter("__terms", lambda t: F.lower(F.col(text)).contains(t))).alias("__t")).distinct()
-    else:
-        # Every substring a term could be starts at some character; terms are matched by length and value.
-        sizes = held.groupBy(F.length("__t").alias("__n")).agg(F.count(F.lit(1)).alias("__c")).agg(F.collect_list("__n").alias("__sizes"))
-        low = texts.select(F.lower(text).alias("__x")).join(F.broadcast(sizes)).withColumn("__n", F.explode("__sizes"))
-        at = low.select("__n", "__x", F.explode(F.expr("sequence(1, greatest(1, length(__x) - __n + 1))")).alias("__i"))
-        hits = at.select(F.expr("substring(__x, __i, __n)").alias("__t")).distinct().join(held, "__t")
-    return terms.withColumn("__t", F.lower(term)).join(hits, "__t", "left_anti").drop("__t")
+def missing_terms(texts: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
+    """Terms (single words or runs of CJK characters) that no text contains.
+
+    A term lies inside one run of word characters, so only the distinct runs matter. Most terms are runs
+    themselves and are settled by an equality join; those left join the runs' substrings of their lengths.
+    """
+    runs = texts.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}'-]+"), F.lit(0))).alias("__r")).distinct()
+    held = terms.select(term, F.lower(term).alias("__t"))
+    left = held.join(runs.withColumnRenamed("__r", "__t"), "__t", "left_anti")
+    # One row a length, and words are short, so a run gives few substrings.
+    sizes = left.select(F.length("__t").alias("__n")).distinct()
+    at = runs.join(sizes, F.length("__r") > F.col("__n")).select(
+        F.explode(F.expr("transform(sequence(1, length(__r) - __n + 1), i -> substring(__r, i, __n))")).alias("__t")).distinct()
+    return left.join(at, "__t", "left_anti").select(term)

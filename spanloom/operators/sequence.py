@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .graph import chain
@@ -286,11 +287,13 @@ def period(series: DataFrame, key: str, index: str, value: str, shortest: int, l
 
 def lag_search(one: DataFrame, other: DataFrame, keys: Sequence[str], index: str, v1: str, v2: str, limit: int, least: float) -> DataFrame:
     """The lag at which ``other`` follows ``one`` best, the smaller move (and the negative one) on equal
-    correlations; NULL under ``least``; ``beyond`` at the limit of the search."""
+    correlations; NULL under ``least``; ``beyond`` at the limit of the search. An ``other`` without the keys
+    is one series all are held against."""
     keys = list(keys)
+    shared = keys if all(k in other.columns for k in keys) else []
     moved = one.select(*keys, v1, F.inline(F.transform(F.sequence(F.lit(-limit), F.lit(limit)), lambda d: F.struct(
         d.alias("lag"), (F.col(index) + d).alias(index)))))
-    c = moved.join(other, [*keys, index]).groupBy(*keys, "lag").agg(F.round(F.corr(v1, v2), 9).alias("c"))
+    c = moved.join(other, [*shared, index]).groupBy(*keys, "lag").agg(F.round(F.corr(v1, v2), 9).alias("c"))
     best = c.where(F.col("c").isNotNull() & ~F.isnan("c")).groupBy(*keys).agg(F.min(F.struct(
         (-F.col("c")).alias("c"), F.abs("lag").alias("a"), "lag")).alias("b"))
     ok = -F.col("b.c") >= least
@@ -410,57 +413,68 @@ def retakes(spans: DataFrame, keys: Sequence[str], index: str, said: str, finish
     return runs.join(last, [*keys, "run"]).select(*spans.columns, "takes", (F.col(index) == F.col("__k.i")).alias("kept"))
 
 
-def follow(pdf: pd.DataFrame, reach: float, hold: float, least: float) -> list[tuple]:
-    """Steps of a position that moves only once what it follows has stayed out of reach long enough."""
-    rows = pdf.sort_values("at")
-    ats, wheres = rows["at"].to_numpy(float), rows["where"].to_numpy(float)
-    steps, drifting = [(ats[0], wheres[0])], None
-    closed = float(rows["closed"].iloc[0])
-    for at, where in zip(ats, wheres):
-        if abs(where - steps[-1][1]) <= reach:
-            drifting = None
-            continue
-        drifting = at if drifting is None else drifting
-        ready = max(drifting, steps[-1][0] + least)
-        if at + 1 - drifting < hold or ready > at + 1:
+def follow(ats: np.ndarray, wheres: np.ndarray, closed: float, reach: float, hold: float, least: float) -> list[tuple]:
+    """Steps of a position that moves only once what it follows has stayed out of reach long enough.
+
+    ``reach`` is the band, ``hold`` how long it has to be left, ``least`` how long every step lasts.
+    """
+    steps, begin = [(float(ats[0]), float(wheres[0]))], 0
+    while begin < len(ats):
+        # The stretch out of the band from here on: its first sample, and those after it without a break.
+        out = np.abs(wheres[begin:] - steps[-1][1]) > reach
+        if not out.any():
+            break
+        first = begin + int(out.argmax())
+        back = np.flatnonzero(~out[first - begin:])
+        past = first + int(back[0]) if len(back) else len(ats)
+        ready = max(ats[first], steps[-1][0] + least)
+        held = np.flatnonzero((ats[first:past] + 1 - ats[first] >= hold) & (ready <= ats[first:past] + 1))
+        if not len(held):
+            begin = past
             continue
         if closed - ready < least:
             break
-        steps.append((ready, where))
-        drifting = None
+        begin = first + int(held[0]) + 1
+        steps.append((float(ready), float(wheres[begin - 1])))
     return steps
 
 
 def hysteresis(samples: DataFrame, clip: Sequence[str], reach: float, hold: float, least: float) -> DataFrame:
-    """Step points of a value followed with a band, a hold time and a dwell, per clip (one shot's samples)."""
-    clip = list(clip)
-    types = dict(samples.dtypes)
+    """Step points of a value followed with a band, a hold time and a dwell, per clip.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = follow(pdf, reach, hold, least)
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in clip), a, w] for a, w in out], columns=[*clip, "at", "where"])
-    return samples.groupBy(*clip).applyInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in clip) + ", at double, where double")
-
-
-def on_grid(cuts: DataFrame, plan: Sequence[str], order: str, length: str, may: str, step: float, within: float) -> DataFrame:
+    A clip is one shot, so its samples are one short array; Arrow batches carry thousands of clips at once.
+    """
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("at", T.DoubleType()), T.StructField("where", T.DoubleType())])))
+    def run(ats: pd.Series, wheres: pd.Series, closed: pd.Series) -> pd.Series:
+        return pd.Series([follow(a, w, c, reach, hold, least) for a, w, c in zip(ats, wheres, closed)])
+    rows = F.array_sort(F.collect_list(F.struct("at", "where")))
+    g = samples.groupBy(*clip).agg(rows.alias("__r"), F.max("closed").alias("__c"))
+    return g.select(*clip, F.inline(run(F.col("__r.at"), F.col("__r.where"), F.col("__c"))))
+
+
+def _settle(lengths: np.ndarray, allowed: np.ndarray, step: float, within: float) -> list[tuple]:
+    """Ends of the windows of one plan moved onto ticks, each against where the ones before it ended."""
+    at, out = 0.0, []
+    for n, (size, ok) in enumerate(zip(lengths, allowed)):
+        ends = at + size
+        want = round(np.floor(ends / step + 0.5) * step - ends, 6) if n + 1 < len(lengths) else 0.0
+        moves = want != 0 and ok and abs(want) <= within and size + want > 0
+        out.append((n, float(want) if moves else 0.0, bool(want != 0 and not moves)))
+        at = round(ends + out[-1][1], 6)
+    return out
+
+
+def on_grid(cuts: DataFrame, plan: Sequence[str], order: str, ident: str, length: str, may: str, step: float, within: float) -> DataFrame:
     """Move each cut of a plan to the nearest tick of a repeating grid when it is near enough and may move;
-    every move shifts the cuts after it. Adds ``shift`` and ``stuck``."""
-    plan = list(plan)
-    schema = ", ".join(f"`{c}` {t}" for c, t in cuts.dtypes) + ", shift double, stuck boolean"
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        at, shifts, stuck = 0.0, [], []
-        lengths, allowed = pdf[length].to_numpy(float), pdf[may].to_numpy(bool)
-        for n, (size, ok) in enumerate(zip(lengths, allowed)):
-            ends = at + size
-            want = round(np.floor(ends / step + 0.5) * step - ends, 6)
-            moves = n + 1 < len(lengths) and want != 0 and ok and abs(want) <= within and size + want > 0
-            shifts.append(want if moves else 0.0)
-            stuck.append(bool(n + 1 < len(lengths) and want != 0 and not moves))
-            at = round(ends + shifts[-1], 6)
-        return pdf.assign(shift=shifts, stuck=stuck)
-    return cuts.groupBy(*plan).applyInPandas(settle, schema)
+    every move shifts the cuts after it. Gives ``shift`` and ``stuck`` per window."""
+    @F.pandas_udf(T.ArrayType(T.StructType([
+        T.StructField("n", T.IntegerType()), T.StructField("shift", T.DoubleType()), T.StructField("stuck", T.BooleanType())])))
+    def run(lengths: pd.Series, allowed: pd.Series) -> pd.Series:
+        return pd.Series([_settle(a, b, step, within) for a, b in zip(lengths, allowed)])
+    rows = F.array_sort(F.collect_list(F.struct(order, ident, F.col(length).alias("__l"), F.col(may).alias("__m"))))
+    g = cuts.groupBy(*plan).agg(rows.alias("__r")).withColumn("__o", run(F.col("__r.__l"), F.col("__r.__m")))
+    return g.select(*plan, F.inline(F.transform("__o", lambda x: F.struct(
+        F.element_at(F.col(f"__r.{ident}"), x["n"] + 1).alias(ident), x["shift"].alias("shift"), x["stuck"].alias("stuck")))))
 
 
 def caption_lines(words: DataFrame, groups: Sequence[str], order: str, text: str, s: str, e: str, characters: int, longest: int) -> DataFrame:

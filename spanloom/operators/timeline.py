@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import clip_kind
 from ..session import cut_lineage
 from . import intervals as iv
-from .ordered import by_width, ordered_scan, prev, row_number
+from .ordered import by_width, ordered_scan, prev, row_number, running_sum
 from .rollup import fingerprint
 
 
@@ -31,14 +31,16 @@ def build_timeline(assets: DataFrame, segments: DataFrame, silences: DataFrame,
     gaps = cut_lineage(between.unionByName(tail).where("ge > gs").withColumn("gap", F.col("gs")))
     quiet = iv.split_gaps(gaps, scenes, ["key"], "gap", ("gs", "ge"), "cut", least, width, chunk_width)
     stretches = said.select("key", "s", "e", "text").unionByName(quiet.select("key", "s", "e", F.lit("").alias("text")))
-    # One rising number over files and time, so the whole build is numbered without one task sorting it.
     build = fingerprint(segments.select("key", "id", "s", "e", "text").unionByName(silences.select(
         "key", F.lit(-1).cast("long").alias("id"), F.col("qs").alias("s"), F.col("qe").alias("e"), F.lit("").alias("text"))).withColumn("__one", F.lit(1)),
         ["__one"], ["key", "id", "s", "e", "text"], version)
-    span = assets.agg((F.floor((F.max("fin") - F.min("begin")) / chunk_width) + 2).alias("__span"), F.min("begin").alias("__zero"))
-    placed = stretches.join(F.broadcast(span)).withColumn("__one", F.lit(1)).withColumn(
-        "__file", F.col("key") * F.col("__span") + F.floor((F.col("s") - F.col("__zero")) / chunk_width))
-    placed = ordered_scan(placed, ["__one"], ["__file", "s"], F.col("__file"), {"n": row_number()}).drop("__one", "__span", "__zero", "__file")
+    # Clips are numbered over all files: within a file by time, and each file starts where the one before it
+    # ended; the counts of the files are run up in slices of the key.
+    stretches = cut_lineage(stretches)
+    counts = stretches.groupBy("key").agg(F.count(F.lit(1)).alias("__c")).withColumn("__one", F.lit(1))
+    starts = ordered_scan(counts, ["__one"], ["key"], by_width("key", 10_000), {"__from": running_sum(F.col("__c"), inclusive=False)})
+    placed = ordered_scan(stretches, ["key"], ["s"], by_width("s", chunk_width), {"__i": row_number()}).join(
+        starts.select("key", "__from"), "key").withColumn("n", F.col("__from") + F.col("__i")).drop("__from", "__i")
     clips = cut_lineage(placed.crossJoin(F.broadcast(build.select("fingerprint"))).withColumn(
         "id", F.concat(F.lit("tl_"), F.substring("fingerprint", 1, 8), F.lit(":u"), F.format_string("%04d", F.col("n") - 1))).drop("fingerprint", "n"))
     on, ids = ["key"], ["id"]

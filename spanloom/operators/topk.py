@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import by_width, exact_quantiles, ordered_scan, running_sum
 
 # So many query vectors go to the tasks at once; a larger table of queries is searched block by block.
@@ -89,10 +90,10 @@ def with_quotas(cands: DataFrame, group: str, item: str, file: str, unread: str,
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
     # No more than `per_file` of a file can be taken whatever happens, and an unread one that many back neither.
     some = cands.where(F.col(unread)).groupBy(group).agg(F.count(F.lit(1)).alias("__u"))
-    base = first(cands, [group, unread, file], per_file, "__f")
+    base = cut_lineage(first(cands, [group, unread, file], per_file, "__f"))
     read = base.where(~F.col(unread)).join(some, group, "left")
     room = places - F.least(F.lit(kept), F.coalesce("__u", F.lit(0)))
-    one = first(read, [group], places, "__n").where(F.col("__n") <= room).select(group, item, file)
+    one = cut_lineage(first(read, [group], places, "__n").where(F.col("__n") <= room).select(group, item, file))
 
     def used(df):
         return df.groupBy(group, file).agg(F.count(F.lit(1)).alias("__used")), df.groupBy(group).agg(F.count(F.lit(1)).alias("__taken"))
@@ -103,7 +104,7 @@ def with_quotas(cands: DataFrame, group: str, item: str, file: str, unread: str,
         again = first(again, [group, file], per_file, "__f").join(by_file, [group, file], "left").join(by_group, group, "left")
         open_ = again.where(F.col("__f") + F.coalesce("__used", F.lit(0)) <= per_file)
         return first(open_, [group], places, "__n").where(F.col("__n") <= places - F.coalesce("__taken", F.lit(0))).select(group, item, file)
-    two = one.unionByName(fill(base.where(F.col(unread)), one))
+    two = cut_lineage(one.unionByName(fill(base.where(F.col(unread)), one)))
     three = two.unionByName(fill(base.where(~F.col(unread)), two))
     chosen = cands.join(three.select(group, item), [group, item], "left_semi")
     w = Window.partitionBy(group).orderBy(F.col(unread), *order)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .graph import components, greedy_match
@@ -57,13 +58,14 @@ def sequence_diff(before: DataFrame, after: DataFrame, plan: Sequence[str], pos:
         return n.withColumnRenamed(pos, f"{tag}_pos")
     j = cut_lineage(numbered(before, "old").join(numbered(after, "new"), [*plan, what, "__occ"], "full"))
     both = j.where(F.col("old_pos").isNotNull() & F.col("new_pos").isNotNull()).select(*plan, "old_pos", "new_pos")
-    types = dict(both.dtypes)
 
-    def stay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("new_pos")
-        return pdf[_staying(pdf["old_pos"].to_numpy())]
-    kept = both.groupBy(*plan).applyInPandas(stay, ", ".join(f"`{c}` {types[c]}" for c in both.columns)).withColumn("__stays", F.lit(True)).drop("old_pos")
-    j = j.join(kept, [*plan, "new_pos"], "left")
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def stays(old: pd.Series) -> pd.Series:
+        return old.map(_staying)
+    # One plan is one short array; an Arrow batch carries thousands of them.
+    rows = both.groupBy(*plan).agg(F.array_sort(F.collect_list(F.struct("new_pos", "old_pos"))).alias("__r"))
+    kept = rows.withColumn("__k", stays(F.col("__r.old_pos"))).select(*plan, F.inline(F.arrays_zip(F.col("__r.new_pos").alias("new_pos"), F.col("__k").alias("__stays"))))
+    j = j.join(kept.where("__stays"), [*plan, "new_pos"], "left")
     status = F.when(F.col("old_pos").isNull(), "added").when(F.col("new_pos").isNull(), "dropped").when(
         F.col("__stays").isNull(), "moved").when(F.col("__old") == F.col("__new"), "kept").otherwise("retrimmed")
     return j.select(*plan, what, "old_pos", "new_pos", status.alias("status"))

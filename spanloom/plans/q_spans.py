@@ -38,14 +38,15 @@ _RUNS = """r0 AS (SELECT *, bvalue > 50 AS dear FROM b), r1 AS (SELECT *, lag(de
  r4 AS (SELECT *, sum(CASE WHEN reach IS NULL OR bs - reach > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY key, run ORDER BY bs, bid) AS grp FROM r3)"""
 
 
-@query("sp_coalesce_guarded", f"""WITH {q.B}, {_RUNS} SELECT key, min(bs) AS bs, max(be) AS be, count(*) AS n, string_agg(CAST(bid AS VARCHAR), ',' ORDER BY bs, bid) AS ids FROM r4 GROUP BY key, run, grp""")
+@query("sp_coalesce_guarded", f"""WITH {q.B}, {_RUNS} SELECT key, min(bs) AS bs, max(be) AS be, count(*) AS n, arg_min(bid, (bs, bid)) AS first_id, arg_max(bid, (bs, bid)) AS last_id FROM r4 GROUP BY key, run, grp""")
 def sp_coalesce_guarded(spark, sf):
     b = tb.spans_b(spark, sf).withColumn("dear", F.col("bvalue") > 50)
     runs = iv.islands(b, ["key"], ["bs", "bid"], by_width("bs", tb.CHUNK), {"__d": prev(F.col("dear"))},
                       F.col("dear") != F.col("__d"), "run")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bs", "bid"))), lambda x: x["bid"].cast("string")), ",")
-    return iv.coalesce_spans(runs, ["key", "run"], "bs", "be", "bid", tb.CHUNK, tb.HOUR, extra=[ids.alias("ids")]).select(
-        "key", "bs", "be", "n", "ids")
+    at = F.struct("bs", "bid")
+    ends = [F.min_by("bid", at).alias("first_id"), F.max_by("bid", at).alias("last_id")]
+    return iv.coalesce_spans(runs, ["key", "run"], "bs", "be", "bid", tb.CHUNK, tb.HOUR, extra=ends).select(
+        "key", "bs", "be", "n", "first_id", "last_id")
 
 
 _V = "v AS (SELECT key, s, e FROM a WHERE kind <> 'error')"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
 from ..operators import topk
+from ..session import cut_lineage
 from ..sources import tables as tb
 from . import sqlbase as q
 from .registry import query
@@ -66,7 +67,7 @@ def top_with_quotas(spark, sf):
 @query("top_variety", f"""WITH {_CAND}, {_QUOTA}, tp AS (SELECT * FROM fin WHERE place <= 3)
  SELECT fin.stretch, fin.clip, count(*) AS others, min(tp.stretch) AS first_other FROM fin JOIN tp ON tp.clip = fin.clip AND tp.stretch <> fin.stretch GROUP BY 1, 2""")
 def top_variety(spark, sf):
-    return topk.variety(_quota(spark, sf), "stretch", "clip", "place")
+    return topk.variety(cut_lineage(_quota(spark, sf)), "stretch", "clip", "place")
 
 
 _COVER = f"""bad AS (SELECT key, t - {q.HOUR} AS x, t + {q.HOUR} AS y FROM ev WHERE kind = 'error'),
@@ -110,7 +111,7 @@ def top_spread_picks(spark, sf):
  SELECT id, bytes FROM r WHERE before < 1000000000""")
 def top_lru_evict(spark, sf):
     u = tb.load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.floor("o_totalprice").cast("long").alias("bytes"), tb.micros("o_orderdate").alias("used"))
-    return topk.evict(u, "used", "id", "bytes", 1_000_000_000, 30 * tb.DAY).select("id", "bytes")
+    return topk.evict(u, "used", "id", "bytes", 1_000_000_000, tb.HOUR).select("id", "bytes")
 
 
 @query("top_newest_per_group", "SELECT doc_id AS id, max(doc_id) OVER (PARTITION BY source, lang) AS newest FROM documents QUALIFY id <> newest")

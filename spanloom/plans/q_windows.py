@@ -191,10 +191,7 @@ def win_period(spark, sf):
 def win_lag_search(spark, sf):
     s = tb.series(spark, sf).select("key", "sec", "loudness")
     view = s.where("key = 'view'").select("sec", F.col("loudness").alias("other"))
-    # Every other series is held against the same one, so that one is sent to each of their names.
-    names = s.where("key <> 'view'").select("key").distinct()
-    other = view.join(F.broadcast(names))
-    out = sq.lag_search(s.where("key <> 'view'").withColumn("sec", F.col("sec").cast("long")), other, ["key"], "sec", "loudness", "other", 12, 0.05)
+    out = sq.lag_search(s.where("key <> 'view'"), view, ["key"], "sec", "loudness", "other", 12, 0.05)
     return out.select("key", "lag", F.round("corr", 6).alias("corr"), "beyond")
 
 
@@ -371,9 +368,9 @@ def win_transitions(spark, sf):
 def win_queue_position(spark, sf):
     o = tb.load(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("job"), "o_orderpriority", tb.micros("o_orderdate").alias("t"))
     span = 10_000 * tb.DAY * 10
-    # Priority and arrival as one rising number, so one queue of any length is ranked in slices of a month.
+    # Priority and arrival as one rising number, so one queue of any length is ranked in slices of an hour.
     o = o.withColumn("rank", F.substring("o_orderpriority", 1, 1).cast("long") * span + F.col("t")).withColumn("one", F.lit(1))
-    return ordered_scan(o, ["one"], ["rank", "job"], by_width("rank", 30 * tb.DAY), {"n": row_number()}).select("job", (F.col("n") - 1).alias("place"))
+    return ordered_scan(o, ["one"], ["rank", "job"], by_width("rank", tb.HOUR), {"n": row_number()}).select("job", (F.col("n") - 1).alias("place"))
 
 
 @query("win_named_early", f"""WITH {q.TURNS}, nm AS (SELECT conv_id AS key, lower(regexp_extract(text, '[\\p{{L}}]+')) AS name FROM conversations WHERE role = 'system')
@@ -433,7 +430,7 @@ def win_caption_chunk(spark, sf):
 @query("win_on_grid")
 def win_on_grid(spark, sf):
     a = tb.spans_a(spark, sf).select("key", F.expr(f"s div {_WEEK}").alias("plan"), "s", "id", ((F.col("e") - F.col("s")) / tb.HOUR).alias("length"), (F.col("kind") != "error").alias("may"))
-    return sq.on_grid(a, ["key", "plan"], "s", "length", "may", 1.0, 0.3).select("key", "id", F.round("shift", 6).alias("shift"), "stuck")
+    return sq.on_grid(a, ["key", "plan"], "s", "id", "length", "may", 1.0, 0.3).select("key", "id", F.round("shift", 6).alias("shift"), "stuck")
 
 
 _SLOT, _ROOM = 10 * tb.HOUR, 3 * tb.HOUR
