@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ordered import (by_width, first_value, islands, last_value, nxt, ordered_scan, prev, running_max,
-                      running_sum)
+                      running_sum, spread_join)
 
 FACTOR = 64
 _KEYS = ["__role", "__level", "__bin"]
@@ -363,7 +363,7 @@ def group_capped(spans: DataFrame, on: Sequence[str], s: str, e: str, join: int,
     grouped = ordered_scan(marked, on, [s], by_width(s, chunk_width), {"grp": running_sum(F.col("__head").cast("long"))})
     groups = grouped.groupBy(*on, "grp").agg(F.min(s).alias("gs"), F.max(e).alias("ge"), F.count(F.lit(1)).alias("n"))
     around = ordered_scan(groups, on, ["gs"], by_width("gs", chunk_width), {"__pe": prev(F.col("ge")), "__ns": nxt(F.col("gs"))})
-    around = around.join(finish, list(on))
+    around = spread_join(around, finish, on)
     before = F.coalesce(F.expr("(__pe + gs) div 2"), F.lit(0).cast("long"))
     after = F.coalesce(F.expr("(ge + __ns) div 2"), F.col(fin))
     return around.select(*on, "grp", "n", F.greatest(F.col("gs") - pad, before).alias("ps"),

@@ -64,6 +64,28 @@ def row_number() -> Out:
     return Out("sum", F.lit(1).cast("long"), True)
 
 
+def total_sum(expr: Column) -> Out:
+    """The sum over the whole key, carried in with the chunk summaries instead of joined on the key."""
+    return Out("total_sum", expr)
+
+
+def total_max(expr: Column) -> Out:
+    return Out("total_max", expr)
+
+
+def spread_join(detail: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join rows to a table of one row per key without sending a key's rows to one task.
+
+    Both sides get a salt: the small side once per salt, the rows by their own content. Nothing after the
+    join can rely on its partitioning by key, so AQE is also free to split whatever is still skewed.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    hashed = [c for c, kind in detail.dtypes if "map<" not in kind]
+    d = detail.withColumn("__salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
+    s = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return d.join(s, [*keys, "__salt"], how).drop("__salt")
+
+
 def by_width(column: str, width: int) -> Column:
     """A chunk number that rises with a whole-number column."""
     return F.expr(f"`{column}` div {int(width)}")
@@ -99,6 +121,10 @@ def ordered_scan(
         elif o.kind == "first":
             aggs.append(F.min_by(o.expr, held).alias(a))
             carries.append(F.last(a, True).over(after).alias(c))
+        elif o.kind.startswith("total_"):
+            fn = F.sum if o.kind == "total_sum" else F.max
+            aggs.append(fn(o.expr).alias(a))
+            carries.append(fn(a).over(Window.partitionBy(*keys)).alias(c))
         else:
             fn = {"sum": F.sum, "max": F.max, "min": F.min}[o.kind]
             aggs.append(fn(o.expr).alias(a))
@@ -121,6 +147,8 @@ def ordered_scan(
         elif o.kind == "first":
             ahead = backward.rowsBetween(Window.unboundedPreceding, 0 if o.inclusive else -1)
             value = F.coalesce(F.last(o.expr, True).over(ahead), c)
+        elif o.kind.startswith("total_"):
+            value = c
         elif o.kind == "sum":
             value = F.coalesce(c, F.lit(0)) + F.coalesce(F.sum(o.expr).over(frame), F.lit(0))
         elif o.kind == "max":
@@ -156,9 +184,8 @@ def rank_picks(
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     run = ordered_scan(counts, keys, [value], F.floor(F.col(value) / F.lit(width)),
-                       {"__to": running_sum(F.col("__n"))}).join(totals, keys)
+                       {"__to": running_sum(F.col("__n")), "__total": total_sum(F.col("__n"))})
     first, past = F.col("__to") - F.col("__n"), F.col("__to")
     picked = [F.max(F.when((first <= at) & (at < past), F.col(value))).alias(name) for name, at in ranks.items()]
     return run.groupBy(*keys, "__total").agg(*picked)

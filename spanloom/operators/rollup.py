@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import exact_quantiles, ordered_scan, rank_picks, row_number, running_sum
+from .ordered import exact_quantiles, ordered_scan, rank_picks, row_number, running_sum, spread_join, total_sum
 
 # Fixed value: the level of digital silence.
 SILENCE_DB = -120.0
@@ -41,9 +41,9 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
     """
     keys = list(keys)
     sums = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
-    whole = sums.groupBy(*keys).agg(F.sum("__w").alias("__all"))
-    run = ordered_scan(sums, keys, [value], F.floor(F.col(value) / F.lit(width)), {"__to": running_sum(F.col("__w"))})
-    return run.join(whole, keys).where(2 * F.col("__to") >= F.col("__all")).groupBy(*keys).agg(F.min(value).alias(name))
+    run = ordered_scan(sums, keys, [value], F.floor(F.col(value) / F.lit(width)), {
+        "__to": running_sum(F.col("__w")), "__all": total_sum(F.col("__w"))})
+    return run.where(2 * F.col("__to") >= F.col("__all")).groupBy(*keys).agg(F.min(value).alias(name))
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def gated_mean(blocks: DataFrame, keys: Sequence[str], level: str, absolute: flo
     keys = list(keys)
     loud = blocks.where(F.col(level) > absolute).withColumn("__e", power(F.col(level)))
     floor = loud.groupBy(*keys).agg((F.avg("__e") * 10 ** (-relative / 10)).alias("__floor"))
-    kept = loud.join(floor, keys).where(F.col("__e") > F.col("__floor"))
+    kept = spread_join(loud, floor, keys).where(F.col("__e") > F.col("__floor"))
     found = kept.groupBy(*keys).agg((10 * F.log10(F.avg("__e"))).alias("lufs"))
     return blocks.select(*keys).distinct().join(found, keys, "left")
 
@@ -137,14 +137,15 @@ def talk_gains(clips: DataFrame, heard: DataFrame, key: str, ident: str, kept: s
         F.avg(F.when(F.col(level) > quiet, e)).alias("__h"))
     # Clips share seconds, so the whole file's talk is averaged over its own seconds, given once.
     whole = heard.where(F.col(talk)).dropDuplicates([key, "sec"]).groupBy(key).agg(F.avg(e).alias("__w"))
-    j = clips.join(per, [key, ident]).join(whole, key, "left")
+    j = clips.join(per, [key, ident])
+    j = spread_join(j, whole, key, "left")
     spoken = target - 10 * F.log10(F.when(F.col("__n") < least, F.col("__w")).otherwise(F.col("__t")))
     ambience = F.least(F.lit(0.0), target - under - 10 * F.log10("__h"))
     gain = F.when(F.col("__n") > 0, spoken).otherwise(ambience)
     moved = j.where(~F.col(kept)).withColumn("gain", F.round(F.greatest(F.lit(-limit), F.least(F.lit(limit), gain)), 2)).where(
         F.col("gain").isNotNull())
     middle = rank_picks(moved, [key], "gain", {"__m": F.floor(F.col("__total") / 2)}, 0.25).select(key, "__m")
-    still = j.where(F.col(kept)).join(middle, key, "left").withColumn("gain", F.coalesce("__m", F.lit(0.0)))
+    still = spread_join(j.where(F.col(kept)), middle, key, "left").withColumn("gain", F.coalesce("__m", F.lit(0.0)))
     return moved.select(key, ident, "gain").unionByName(still.select(key, ident, "gain"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from .graph import chain
 from .ordered import (by_width, exact_quantiles, first_value, islands, last_value, nxt, ordered_scan, prev, row_number,
-                      running_max, running_sum)
+                      running_max, running_sum, spread_join)
 
 BLOCK = 10_000
 
@@ -150,7 +150,7 @@ def energy_curve(series: DataFrame, keys: Sequence[str], order: str, level: str,
     smooth = seen.withColumn("__s", (F.coalesce("__p", v) + v + F.coalesce("__n", v)) / 3)
     q = exact_quantiles(smooth, keys, "__s", {"__lo": 0.10, "__hi": 0.95}, 0.5)
     scaled = (F.col("__s") - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-6))
-    return smooth.join(q, list(keys)).select(*series.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)).alias("energy"))
+    return spread_join(smooth, q, list(keys)).select(*series.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)).alias("energy"))
 
 
 # The lines between quiet, middle and full, and the shortest section.
@@ -201,7 +201,7 @@ def fullest(curve: DataFrame, key: str, index: str, width: int = 8) -> DataFrame
     """Where each recording is fullest: the window with the most energy, the first of equals. A recording
     shorter than the window is looked at whole."""
     n = curve.groupBy(key).agg(F.max(index).alias("__n"))
-    d = curve.join(n, key).withColumn("__w", F.least(F.lit(width), F.col("__n")))
+    d = spread_join(curve, n, key).withColumn("__w", F.least(F.lit(width), F.col("__n")))
     sums = d.select(key, "energy", "__w", "__n", F.explode(F.sequence(
         F.greatest(F.lit(1).cast("long"), F.col(index) - F.col("__w") + 1), F.least(F.col(index), F.col("__n") - F.col("__w") + 1))).alias("start"))
     totals = sums.groupBy(key, "start").agg(F.round(F.sum("energy"), 6).alias("t"), F.first("__w").alias("w"))
@@ -212,7 +212,7 @@ def fullest(curve: DataFrame, key: str, index: str, width: int = 8) -> DataFrame
 def ending(curve: DataFrame, key: str, index: str, seconds: int = 6, faded: float = 0.25, full: float = 0.6) -> DataFrame:
     """How each recording ends, by its last samples; NULL for one too short to say."""
     n = curve.groupBy(key).agg(F.max(index).alias("__n"))
-    d = curve.join(n, key).where(F.col(index) > F.col("__n") - seconds).withColumn("__b", F.col("__n") - F.col(index))
+    d = spread_join(curve, n, key).where(F.col(index) > F.col("__n") - seconds).withColumn("__b", F.col("__n") - F.col(index))
 
     def among(back):
         return F.max(F.when(F.col("__b").isin(*back), F.col("energy")))
@@ -270,7 +270,7 @@ def period(series: DataFrame, key: str, index: str, value: str, shortest: int, l
     h = Halo(flux, [key], index, swell)
     env = h.select(F.greatest(F.lit(0.0), F.col("__f") - F.sum("__f").over(h.rows(-swell, swell)) / (2 * swell + 1)).alias("__e"))
     mean = env.groupBy(key).agg(F.avg("__e").alias("__m"))
-    x = env.join(mean, key).select(key, F.col(index).alias("__i"), (F.col("__e") - F.col("__m")).alias("__x"))
+    x = spread_join(env, mean, key).select(key, F.col(index).alias("__i"), (F.col("__e") - F.col("__m")).alias("__x"))
     lagged = x.select(key, F.col("__x").alias("__y"), F.inline(F.transform(
         F.sequence(F.lit(shortest - 1), F.lit(longest + 1)), lambda d: F.struct(d.alias("lag"), (F.col("__i") + d).alias("__i")))))
     corr = x.join(lagged, [key, "__i"]).groupBy(key, "lag").agg(F.sum(F.col("__x") * F.col("__y")).alias("c"))
@@ -390,7 +390,7 @@ def closing_early(words: DataFrame, keys: Sequence[str], unit: str, order: str,
                                        (F.instr("__t", p) > 0).alias("ok")) for n, p in enumerate(phrases)]), lambda x: x["ok"])
     found = line.select(*ids, F.inline(hits)).join(w.select(*ids, at, "__to", "__bare"), ids)
     ends = found.where(F.col("__to") >= F.col("past")).groupBy(*ids, "n", "phrase").agg(F.min_by(at, F.col("__to")).alias("at"))
-    left = ends.join(fin, list(keys)).where(F.col("fin") - F.col("at") > after)
+    left = spread_join(ends, fin, list(keys)).where(F.col("fin") - F.col("at") > after)
     return left.groupBy(*ids).agg(F.min(F.struct("n", "phrase", "at")).alias("f")).select(*ids, F.col("f.phrase").alias("phrase"), F.col("f.at").alias("at"))
 
 

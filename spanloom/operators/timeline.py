@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import clip_kind
 from ..session import cut_lineage
 from . import intervals as iv
-from .ordered import by_width, ordered_scan, prev, row_number, running_sum
+from .ordered import by_width, ordered_scan, prev, row_number, running_sum, spread_join
 from .rollup import fingerprint
 
 
@@ -21,7 +21,7 @@ def build_timeline(assets: DataFrame, segments: DataFrame, silences: DataFrame,
     of the build is the hash of its input, so the same footage gives the same ids anywhere.
     """
     said = ordered_scan(segments, ["key"], ["s", "id"], by_width("s", chunk_width), {"__pe": prev(F.col("e"))})
-    said = said.join(assets, "key").withColumn("s", F.greatest(F.coalesce("__pe", F.col("begin")), F.col("s"))).withColumn(
+    said = spread_join(said, assets, "key").withColumn("s", F.greatest(F.coalesce("__pe", F.col("begin")), F.col("s"))).withColumn(
         "e", F.least("e", "fin")).where("e > s").select("key", "id", "s", "e", "text", "begin", "fin")
     said = cut_lineage(said)
     edges = ordered_scan(said, ["key"], ["s", "id"], by_width("s", chunk_width), {"__pe": prev(F.col("e"))})
@@ -39,8 +39,8 @@ def build_timeline(assets: DataFrame, segments: DataFrame, silences: DataFrame,
     stretches = cut_lineage(stretches)
     counts = stretches.groupBy("key").agg(F.count(F.lit(1)).alias("__c")).withColumn("__one", F.lit(1))
     starts = ordered_scan(counts, ["__one"], ["key"], by_width("key", 10_000), {"__from": running_sum(F.col("__c"), inclusive=False)})
-    placed = ordered_scan(stretches, ["key"], ["s"], by_width("s", chunk_width), {"__i": row_number()}).join(
-        starts.select("key", "__from"), "key").withColumn("n", F.col("__from") + F.col("__i")).drop("__from", "__i")
+    placed = ordered_scan(stretches, ["key"], ["s"], by_width("s", chunk_width), {"__i": row_number()})
+    placed = spread_join(placed, starts.select("key", "__from"), "key").withColumn("n", F.col("__from") + F.col("__i")).drop("__from", "__i")
     clips = cut_lineage(placed.crossJoin(F.broadcast(build.select("fingerprint"))).withColumn(
         "id", F.concat(F.lit("tl_"), F.substring("fingerprint", 1, 8), F.lit(":u"), F.format_string("%04d", F.col("n") - 1))).drop("fingerprint", "n"))
     on, ids = ["key"], ["id"]
@@ -48,9 +48,10 @@ def build_timeline(assets: DataFrame, segments: DataFrame, silences: DataFrame,
     black = iv.coalesce_spans(dark.withColumn("__tie", F.col("ds")), on, "ds", "de", "__tie", chunk_width).drop("n")
     scored = iv.covered(scored, black, on, ids, ("s", "e"), ("ds", "de"), width, name="__d")
     scored = scored.withColumn("silence", F.round(iv.share("__q", "s", "e"), 3)).withColumn("black", F.round(iv.share("__d", "s", "e"), 3)).drop("__q", "__d")
-    room = iv.headroom(clips.join(assets.select("key", "fin"), "key"), silences, on, ids, ("s", "e"), ("qs", "qe"), "fin", width).select("id", "safe_in", "safe_out")
+    room = iv.headroom(spread_join(clips, assets.select("key", "fin"), "key"), silences, on, ids, ("s", "e"), ("qs", "qe"), "fin", width).select("id", "safe_in", "safe_out")
     who = iv.majority(clips, turns, on, ids, ("s", "e"), ("ts", "te"), "speaker", width).select("id", "speaker")
-    j = scored.join(room, "id").join(who, "id", "left").join(assets.select("key", "has_audio"), "key")
+    j = scored.join(room, "id").join(who, "id", "left")
+    j = spread_join(j, assets.select("key", "has_audio"), "key")
     kind = clip_kind(F.col("text") != "", F.col("has_audio"), F.col("silence"), F.col("black"), F.lit(0.0))
     return j.withColumn("kind", kind).select("id", "key", "s", "e", "safe_in", "safe_out", "kind", "text", "silence", "black",
                                              F.when(F.col("kind") == "speech", F.col("speaker")).alias("speaker"))

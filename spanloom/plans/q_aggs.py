@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
 from ..operators import rollup as ru
-from ..operators.ordered import by_width, exact_quantiles, nxt, ordered_scan, rank_picks, row_number
+from ..operators.ordered import by_width, exact_quantiles, nxt, ordered_scan, rank_picks, row_number, spread_join
 from ..sources import tables as tb
 from . import sqlbase as q
 from .registry import query
@@ -189,7 +189,7 @@ def agg_pause_profile(spark, sf):
     u = ev.select("key", "id", gap.alias("gap")).where((F.col("gap") > 0) & (F.col("gap") <= 12 * tb.HOUR))
     n = F.col("__total")
     usual = rank_picks(u, ["key"], "gap", {"low": F.floor(n / 4), "high": F.floor(3 * n / 4)}, float(tb.HOUR)).where(n >= 5)
-    return u.join(usual.drop("__total"), "key").select("key", "id", "gap", "low", "high", F.when(F.col("gap") < F.col("low"), "shorter").when(
+    return spread_join(u, usual.drop("__total"), "key").select("key", "id", "gap", "low", "high", F.when(F.col("gap") < F.col("low"), "shorter").when(
         F.col("gap") > F.col("high"), "longer").otherwise("within").alias("label"))
 
 
@@ -199,7 +199,7 @@ def agg_pause_profile(spark, sf):
 def agg_level_by_part(spark, sf):
     s = tb.series(spark, sf)
     loud = exact_quantiles(s, ["key"], "loudness", {"p95": 0.95}, 1.0)
-    f = s.join(loud, "key").withColumn("part", F.expr("sec div 168")).withColumn("talking", F.col("loudness") > F.col("p95") - 3)
+    f = spread_join(s, loud, "key").withColumn("part", F.expr("sec div 168")).withColumn("talking", F.col("loudness") > F.col("p95") - 3)
     f = f.select("key", "part", F.when(F.col("talking"), F.col("loudness")).alias("v"), F.when(F.col("talking"), F.col("peak")).alias("u"),
                  F.when(~F.col("talking"), F.col("peak")).alias("m"))
     # The three medians are one long table, so the values are ranked once.
@@ -242,7 +242,7 @@ def agg_peak_rise(spark, sf):
     base = tb.events(spark, sf).groupBy("key").agg(F.min_by("value", F.struct("t", "id")).alias("v0"))
     peak = _inside(spark, sf).where(F.col("id") != F.col("bid")).groupBy("bid").agg(F.max("value").alias("v"))
     rise = F.greatest(F.lit(0).cast("long"), F.round(F.col("v") - F.col("v0")).cast("long"))
-    return tb.spans_b(spark, sf).join(base, "key").join(peak, "bid", "left").select("bid", F.when(F.col("v").isNotNull(), rise).alias("rise"))
+    return spread_join(tb.spans_b(spark, sf), base, "key").join(peak, "bid", "left").select("bid", F.when(F.col("v").isNotNull(), rise).alias("rise"))
 
 
 @query("agg_downsample", f"""WITH {q.SERIES}, n AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY sec) - 1) // 24 AS bucket FROM series)
@@ -308,7 +308,7 @@ def agg_corrections(spark, sf):
         F.sum("n").alias("versions"), F.sum("h").alias("by_hand"), F.sum(F.when(F.col("edge") <= 1, F.col("n")).otherwise(0)).alias("cut_point"),
         F.sum(F.when(F.col("edge") > 1, F.col("n")).otherwise(0)).alias("wrong_piece"), F.max("edge").alias("edge_largest"))
     per = levels.groupBy("g", "edge").agg(F.sum("n").alias("n"))
-    run = ordered_scan(per, ["g"], ["edge"], F.floor("edge"), {"to": ru.running_sum(F.col("n"))}).join(out.select("g", "versions"), "g")
+    run = ordered_scan(per, ["g"], ["edge"], F.floor("edge"), {"to": ru.running_sum(F.col("n")), "versions": ru.total_sum(F.col("n"))})
 
     def at(rank):
         return F.max(F.when((F.col("to") - F.col("n") <= rank) & (rank < F.col("to")), F.col("edge")))

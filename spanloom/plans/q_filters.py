@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as pr
 from ..operators import intervals as iv
 from ..operators import transcript as tr
+from ..operators.ordered import spread_join
 from ..sources import tables as tb
 from . import sqlbase as q
 from .registry import query
@@ -85,7 +86,7 @@ def _shares(spark, sf):
     a = tb.spans_a(spark, sf)
     c = iv.covered(a, tb.spans_b(spark, sf), ["key"], ["id"], ("s", "e"), ("bs", "be"), tb.BIN)
     heard = tb.events(spark, sf).groupBy("key").agg((F.max("value") >= 150).alias("has_audio"))
-    return c.withColumn("share", iv.share("covered", "s", "e")).join(heard, "key")
+    return spread_join(c.withColumn("share", iv.share("covered", "s", "e")), heard, "key")
 
 
 @query("flt_audible", f"WITH {q.AB}, {_SHARES} SELECT sh.key, id FROM sh JOIN au ON sh.key = au.key WHERE NOT has_audio OR share < 0.9")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
-from ..operators.ordered import by_width, nxt, ordered_scan, prev, running_sum
+from ..operators.ordered import by_width, nxt, ordered_scan, prev, running_sum, spread_join
 from ..sources import tables as tb
 from . import sqlbase as q
 from .registry import query
@@ -53,7 +53,7 @@ def jn_asof_forward(spark, sf):
     p, b = tb.moments(spark, sf), tb.spans_b(spark, sf)
     fin = tb.events(spark, sf).groupBy("key").agg(F.max("t").alias("fin"))
     got = iv.asof(p, b, ["key"], "t", "bs", "pid", tb.CHUNK, forward=True, tolerance=20_000)
-    return got.join(fin, "key").select("key", "pid", F.coalesce("found", "fin").alias("next_start"))
+    return spread_join(got, fin, "key").select("key", "pid", F.coalesce("found", "fin").alias("next_start"))
 
 
 @query("jn_nearest_within", f"""WITH {q.B}, {q.P_ONLY}, m AS (SELECT DISTINCT key, x FROM (SELECT key, bs AS x FROM b UNION ALL SELECT key, be FROM b)),
@@ -86,7 +86,7 @@ def jn_speaker_majority(spark, sf):
  FROM a JOIN fin ON a.key = fin.key LEFT JOIN i ON a.id = i.id LEFT JOIN o ON a.id = o.id""")
 def jn_headroom(spark, sf):
     fin = tb.events(spark, sf).groupBy("key").agg(F.max("t").alias("fin"))
-    a = tb.spans_a(spark, sf).select("key", "id", "s", "e").join(fin, "key")
+    a = spread_join(tb.spans_a(spark, sf).select("key", "id", "s", "e"), fin, "key")
     return iv.headroom(a, tb.spans_b(spark, sf), ["key"], ["id"], ("s", "e"), ("bs", "be"), "fin", tb.BIN).select(
         "key", "id", "safe_in", "safe_out")
 

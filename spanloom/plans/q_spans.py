@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
-from ..operators.ordered import by_width, nxt, ordered_scan, prev, running_sum
+from ..operators.ordered import by_width, nxt, ordered_scan, prev, running_sum, spread_join
 from ..sources import tables as tb
 from ..session import cut_lineage
 from . import sqlbase as q
@@ -160,7 +160,7 @@ def sp_snap_edges(spark, sf):
 def sp_trim_ends(spark, sf):
     union = iv.coalesce_spans(tb.spans_b(spark, sf), ["key"], "bs", "be", "bid", tb.CHUNK)
     ends = union.groupBy("key").agg(F.min("bs").alias("hs"), F.min_by("be", "bs").alias("he"), F.max("bs").alias("ls"), F.max_by("be", "bs").alias("le"))
-    w = tb.spans_a(spark, sf).where("kind = 'click'").select("key", "s", "e").join(ends, "key")
+    w = spread_join(tb.spans_a(spark, sf).where("kind = 'click'").select("key", "s", "e"), ends, "key")
     inside = w.groupBy("key").agg(F.min(F.when((F.col("s") >= F.col("hs")) & (F.col("e") <= F.col("he")), F.col("s"))).alias("fw"),
                                   F.max(F.when((F.col("s") >= F.col("ls")) & (F.col("e") <= F.col("le")), F.col("e"))).alias("lw"))
     j = ends.join(inside, "key", "left")
@@ -202,7 +202,8 @@ def sp_avoid_bad(spark, sf):
  SELECT n.key, bid, CASE WHEN be - bs >= {4 * tb.HOUR} THEN be ELSE greatest(be, least(bs + {4 * tb.HOUR}, coalesce(ns, room), room)) END AS held FROM n JOIN d ON n.key = d.key""")
 def sp_hold_min(spark, sf):
     room = tb.events(spark, sf).groupBy("key").agg(F.max("t").alias("room"))
-    b = ordered_scan(tb.spans_b(spark, sf), ["key"], ["bs", "bid"], by_width("bs", tb.CHUNK), {"ns": nxt(F.col("bs"))}).join(room, "key")
+    b = ordered_scan(tb.spans_b(spark, sf), ["key"], ["bs", "bid"], by_width("bs", tb.CHUNK), {"ns": nxt(F.col("bs"))})
+    b = spread_join(b, room, "key")
     held = F.least(F.col("bs") + 4 * tb.HOUR, F.coalesce("ns", "room"), F.col("room"))
     return b.select("key", "bid", F.when(F.col("be") - F.col("bs") >= 4 * tb.HOUR, F.col("be")).otherwise(F.greatest("be", held)).alias("held"))
 
@@ -228,7 +229,7 @@ def sp_override(spark, sf):
 @query("sp_running_starts", f"WITH {q.PLACED} SELECT pl.key, id, pos, tl, total FROM pl JOIN (SELECT key, max(tle) AS total FROM pl GROUP BY key) d ON pl.key = d.key")
 def sp_running_starts(spark, sf):
     pl = tb.placements(spark, sf)
-    return pl.join(pl.groupBy("key").agg(F.max("tle").alias("total")), "key").select("key", "id", "pos", "tl", "total")
+    return spread_join(pl, pl.groupBy("key").agg(F.max("tle").alias("total")), "key").select("key", "id", "pos", "tl", "total")
 
 
 @query("sp_part_bounds", f"""WITH {q.PLACED} SELECT p.key, p.id, max(m.tl) AS part FROM pl p LEFT JOIN pl m ON m.key = p.key AND m.kind = 'signup' AND m.tl <= (p.tl + p.tle) // 2 GROUP BY p.key, p.id""")

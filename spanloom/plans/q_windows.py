@@ -8,7 +8,7 @@ from ..functions.text import normalized
 from ..operators import intervals as iv
 from ..operators import sequence as sq
 from ..operators.ordered import (by_width, exact_quantiles, first_value, islands, last_value, nxt, ordered_scan, prev, row_number,
-                                 running_max, running_sum)
+                                 running_max, running_sum, spread_join)
 from ..operators.transcript import bare
 from ..session import cut_lineage
 from ..sources import tables as tb
@@ -124,7 +124,8 @@ def win_boundary_candidates(spark, sf):
     keep = tb.events(spark, sf).groupBy("key").agg(F.greatest(F.lit(12).cast("long"), F.round((F.max("t") - F.min("t")) / float(tb.DAY) * 0.8).cast("long")).alias("keep"))
     sc = sc.withColumn("neg", -F.col("score")).select("key", "id", "s", "score", "neg")
     # Ranked in slices of the score, so the strongest are found without sorting a key in one task.
-    rk = ordered_scan(sc, ["key"], ["neg", "s", "id"], F.floor(F.col("neg") * 100), {"rn": row_number()}).join(keep, "key")
+    rk = ordered_scan(sc, ["key"], ["neg", "s", "id"], F.floor(F.col("neg") * 100), {"rn": row_number()})
+    rk = spread_join(rk, keep, "key")
     return rk.where("rn <= keep").select("key", "id", "s", "score")
 
 
@@ -381,7 +382,7 @@ def win_named_early(spark, sf):
         F.col("conv_id").alias("key"), normalized(F.regexp_extract("text", r"[\p{L}]+", 0)).alias("name"))
     keys = t.select("key").distinct().join(names, "key", "left")
     early = t.where((F.col("s") < 20 * tb.SECOND) & (F.col("speaker") != "system")).select("key", normalized(F.col("text")).alias("flat"))
-    hit = early.join(names, "key").groupBy("key").agg(F.bool_or(F.col("flat").contains(F.col("name"))).alias("hit"))
+    hit = spread_join(early, names, "key").groupBy("key").agg(F.bool_or(F.col("flat").contains(F.col("name"))).alias("hit"))
     return keys.join(hit, "key", "left").select("key", F.when(F.col("name").isNotNull(), F.coalesce("hit", F.lit(False))).alias("named"))
 
 
@@ -398,7 +399,7 @@ def win_level_steps(spark, sf):
     w = cut_lineage(ordered_scan(l, keys, ["s", "id"], chunk, {"pid": prev(F.col("id")), "p1": prev(F.col("light")), "n1": nxt(F.col("light"))}))
     w = ordered_scan(w, keys, ["s", "id"], chunk, {"p2": prev(F.col("p1"))})
     typical = exact_quantiles(l, keys, "light", {"typical": 0.5}, 0.05)
-    z = w.join(typical, keys).where(F.abs(F.col("light") - F.col("p1")) >= 0.12)
+    z = spread_join(w, typical, keys).where(F.abs(F.col("light") - F.col("p1")) >= 0.12)
     odd = F.abs(F.col("p1") - F.col("typical")) > F.abs(F.col("light") - F.col("typical"))
     target = F.when(odd, F.coalesce((F.col("p2") + F.col("light")) / 2, F.col("light"))).otherwise(F.coalesce((F.col("p1") + F.col("n1")) / 2, F.col("p1")))
     return z.select("key", F.col("pid").alias("before"), F.col("id").alias("after"), F.when(odd, F.col("pid")).otherwise(F.col("id")).alias("odd"), F.round(target, 9).alias("target"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordered import by_width, nxt, ordered_scan, running_sum
+from ..operators.ordered import by_width, nxt, ordered_scan, running_sum, spread_join
 
 SPAN = T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())])
 WORD = T.StructType([*SPAN.fields, T.StructField("text", T.StringType()),
@@ -61,7 +61,7 @@ def pair_events(
     seen = ordered_scan(marks, keys, order, chunk, {"__k": nxt(F.col(kind)), "__t": nxt(F.col(at))})
     opened = seen.where((F.col(kind) == start) & (F.col("__k").isNull() | (F.col("__k") == end)))
     if until is not None:
-        opened = opened.join(until, list(keys), "left")
+        opened = spread_join(opened, until, keys, "left")
     closes = F.coalesce(F.col("__t"), F.col(fin)) if until is not None else F.col("__t")
     return opened.select(*keys, F.col(at).alias("s"), closes.alias("e")).where(
         F.col("e").isNull() | (F.col("e") > F.col("s")))

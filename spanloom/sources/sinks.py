@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import nxt, ordered_scan
+from ..operators.ordered import nxt, ordered_scan, spread_join
 
 
 def latest(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -66,7 +66,7 @@ def write_srt(blocks: DataFrame, path: str, key: str, n: str = "n") -> None:
 
 def chapters(markers: DataFrame, totals: DataFrame, key: str, at: str, name: str, tie: str, chunk: Column) -> DataFrame:
     """Markers before the end of the cut, each running to the next or to the end."""
-    inside = markers.join(totals, key).where(F.col(at) < F.col("total"))
+    inside = spread_join(markers, totals, key).where(F.col(at) < F.col("total"))
     seen = ordered_scan(inside, [key], [at, tie], chunk, {"__n": nxt(F.col(at))})
     return seen.select(key, F.col(name).alias("name"), F.col(at).alias("s"),
                        F.coalesce("__n", "total").alias("e"))
