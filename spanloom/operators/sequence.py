@@ -69,19 +69,24 @@ def split_long(words: DataFrame, groups: Sequence[str], order: str, s: str, e: s
     seen = ordered_scan(words, groups, [order], by_width(order, BLOCK), {
         "__ns": nxt(F.col(s)), "__no": nxt(F.col(order))}).withColumn("__gap", F.col("__ns") - F.col(e))
     first = words.groupBy(*groups).agg(F.min(order).alias("part"))
-    now = cut_lineage(seen.join(first, groups))
+    now = cut_lineage(spread_join(seen, first, groups))
+    keep = [*words.columns, "part"]
+    done = None
     while True:
-        inside = F.when(F.col("__in"), F.struct(F.col("__gap").alias("g"), F.col(order).alias("o"), F.col("__no").alias("n")))
-        tail = now.groupBy(*groups, "part").agg(F.max(order).alias("__last"))
-        cut = now.join(tail, [*groups, "part"]).withColumn("__in", F.col(order) < F.col("__last")).groupBy(*groups, "part").agg(
-            F.max(inside).alias("__w"), (F.max(e) - F.min(s)).alias("__len"))
+        # A row's gap leads to the next row of its own part: it is forgotten where a part was split.
+        inside = F.when(F.col("__gap").isNotNull(), F.struct(F.col("__gap").alias("g"), F.col(order).alias("o"), F.col("__no").alias("n")))
+        cut = now.groupBy(*groups, "part").agg(F.max(inside).alias("__w"), (F.max(e) - F.min(s)).alias("__len"))
         cut = cut_lineage(cut.where((F.col("__len") > longest) & (F.col("__w.g") >= least_gap)).select(
             *groups, "part", F.col("__w.o").alias("__o"), F.col("__w.n").alias("__n")))
+        at = [*groups, "part"]
+        settled = now.join(cut.select(*at), at, "left_anti").select(*keep)
+        done = settled if done is None else done.unionByName(settled)
         if cut.isEmpty():
-            return now.drop("__ns", "__no", "__gap")
-        j = now.join(cut, [*groups, "part"], "left")
-        part = F.when(F.col("__o").isNotNull() & (F.col(order) > F.col("__o")), F.col("__n")).otherwise(F.col("part"))
-        now = cut_lineage(j.withColumn("part", part).drop("__o", "__n"))
+            return done
+        # Only what was split goes on to the next round.
+        j = now.join(cut, at)
+        now = cut_lineage(j.withColumn("part", F.when(F.col(order) > F.col("__o"), F.col("__n")).otherwise(F.col("part"))).withColumn(
+            "__gap", F.when(F.col(order) != F.col("__o"), F.col("__gap"))).drop("__o", "__n"))
 
 
 # Phrases a sentence that changes the subject opens with.

@@ -36,9 +36,11 @@ def flatten_analyses(docs: DataFrame) -> dict[str, DataFrame]:
     """The long tables held in nested analyses; each prunes to the part of the document it needs."""
     kinds = {"scenes": "scene", "black_frames": "black", "frozen_frames": "frozen", "silences": "silence"}
     key = F.col("asset_id").alias("key")
-    tagged = F.concat(*[F.transform(F.coalesce(F.col(c), F.array().cast(T.ArrayType(SPAN))),
-                                    lambda x, k=k: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"),
-                                                            x["end"].alias("end"))) for c, k in kinds.items()])
+
+    def named(column, kind):
+        held = F.coalesce(F.col(column), F.array().cast(T.ArrayType(SPAN)))
+        return F.transform(held, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    tagged = F.concat(*[named(c, k) for c, k in kinds.items()])
     segments = docs.select(key, F.posexplode("transcript.segments").alias("seg", "x")).select(
         "key", "seg", "x.start", "x.end", "x.text", "x.words")
     return {
