@@ -53,7 +53,7 @@ def blurred(reading: Column) -> Column:
 
 
 # Fixed value: names a camera gives its files.
-CAMERA_NAME = (r"(?i)^(img|dji|dsc|dscf|mvi|gopr|gx|gh|vid|video|pxl|mov|movie|clip|mah|sam|rec|record|screen|"
+CAMERA_NAME = (r"(?iU)^(img|dji|dsc|dscf|mvi|gopr|gx|gh|vid|video|pxl|mov|movie|clip|mah|sam|rec|record|screen|"
                r"screenshot|p|c)?[\W_]*\d[\d\W_]*[a-z]?$")
 
 
