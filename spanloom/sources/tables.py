@@ -22,6 +22,9 @@ EPOCH = 1_704_067_200 * SECOND  # 2024-01-01
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A supplied table. Its times carry no zone and are read as UTC, which is the session's zone from here on."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
