@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.bpe import decode, encode
 from spanloom.llm.chat import format_chats, parsed, unescaped
 from spanloom.llm.exact import exact_groups
 from spanloom.llm.lines import without_repeated_lines
@@ -105,3 +107,16 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY size
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     groups = exact_groups(spark.read.parquet(f"{sf}/documents.parquet"))
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+@query("op3_bpe")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe_digests(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Every row's text encoded and decoded again; equal ids and texts have equal digests."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    read = decode(encode(docs, path), path)
+    return read.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                       hex_of(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), hex_of("text").alias("decoded_sha256"))
