@@ -243,8 +243,14 @@ class Decoder:
         yield state.decode(b"", final=True)
 
 
-encoder = lru_cache(2)(Encoder)
-decoder = lru_cache(2)(Decoder)
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+@lru_cache(2)
+def decoder(path: str, pieces: bool | None) -> Decoder:
+    return Decoder(path, pieces)
 
 
 def _lists(packed: list[bytes], kind: pa.DataType) -> pa.Array:
