@@ -11,6 +11,7 @@ from spanloom.llm.chat import format_chats, parsed, unescaped
 from spanloom.llm.exact import exact_groups
 from spanloom.llm.lines import without_repeated_lines
 from spanloom.llm.mixing import mix
+from spanloom.llm.near import near_duplicates
 
 QUERIES, ORACLE = {}, {}
 
@@ -120,3 +121,8 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     read = decode(encode(docs, path), path)
     return read.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
                        hex_of(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), hex_of("text").alias("decoded_sha256"))
+
+
+@query("op9_near_dedup")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"), width=4).withColumnRenamed("id", "doc_id")
