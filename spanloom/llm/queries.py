@@ -12,6 +12,7 @@ from spanloom.llm.exact import exact_groups
 from spanloom.llm.lines import without_repeated_lines
 from spanloom.llm.mixing import mix
 from spanloom.llm.near import near_duplicates
+from spanloom.llm.quality import held_out, learn, score
 
 QUERIES, ORACLE = {}, {}
 
@@ -126,3 +127,10 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 @query("op9_near_dedup")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"), width=4).withColumnRenamed("id", "doc_id")
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    scored = score(docs, learn(docs, labels.where(~held_out("doc_id"))))
+    return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
