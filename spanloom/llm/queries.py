@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.ann import nearest
 from spanloom.llm.bpe import decode, encode
 from spanloom.llm.chat import format_chats, parsed, unescaped
 from spanloom.llm.exact import exact_groups
@@ -134,3 +135,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     scored = score(docs, learn(docs, labels.where(~held_out("doc_id"))))
     return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op6_ann")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
