@@ -14,6 +14,7 @@ from spanloom.llm.lines import without_repeated_lines
 from spanloom.llm.mixing import mix
 from spanloom.llm.near import near_duplicates
 from spanloom.llm.quality import held_out, learn, score
+from spanloom.llm.suffix import without_repeats
 
 QUERIES, ORACLE = {}, {}
 
@@ -141,3 +142,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    kept = without_repeats(spark.read.parquet(f"{sf}/documents.parquet"))
+    return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
