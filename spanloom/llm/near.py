@@ -4,9 +4,11 @@ Each text's set of word runs gives 128 minima. Bands of four minima find candida
 into eight longs, estimate a candidate pair's similarity by counting equal fields, corrected for fields that are equal by chance; pairs that
 could reach the threshold are confirmed on the full sets.
 
-Texts with equal sets are one class from the start. A large family of near copies is not turned into all its pairs: first each
-class is tried against the best of its buckets' leaders, which joins most of a family, and then only pairs of classes that
-still lie in different components are looked at, with signatures compared inside the task that holds a bucket.
+Texts with equal sets are one class from the start. A large family of near copies is not turned into all its pairs: each bucket
+names the class that is most like a few others of it, and each class is tried against the best of its buckets' leaders, which joins
+most of a family. Then pairs of classes that still lie in different components are compared inside the tasks that hold a bucket, large
+buckets in blocks. A pair goes on only if its estimate and its word runs that no other such class has leave it a chance: what two
+sets have for themselves is in their union and never in what they share, a bound that no pair over the threshold can break.
 A pair of similarity 0.8 shares none of the 32 bands once in 2 * 10^7 pairs, and its estimate falls under the margin once in 10^9.
 """
 
@@ -29,6 +31,8 @@ BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
 MARGIN = 0.22  # six standard deviations of the estimate at 0.8
 BLOCK = 512  # classes of one bucket compared with as many others at a time
+SPLIT = 2048  # classes of one bucket held in a task; larger buckets are split
+LOOKS = 64  # classes of a bucket that the others are measured by when it chooses its leader
 NO_ID = (1 << 63) - 1  # stands for a null id: larger than any other
 _rng = np.random.default_rng(9)
 _TIMES, _PLUS = _rng.integers(0, 1 << 63, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,37 +111,71 @@ def estimate(equal):
     return (equal / HASHES - chance) / (1 - chance)
 
 
-def _across(least: float):
-    """Streams buckets (rows sorted by key) and gives the pairs of different components whose estimate reaches ``least``.
-    A bucket is held as one key, its nodes and their packed signatures, and compared block by block."""
-    def pairs(nodes, comps, signs) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(nodes), BLOCK):
-            for j in range(i, len(nodes), BLOCK):
-                d = signs[i:i + BLOCK, None, :] ^ signs[None, j:j + BLOCK, :]
-                d |= d >> np.uint64(2)
-                d |= d >> np.uint64(1)
-                equal = HASHES - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int32)
-                hit = (estimate(equal) >= least) & (comps[i:i + BLOCK, None] != comps[None, j:j + BLOCK])
-                x, y = np.nonzero(hit)
-                x, y = x + i, y + j
-                keep = x < y
-                a, b = nodes[x[keep]], nodes[y[keep]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).tolist(), pa.binary()), pa.array(np.maximum(a, b).tolist(), pa.binary())], names=["a", "b"])
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal fields of every signature of ``a`` with every one of ``b``."""
+    d = a[:, None, :] ^ b[None, :, :]
+    d |= d >> np.uint64(2)
+    d |= d >> np.uint64(1)
+    return HASHES - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int32)
 
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """The columns of each run of rows with the same first ``keys`` columns, one run after another."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != key:
+                if len(held) > 1:
+                    yield list(map(list, zip(*held)))
+                key, held = row[:keys], []
+            held.append(row)
+    if len(held) > 1:
+        yield list(map(list, zip(*held)))
+
+
+def _led(least: float):
+    """Of each bucket the class most like some others of it, and all classes whose estimate with that one reaches ``least``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        def flush():
-            if len(held) > 1:
-                nodes, comps = (np.array([h[k] for h in held], object) for k in (0, 1))
-                yield from pairs(nodes, comps, np.array([h[2] for h in held], np.int64).view(np.uint64))
-        for batch in batches:
-            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != key:
-                    yield from flush()
-                    key, held = k, []
-                held.append(row)
-        yield from flush()
+        out = []
+        for _, nodes, signs in _groups(batches, 1):
+            sign = np.array(signs, np.int64).view(np.uint64)
+            looks = np.linspace(0, len(nodes) - 1, min(LOOKS, len(nodes))).astype(np.int64)
+            like = np.concatenate([agreeing(sign[i:i + BLOCK], sign[looks]).sum(axis=1) for i in range(0, len(nodes), BLOCK)])
+            leader = int(like.argmax())
+            equal = np.concatenate([agreeing(sign[i:i + BLOCK], sign[leader:leader + 1])[:, 0] for i in range(0, len(nodes), BLOCK)])
+            out += [(nodes[i], nodes[leader], int(equal[i])) for i in np.flatnonzero(estimate(equal) >= least).tolist() if i != leader]
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(LED)], names=["node", "leader", "equal"])
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(LED)], names=["node", "leader", "equal"])
+    LED = (pa.binary(), pa.binary(), pa.int32())
+    return run
+
+
+def _across(percent: int):
+    """Pairs of different components in each block of a bucket that may reach the threshold: rows are (key, lo, hi, block, node, component,
+    size, own runs, signature), and a block of two halves meets only across them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, lo, hi, block, nodes, comps, sizes, owns, signs in _groups(batches, 3):
+            nodes, comps = np.array(nodes, object), np.unique(comps, return_inverse=True)[1]
+            block, own, sign = np.array(block), np.array(owns, np.int64), np.array(signs, np.int64).view(np.uint64)
+            rest = np.array(sizes, np.int64) - own
+            for i in range(0, len(nodes), BLOCK):
+                for j in range(i, len(nodes), BLOCK):
+                    x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
+                    may = comps[x, None] != comps[None, y]
+                    if lo[0] != hi[0]:
+                        may &= block[x, None] != block[None, y]
+                    may &= 100 * np.minimum(rest[x, None], rest[None, y]) >= percent * (np.maximum(rest[x, None], rest[None, y]) + own[x, None] + own[None, y])
+                    if may.any():
+                        may &= estimate(agreeing(sign[x], sign[y])) >= percent / 100 - MARGIN
+                    a, b = np.nonzero(may)
+                    a, b = nodes[a + i], nodes[b + j]
+                    if i == j:
+                        keep = a < b
+                        a, b = a[keep], b[keep]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).tolist(), pa.binary()), pa.array(np.maximum(a, b).tolist(), pa.binary())], names=["a", "b"])
     return run
 
 
@@ -155,8 +193,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     classes = cut_lineage(features.where("node is not null").groupBy("node").agg(
         F.first("keys").alias("keys"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n"), F.min(F.coalesce("id", F.lit(NO_ID))).alias("id")))
     buckets = classes.select("node", F.explode("keys").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader")
-    shared = cut_lineage(buckets.join(leaders, "key"))  # only buckets of two classes or more
+    met = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = cut_lineage(buckets.join(met, "key"))  # only buckets of two classes or more
     sign = classes.select("node", "sign")
 
     # Sets of the classes that share a bucket, from one row of each.
@@ -172,19 +210,27 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         return both.where(F.col("common") * 100 >= (F.col("sum") - F.col("common")) * percent).select("a", "b")
 
     # Each class against the leader it resembles most.
-    tried = (shared.where("node <> leader").select("node", "leader").distinct().join(sign, "node")
-             .join(sign.select(F.col("node").alias("leader"), F.col("sign").alias("led")), "leader")
-             .select("node", "leader", equal_fields(F.col("sign"), F.col("led")).alias("equal"))
-             .where(estimate(F.col("equal")) >= percent / 100 - MARGIN)
-             .groupBy("node").agg(F.max_by("leader", F.struct("equal", "leader")).alias("leader")))
-    links = cut_lineage(confirmed(tried.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
+    led = (shared.join(sign, "node").select("key", "node", "sign").repartition("key").sortWithinPartitions("key", "node")
+           .mapInArrow(_led(percent / 100 - MARGIN), "node binary, leader binary, equal int"))
+    best = led.groupBy("node").agg(F.max_by("leader", F.struct("equal", "leader")).alias("leader"))
+    links = cut_lineage(confirmed(best.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
     comps = cut_lineage(components(links, "a", "b"))
 
     # Whatever still lies apart within a bucket.
-    placed = shared.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    apart = (placed.join(mixed_keys, "key").join(sign, "node").select("key", "node", "component", "sign")
-             .repartition("key").sortWithinPartitions("key").mapInArrow(_across(percent / 100 - MARGIN), "a binary, b binary").distinct())
+    placed = shared.join(comps, "node", "left").select("key", "members", "node", F.coalesce("component", "node").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    placed = cut_lineage(placed.join(split, "key"))
+    runs = sets.join(placed.select("node").distinct(), "node").select("node", F.explode("runs").alias("run"))
+    own = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    known = classes.select("node", "sign", "n").join(own, "node", "left").select("node", "sign", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    # A bucket of b blocks is b * (b + 1) / 2 tasks' worth, each of two blocks.
+    blocks = F.ceil(F.col("members") / SPLIT).cast("int")
+    halves = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    halves = halves.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    halves = halves.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    apart = (halves.join(known, "node").select("key", "lo", "hi", "block", "node", "component", "n", "own", "sign")
+             .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+             .mapInArrow(_across(percent), "a binary, b binary").distinct())
     links = cut_lineage(links.unionByName(confirmed(apart)))
     comps = components(links, "a", "b")
 
