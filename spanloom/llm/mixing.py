@@ -74,3 +74,14 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     at = F.col("number") + F.col("before")
     out = out.withColumn("copies", F.floor((at + 1) * rate + start) - F.floor(at * rate + start))
     return out.select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **shares) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as the mix takes it. Rows repeated under one id take its draws in
+    order of size and source, as ``mix`` numbers them."""
+    drawn = mix(docs, id, text, source, **shares).groupBy(F.col("id").alias("__id")).agg(
+        F.sort_array(F.collect_list(F.struct("size", "source", "copies"))).alias("__drawn"))
+    nth = F.row_number().over(W.partitionBy(F.col(id).cast("long")).orderBy(words(text_or_empty(text)), F.col(source).cast("string")))
+    met = docs.withColumn("__nth", nth).join(drawn, F.col(id).cast("long").eqNullSafe(F.col("__id")))
+    copies = F.element_at("__drawn", F.col("__nth"))["copies"]
+    return met.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*[docs[c] for c in docs.columns])

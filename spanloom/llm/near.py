@@ -239,3 +239,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     ids = known.where("component is not null").groupBy("component").agg(F.min("rank").alias("least"))
     out = known.join(ids, "component", "left").withColumn("component_id", F.nullif(F.coalesce("least", "rank"), F.lit(NO_ID)))
     return out.select("id", "n_shingles", "component_id", F.expr("id <=> component_id").alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component those under its smallest id."""
+    kept = near_duplicates(docs, id, text, **limits).where("kept").select(F.col("id").alias("__id")).distinct()
+    return docs.join(kept, F.col(id).cast("long").eqNullSafe(F.col("__id")), "left_semi")

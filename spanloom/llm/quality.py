@@ -143,6 +143,19 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
     return rows.mapInArrow(run, "id long, score double")
 
 
+def keep_good(docs: DataFrame, model: Model, least: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts score ``least`` or more."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                counts = np.stack([term_counts((t.as_py() or "").encode("utf-8")) for t in part.column(at)])
+                yield part.filter(pa.array(shared.value.scores(counts) >= least))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id: str | Column = "doc_id", folds: int = 5) -> Column:
     """Rows that are kept from learning: those whose id's checksum is divisible by the number of folds. A null id is not held out."""
     column = F.col(id) if isinstance(id, str) else id
