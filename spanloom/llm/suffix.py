@@ -307,18 +307,18 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", len
     An empty table gives an empty result. Other columns are not looked at. ``length`` must be from 21 to 255.
     """
     spark, p = docs.sparkSession, partitions(docs)
-    parts = 4 * p
+    parts, ranges = 4 * p, 8 * p  # a part's texts and a range's index are each held by one task
     rows = two_columns(docs, id, text).select(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.encode("text", "UTF-8").alias("text"))
     name, folder = f"texts_by_part_{uuid.uuid4().hex}", shared_folder(spark, "texts")
     (rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(p, "part")
      .write.format("parquet").option("compression", "zstd").option("path", folder).bucketBy(p, "part").saveAsTable(name))
     texts = spark.table(name)
     told = "part int, bucket int, flags binary, sizes int, runs binary, least binary"
-    codes = texts.groupBy("part").applyInArrow(_anchored(length, p), "bucket int, part int, codes binary, often binary")
+    codes = texts.groupBy("part").applyInArrow(_anchored(length, ranges), "bucket int, part int, codes binary, often binary")
     met = cut_lineage(codes.groupBy("bucket").applyInArrow(_met, told))
     sent = texts.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(
-        _sent(length, p), "bucket int, part int, counts binary, docs binary, bytes binary")
+        _sent(length, ranges), "bucket int, part int, counts binary, docs binary, bytes binary")
     answers = cut_lineage(sent.groupBy("bucket").applyInArrow(_indexed(length), told))
     out = texts.groupBy("part").cogroup(met.unionByName(answers).groupBy("part")).applyInArrow(
-        _removed(length, p), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        _removed(length, ranges), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("id", F.nullif("id", F.lit(NO_ID)))
