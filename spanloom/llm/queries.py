@@ -14,7 +14,9 @@ from spanloom.llm.lines import without_repeated_lines
 from spanloom.llm.mixing import mix
 from spanloom.llm.near import near_duplicates
 from spanloom.llm.quality import held_out, learn, score
+from spanloom.llm.shards import read_shards, write_training_order
 from spanloom.llm.suffix import without_repeats
+from spanloom.session import shared_folder
 
 QUERIES, ORACLE = {}, {}
 
@@ -148,3 +150,10 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     kept = without_repeats(spark.read.parquet(f"{sf}/documents.parquet"))
     return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_token_shards")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_folder(spark, "shards")
+    write_training_order(spark.read.parquet(f"{sf}/documents.parquet"), folder, ids="text", tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    return read_shards(spark, folder, 256).withColumnRenamed("id", "doc_id")
