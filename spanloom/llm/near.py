@@ -7,8 +7,9 @@ could reach the threshold are confirmed on the full sets.
 Texts with equal sets are one class from the start. A large family of near copies is not turned into all its pairs: each bucket
 names the class that is most like a few others of it, and each class is tried against the best of its buckets' leaders, which joins
 most of a family. Then pairs of classes that still lie in different components are compared inside the tasks that hold a bucket, large
-buckets in blocks. A pair goes on only if its estimate and its word runs that no other such class has leave it a chance: what two
-sets have for themselves is in their union and never in what they share, a bound that no pair over the threshold can break.
+buckets in blocks. A pair is looked at in the first bucket it shares, and goes on only if its estimate leaves it a chance and its sets
+have one of their rarest word runs in common: two sets over the threshold agree on one among the first ``size - overlap + 1`` of each, in
+any order of runs that is the same for both, which no pair over the threshold can escape.
 A pair of similarity 0.8 shares none of the 32 bands once in 2 * 10^7 pairs, and its estimate falls under the margin once in 10^9.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import two_columns
@@ -154,28 +156,40 @@ def _led(least: float):
 
 def _across(percent: int):
     """Pairs of different components in each block of a bucket that may reach the threshold: rows are (key, lo, hi, block, node, component,
-    size, own runs, signature), and a block of two halves meets only across them."""
+    size, rarest runs, keys, signature), and a block of two halves meets only across them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, lo, hi, block, nodes, comps, sizes, owns, signs in _groups(batches, 3):
-            nodes, comps = np.array(nodes, object), np.unique(comps, return_inverse=True)[1]
-            block, own, sign = np.array(block), np.array(owns, np.int64), np.array(signs, np.int64).view(np.uint64)
-            rest = np.array(sizes, np.int64) - own
+        for key, lo, hi, block, nodes, comps, sizes, rare, keys, signs in _groups(batches, 3):
+            comps, block, sizes = np.unique(comps, return_inverse=True)[1], np.array(block), np.array(sizes, np.int64)
+            sign, keys = np.array(signs, np.int64).view(np.uint64), np.array(keys, np.int64)
+            here = int(np.flatnonzero(keys[0] == key[0])[0])  # this bucket's place among a class's keys
+            first: dict[tuple[int, int], frozenset] = {}
+
+            def rarest(i: int, n: int) -> frozenset:
+                if (i, n) not in first:
+                    first[i, n] = frozenset(rare[i][:n])
+                return first[i, n]
+            found = []
             for i in range(0, len(nodes), BLOCK):
+                first.clear()
                 for j in range(i, len(nodes), BLOCK):
                     x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
                     may = comps[x, None] != comps[None, y]
                     if lo[0] != hi[0]:
                         may &= block[x, None] != block[None, y]
-                    may &= 100 * np.minimum(rest[x, None], rest[None, y]) >= percent * (np.maximum(rest[x, None], rest[None, y]) + own[x, None] + own[None, y])
+                    may &= 100 * np.minimum(sizes[x, None], sizes[None, y]) >= percent * np.maximum(sizes[x, None], sizes[None, y])
+                    if i == j:
+                        may &= np.tri(*may.shape, -1, bool)
                     if may.any():
                         may &= estimate(agreeing(sign[x], sign[y])) >= percent / 100 - MARGIN
-                    a, b = np.nonzero(may)
-                    a, b = nodes[a + i], nodes[b + j]
-                    if i == j:
-                        keep = a < b
-                        a, b = a[keep], b[keep]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).tolist(), pa.binary()), pa.array(np.maximum(a, b).tolist(), pa.binary())], names=["a", "b"])
+                    for k in range(here):
+                        may &= keys[x, None, k] != keys[None, y, k]
+                    for a, b in zip(*(c.tolist() for c in np.nonzero(may))):
+                        a, b = a + i, b + j
+                        overlap = -(-percent * int(sizes[a] + sizes[b]) // (100 + percent))
+                        if not rarest(a, int(sizes[a]) - overlap + 1).isdisjoint(rarest(b, int(sizes[b]) - overlap + 1)):
+                            found.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
     return run
 
 
@@ -220,17 +234,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     placed = shared.join(comps, "node", "left").select("key", "members", "node", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     placed = cut_lineage(placed.join(split, "key"))
+    # The rarest runs of each class still in question, as many as a partner of any size could ask for.
     runs = sets.join(placed.select("node").distinct(), "node").select("node", F.explode("runs").alias("run"))
-    own = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    known = classes.select("node", "sign", "n").join(own, "node", "left").select("node", "sign", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    runs = runs.withColumn("classes", F.count(F.lit(1)).over(W.partitionBy("run")))
+    rare = runs.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("classes", "run"))).alias("r"))
+    most = F.size("r") - F.ceil(F.size("r") * percent / 100).cast("int") + 1
+    rare = rare.select("node", F.transform(F.slice("r", 1, most), lambda r: r["run"].bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("rare"))
+    known = classes.select("node", "sign", "keys", "n").join(rare, "node")
     # A bucket of b blocks is b * (b + 1) / 2 tasks' worth, each of two blocks.
     blocks = F.ceil(F.col("members") / SPLIT).cast("int")
     halves = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     halves = halves.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     halves = halves.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    apart = (halves.join(known, "node").select("key", "lo", "hi", "block", "node", "component", "n", "own", "sign")
+    apart = (halves.join(known, "node").select("key", "lo", "hi", "block", "node", "component", "n", "rare", "keys", "sign")
              .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-             .mapInArrow(_across(percent), "a binary, b binary").distinct())
+             .mapInArrow(_across(percent), "a binary, b binary"))
     links = cut_lineage(links.unionByName(confirmed(apart)))
     comps = components(links, "a", "b")
 
