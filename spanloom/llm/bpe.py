@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED = 400_000  # words remembered in each of two generations
+CACHED = 150_000  # words remembered in each of two generations
 SHORT = 48  # bytes up to which a run is merged by plain passes
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 NEVER = 1 << 60  # the rank of a pair that is not merged
