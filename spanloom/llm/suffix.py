@@ -2,7 +2,7 @@
 
 A string of ``length`` bytes holds one anchor: of its short substrings the one with the least hash. Equal strings have equal
 anchors, so the corpus falls into ranges of anchor hashes that can be indexed apart, each from the stretches of text whose strings have such
-an anchor. Anchors that occur once cannot lie in a repeat; they are found first, and their text is not sent.
+an anchor. Anchors of one document alone cannot lie in a repeat; they are found first, and their text is not sent.
 
 A range's distinct stretches become one text with a run-length index: its Burrows-Wheeler transform by runs, and at the first row of each run
 the text position, the position before it in suffix order and the length of the match between the two. Streaming over the text,
@@ -69,16 +69,23 @@ class Part:
         new[1:] = (place[1:] != place[:-1]) | (here[1:] != here[:-1] + 1)
         first = np.flatnonzero(new)
         counts, starts = np.diff(np.append(first, len(here))), here[first]
-        return starts + at, counts, short[place[first]], between(sums, starts, starts + counts + self.length - 1)
+        # Least hashes are small, so they are mixed once more before ranges are made of them.
+        return starts + at, counts, mixed(short[place[first]] + np.uint64(1)), between(sums, starts, starts + counts + self.length - 1)
 
     def codes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct anchors, which of them each stretch has, and how often each occurs."""
-        return np.unique(self.anchors, return_inverse=True, return_counts=True)
+        """The distinct anchors, which of them each stretch has, and how many documents each is in."""
+        codes, which = np.unique(self.anchors, return_inverse=True)
+        ids = self.ids[self.documents(self.starts)] if len(which) else which
+        order = np.lexsort((ids, which))
+        a, d = which[order], ids[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
+        return codes, which, np.bincount(a[new], minlength=len(codes))
 
     def repeated(self, seen: np.ndarray, buckets: int):
         """Of the stretches whose anchors are ``seen`` again (a flag for each distinct anchor): the stretches, the distinct contents among them
         in order of bucket and content (as the first stretch with each), and which of those each stretch has."""
-        _, which, _ = self.codes()
+        which = np.unique(self.anchors, return_inverse=True)[1]
         kept = np.flatnonzero(seen[which]) if len(which) else np.zeros(0, np.int64)
         bucket = bucket_of(self.anchors[kept], buckets)
         order = np.lexsort((self.contents[kept], bucket))
@@ -119,7 +126,7 @@ def _anchored(length: int, buckets: int):
 
 
 def _met(key, rows):
-    """Which anchors of one range occur more than once: flags for each part's list."""
+    """Which anchors of one range are in several documents: flags for each part's list."""
     codes = [np.frombuffer(c.as_buffer(), np.uint32) for c in rows.column("codes")]
     _, which, counts = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
     edges = np.cumsum([len(c) for c in codes])[:-1]
@@ -307,7 +314,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", len
     An empty table gives an empty result. Other columns are not looked at. ``length`` must be from 21 to 255.
     """
     spark, p = docs.sparkSession, partitions(docs)
-    parts, ranges = 4 * p, 8 * p  # a part's texts and a range's index are each held by one task
+    parts, ranges = 2 * p, 8 * p  # a part's texts and a range's index are each held by one task
     rows = two_columns(docs, id, text).select(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.encode("text", "UTF-8").alias("text"))
     name, folder = f"texts_by_part_{uuid.uuid4().hex}", shared_folder(spark, "texts")
     (rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(p, "part")
