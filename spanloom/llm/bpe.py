@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED = 150_000  # words remembered in each of two generations
+WORDS, RUNS = 250_000, 100_000  # words and runs of letters remembered in each of two generations
 SHORT = 48  # bytes up to which a run is merged by plain passes
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 NEVER = 1 << 60  # the rank of a pair that is not merged
@@ -176,7 +176,7 @@ class Encoder:
             symbols = [self.letters[b] for b in raw]
             symbols[-1] += self.suffix
             packed = array("I", [self.vocab[s] for s in self.merged(symbols)]).tobytes()
-            if len(new) >= CACHED:
+            if len(new) >= RUNS:
                 self.runs = new, old = {}, new
             new[piece] = packed
         return packed
@@ -198,7 +198,7 @@ class Encoder:
         if packed is None:
             packed = self.word(word)
         if len(word) <= self.look:
-            if len(new) >= CACHED:
+            if len(new) >= WORDS:
                 self.words = new, old = {}, new
             new[word] = packed
         return packed

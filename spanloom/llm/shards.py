@@ -163,9 +163,11 @@ def write_training_order(rows: DataFrame, folder: str, id: str = "doc_id", ids:
         return values
 
     if tokenizer:
+        known = encoder(tokenizer)
+        fits(np.array([*known.vocab.values(), *known.added.values()]))
+
         def ids_of(text: pa.Scalar) -> np.ndarray:
-            bpe = encoder(tokenizer)
-            return fits(np.frombuffer(b"".join(bpe.encode(text.as_buffer().to_pybytes())) if text.is_valid else b"", np.uint32))
+            return np.frombuffer(b"".join(encoder(tokenizer).encode(text.as_buffer().to_pybytes())) if text.is_valid else b"", np.uint32)
         value = F.encode(F.col(ids).cast("string"), "UTF-8")
     else:
         def ids_of(list_: pa.Scalar) -> np.ndarray:
