@@ -29,17 +29,37 @@ def sound_alikes(units: DataFrame, keys: Sequence[str], pos: str, unit: str, uns
     return whole.join(size, "name").where((F.col("__n") == F.col("__size")) & ~F.col("same") & F.col("unsure")).select(*keys, "start", "name", "exact")
 
 
+_RUN = r"[\p{L}\p{N}'-]+"
+
+
 def missing_terms(texts: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
-    """Terms (single words or runs of CJK characters) that no text contains.
+    """Terms that no text contains, spaces and punctuation inside a term included; case does not count.
 
-    A term lies inside one run of word characters, so only the distinct runs matter. Most terms are runs
-    themselves and are settled by an equality join; those left join the runs' substrings of their lengths.
+    Most terms are one run of word characters, and only the distinct runs (or, of terms without any, the distinct
+    stretches between runs) matter for those. Of a term of several runs, the first has to end a run of the
+    text, so the texts to look into are found by an equality join on the ends of distinct runs.
     """
-    runs = texts.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}'-]+"), F.lit(0))).alias("__r")).distinct()
-    held = terms.select(term, F.lower(term).alias("__t"))
-    left = held.join(runs.withColumnRenamed("__r", "__t"), "__t", "left_anti")
-    # One row a length, and words are short, so a run gives few substrings.
-    sizes = left.select(F.length("__t").alias("__n")).distinct()
-    at = runs.join(sizes, F.length("__r") > F.col("__n")).select(
-        F.explode(F.expr("transform(sequence(1, length(__r) - __n + 1), i -> substring(__r, i, __n))")).alias("__t")).distinct()
-    return left.join(at, "__t", "left_anti").select(term)
+    low = F.lower(text)
+    held = terms.select(term, F.lower(term).alias("__t"), F.regexp_extract(F.lower(term), _RUN, 0).alias("__first"))
+
+    def stretches(pattern):
+        return texts.select(F.explode(F.regexp_extract_all(low, F.lit(pattern), F.lit(0))).alias("__r")).distinct()
+
+    def inside(some, pool):
+        # One row a length, and stretches are short, so each gives few substrings.
+        sizes = some.select(F.length("__t").alias("__n")).distinct()
+        at = pool.join(sizes, F.length("__r") >= F.col("__n")).select(
+            F.explode(F.expr("transform(sequence(1, length(__r) - __n + 1), i -> substring(__r, i, __n))")).alias("__t")).distinct()
+        return some.join(at, "__t", "left_semi").select("__t")
+    runs = stretches(_RUN)
+    whole, bare = F.col("__first") == F.col("__t"), F.col("__first") == ""
+    plain = held.where(whole).join(runs.withColumnRenamed("__r", "__t"), "__t", "left_anti")
+    found = inside(plain, runs).unionByName(inside(held.where(bare & (F.col("__t") != "")), stretches(r"[^\p{L}\p{N}'-]+")))
+    # Terms of several runs, or with something before their first.
+    mixed = held.where(~whole & ~bare)
+    ends = runs.join(mixed.select(F.length("__first").alias("__n")).distinct(), F.length("__r") >= F.col("__n"))
+    ends = ends.select("__r", F.expr("right(__r, __n)").alias("__first")).join(mixed, "__first").select("__r", "__t")
+    said = texts.select(low.alias("__text"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(_RUN), F.lit(0)))).alias("__r"))
+    found = found.unionByName(said.join(ends, "__r").where(F.col("__text").contains(F.col("__t"))).select("__t"))
+    known = held.where(whole).join(runs.withColumnRenamed("__r", "__t"), "__t", "left_semi").select("__t")
+    return held.where(F.col("__t") != "").join(found.unionByName(known).distinct(), "__t", "left_anti").select(term)

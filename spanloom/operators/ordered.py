@@ -1,11 +1,14 @@
 """Ordered scans that never put a whole key into one task.
 
 A plain window over ``PARTITION BY key`` sends every row of a key to one task, and one key may hold a
-third of the data. Here a key is cut into chunks of its order column (an hour, a day, ten thousand
-positions). The window runs inside ``(key, chunk)``; each chunk is also reduced to one summary row with
+third of the data. Here the rows are dealt into ranges of ``(key, order)`` whose bounds are sampled from the
+rows themselves, so a range holds a like number of rows however dense a key is. A key's rows in one
+range are a chunk. The window runs inside ``(key, chunk)``; each chunk is also reduced to one summary row with
 map-side combining, the summaries are scanned per key (one row per chunk, not per row), and what they
-carry in from earlier or later chunks is joined back on ``(key, chunk)`` - the partitioning the window
-needs anyway, so the detail rows shuffle once.
+carry in from earlier or later chunks is joined back on ``(key, chunk)``, null keys included.
+
+The dealt rows are persisted, so both uses of them, and a scan over a scan, read the input once; a lost
+executor costs only the blocks it held.
 """
 
 from __future__ import annotations
@@ -96,11 +99,13 @@ def ordered_scan(
 ) -> DataFrame:
     """Add running and neighbouring values per key in the given order.
 
-    ``chunk`` has to rise with the first order column; ``order`` has to be a total order within a key.
+    ``order`` has to be a total order within a key; nulls come first, and rows with a null key are a key like
+    any other. ``chunk`` rises with the first order column; it is only a hint, the ranges are found by sampling.
     """
     keys, order = list(keys), list(order)
-    d = df.withColumn(_CHUNK, chunk)
-    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(ranges, *keys, *order).withColumn(_CHUNK, F.spark_partition_id()).persist()
+    at = F.struct(*order)
     aggs, carries = [], []
     up = Window.partitionBy(*keys).orderBy(_CHUNK)
     down = Window.partitionBy(*keys).orderBy(F.col(_CHUNK).desc())
@@ -130,7 +135,13 @@ def ordered_scan(
             aggs.append(fn(o.expr).alias(a))
             carries.append(fn(a).over(before).alias(c))
     summary = d.groupBy(*keys, _CHUNK).agg(*aggs).select(*keys, _CHUNK, *carries)
-    joined = d.join(summary, [*keys, _CHUNK])
+    # Null-safe on the keys; their order columns take no part.
+    carried = summary.select(*[F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)], F.col(_CHUNK).alias("__at_chunk"),
+                             *[f"__c_{name}" for name in outs])
+    same = F.col(_CHUNK) == F.col("__at_chunk")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{i}"))
+    joined = d.join(carried, same)
 
     inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     backward = Window.partitionBy(*keys, _CHUNK).orderBy(*[F.col(c).desc() for c in order])

@@ -155,7 +155,11 @@ def fingerprint(df: DataFrame, keys: Sequence[str], columns: Sequence[str], vers
     Four 32-bit lanes of each row's MD5 are summed, so the group is combined map-side and never gathered or
     sorted; the sums, the row count and the version of the rules are hashed together.
     """
-    h = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))
+    def told(c):
+        """A value led by its length, so that no two rows can read the same; NULL has no length."""
+        text = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+    h = F.md5(F.concat(*map(told, columns)))
     lanes = [F.sum(F.conv(F.substring(h, 1 + 8 * n, 8), 16, 10).cast("long")).cast("string") for n in range(4)]
     return df.groupBy(*keys).agg(F.sha2(F.concat_ws(
         "/", F.lit(version), F.count(F.lit(1)).cast("string"), *lanes), 256).alias("fingerprint"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -167,22 +168,46 @@ def level_of(energy: Column) -> Column:
 
 
 def _fold_runs(runs: pd.DataFrame, shortest: int) -> list[list]:
-    """Fold short runs into the longer neighbour, shortest first, over the runs of one recording."""
-    left = [[int(r.start), int(r.end), r.level] for r in runs.itertuples()]
-    while len(left) > 1:
-        sizes = np.array([b - a for a, b, _ in left])
-        at = int(sizes.argmin())
-        if sizes[at] >= shortest:
+    """Fold short runs into the longer neighbour, shortest first (the earlier of equals; before, of equal neighbours).
+
+    Runs are named by their start and linked to both sides. A queue holds every length a run ever had; an entry
+    that no longer fits its run is passed over, so each fold costs a few queue steps and no rescan.
+    """
+    ends = dict(zip(runs["start"].astype(int), runs["end"].astype(int)))
+    levels = dict(zip(runs["start"].astype(int), runs["level"]))
+    starts = sorted(ends)
+    right = dict(zip(starts, [*starts[1:], None]))
+    left = dict(zip(starts, [None, *starts]))
+    queue = [(ends[a] - a, a) for a in starts]
+    heapq.heapify(queue)
+
+    def length(a):
+        return -1 if a is None else ends[a] - a
+
+    def join(a, b, level):
+        """Make one run of ``a`` and the run after it."""
+        ends[a], levels[a], right[a] = ends.pop(b), level, right[b]
+        if right[a] is not None:
+            left[right[a]] = a
+        heapq.heappush(queue, (length(a), a))
+    while queue and len(ends) > 1:
+        size, a = heapq.heappop(queue)
+        if a not in ends or length(a) != size:
+            continue
+        if size >= shortest:
             break
-        ahead = at == 0 or (at + 1 < len(left) and sizes[at + 1] > sizes[at - 1])
-        to = at + 1 if ahead else at - 1
-        left[to][:2] = [min(left[to][0], left[at][0]), max(left[to][1], left[at][1])]
-        del left[at]
-        k = max(1, at)
-        if k < len(left) and left[k][2] == left[k - 1][2]:
-            left[k - 1][1] = left[k][1]
-            del left[k]
-    return left
+        before, after = left[a], right[a]
+        if length(after) > length(before):
+            join(a, after, levels[after])
+        else:
+            a = before
+            join(a, right[a], levels[a])
+        # What now touches its own kind on either side is one run with it.
+        if right[a] is not None and levels[right[a]] == levels[a]:
+            join(a, right[a], levels[a])
+        if left[a] is not None and levels[left[a]] == levels[a]:
+            join(left[a], a, levels[a])
+    return [[a, ends[a], levels[a]] for a in sorted(ends)]
 
 
 def level_sections(curve: DataFrame, key: str, index: str, chunk: Column, shortest: int = SECTION) -> DataFrame:

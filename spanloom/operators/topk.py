@@ -131,10 +131,13 @@ def evict(units: DataFrame, used: str, ident: str, size: str, need: int, chunk_w
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key that orders runs of digits by value and letters without case."""
+    """Sort key that orders runs of digits by value, however long, and letters without case: a run of digits is
+    led by its length."""
     pieces = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(pieces, lambda p: F.when(
-        p.rlike(r"^\d"), F.lpad(F.coalesce(F.nullif(F.regexp_replace(p, "^0+", ""), F.lit("")), F.lit("0")), 20, "0")).otherwise(p)), "")
+    def led(p):
+        value = F.coalesce(F.nullif(F.regexp_replace(p, "^0+", ""), F.lit("")), F.lit("0"))
+        return F.concat(F.lpad(F.length(value).cast("string"), 10, "0"), value)
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), led(p)).otherwise(p)), "")
 
 
 def spread_picks(spans: DataFrame, ident: str, s: str, e: str, favoured: str, tries: str, count: int, apart: int) -> DataFrame:

@@ -275,7 +275,7 @@ def agg_keep_last_n(spark, sf):
                      ["key"], [F.col("o_orderdate").desc(), F.col("id").desc()], 8).select("key", "id")
 
 
-@query("agg_fingerprint", f"""WITH {q.EV}, h AS (SELECT key, md5(id || '|' || kind || '|' || t) AS h FROM ev)
+@query("agg_fingerprint", f"""WITH {q.EV}, h AS (SELECT key, md5(length(id::VARCHAR) || ':' || id || length(kind) || ':' || kind || length(t::VARCHAR) || ':' || t) AS h FROM ev)
  SELECT key, sha256('v1/' || count(*) || '/' || sum(('0x' || substr(h, 1, 8))::BIGINT) || '/' || sum(('0x' || substr(h, 9, 8))::BIGINT) || '/' || sum(('0x' || substr(h, 17, 8))::BIGINT) || '/' || sum(('0x' || substr(h, 25, 8))::BIGINT)) AS fingerprint FROM h GROUP BY key""")
 def agg_fingerprint(spark, sf):
     return ru.fingerprint(tb.events(spark, sf), ["key"], ["id", "kind", "t"], "v1")

@@ -132,9 +132,10 @@ def fn_reading_blur(spark, sf):
     return nm.sound_alikes(u, ["key"], "pos", "unit", "unsure", names, readings)
 
 
-@query("fn_missing_terms", r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS term FROM benchmark) SELECT term FROM t WHERE NOT EXISTS (SELECT 1 FROM conversations c WHERE contains(lower(c.text), term))""")
+@query("fn_missing_terms", r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}') || regexp_extract_all(lower(text), '[a-z]+[ ,.]+[a-z]+')) AS term FROM benchmark) SELECT term FROM t WHERE NOT EXISTS (SELECT 1 FROM conversations c WHERE contains(lower(c.text), term))""")
 def fn_missing_terms(spark, sf):
-    terms = tb.load(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("term")).distinct()
+    said = [F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0)) for p in ("[a-z]{5,}", "[a-z]+[ ,.]+[a-z]+")]
+    terms = tb.load(spark, sf, "benchmark").select(F.explode(F.concat(*said)).alias("term")).distinct()
     return nm.missing_terms(tb.load(spark, sf, "conversations"), "text", terms, "term")
 
 

@@ -121,7 +121,7 @@ def top_newest_per_group(spark, sf):
     return d.join(top, ["source", "lang"]).where("id <> newest").select("id", "newest")
 
 
-@query("srt_natural", r"""SELECT page_id AS id, array_to_string(list_transform(regexp_extract_all(lower(url), '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END, 20, '0') ELSE p END), '') AS sort_key FROM pages""")
+@query("srt_natural", r"""SELECT page_id AS id, array_to_string(list_transform(regexp_extract_all(lower(url), '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(greatest(length(ltrim(p, '0')), 1)::VARCHAR, 10, '0') || CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END ELSE p END), '') AS sort_key FROM pages""")
 def srt_natural(spark, sf):
     return tb.load(spark, sf, "pages").select(F.col("page_id").alias("id"), topk.natural_key(F.col("url")).alias("sort_key")).orderBy("sort_key", "id")
 

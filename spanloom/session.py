@@ -6,11 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only when it is known to hold no more rows than this.
-BROADCAST_ROWS = 200_000
-
 
 def local_session(cpus: str = "8", app: str = "spanloom") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -30,11 +25,14 @@ def local_session(cpus: str = "8", app: str = "spanloom") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared checkpoint folder the session names; a temporary one only where none is set."""
+    """Use the shared checkpoint folder the session names. Only a local session may go without: on a cluster a temporary
+    folder would lie on disks that the other machines do not see."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
@@ -50,9 +48,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     restarts from there and the plan does not grow with the rounds."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the table is counted to be small enough, else leave the join to shuffle."""
-    held = df.limit(rows + 1).count()
-    return F.broadcast(df) if held <= rows else df
