@@ -6,16 +6,16 @@ could reach the threshold are confirmed on the full sets.
 
 Texts with equal sets are one class from the start. A large family of near copies is not turned into all its pairs: each bucket
 names the class that is most like a few others of it, and each class is tried against the best of its buckets' leaders, which joins
-most of a family. Then pairs of classes that still lie in different components are compared inside the tasks that hold a bucket, large
-buckets in blocks. A pair is looked at in the first bucket it shares, and goes on only if its estimate leaves it a chance and its sets
-have one of their rarest word runs in common: two sets over the threshold agree on one among the first ``size - overlap + 1`` of each, in
-any order of runs that is the same for both, which no pair over the threshold can escape.
+most of a family. Then pairs of classes that still lie in different components are compared inside the tasks that hold a bucket, buckets in blocks. A pair is looked at in the first bucket it shares, and goes on only if its estimate leaves it a chance and so do the
+rarest word runs of its sets: up to the smaller of the two lists' last runs all that the sets share is seen, and beyond it they can
+share no more than the smaller rest. No pair over the threshold fails that.
 A pair of similarity 0.8 shares none of the 32 bands once in 2 * 10^7 pairs, and its estimate falls under the margin once in 10^9.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,15 +162,9 @@ def _across(percent: int):
             comps, block, sizes = np.unique(comps, return_inverse=True)[1], np.array(block), np.array(sizes, np.int64)
             sign, keys = np.array(signs, np.int64).view(np.uint64), np.array(keys, np.int64)
             here = int(np.flatnonzero(keys[0] == key[0])[0])  # this bucket's place among a class's keys
-            first: dict[tuple[int, int], frozenset] = {}
-
-            def rarest(i: int, n: int) -> frozenset:
-                if (i, n) not in first:
-                    first[i, n] = frozenset(rare[i][:n])
-                return first[i, n]
+            sets = [frozenset(r) for r in rare]
             found = []
             for i in range(0, len(nodes), BLOCK):
-                first.clear()
                 for j in range(i, len(nodes), BLOCK):
                     x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
                     may = comps[x, None] != comps[None, y]
@@ -186,7 +180,9 @@ def _across(percent: int):
                     for a, b in zip(*(c.tolist() for c in np.nonzero(may))):
                         a, b = a + i, b + j
                         overlap = -(-percent * int(sizes[a] + sizes[b]) // (100 + percent))
-                        if not rarest(a, int(sizes[a]) - overlap + 1).isdisjoint(rarest(b, int(sizes[b]) - overlap + 1)):
+                        seen = min(rare[a][-1], rare[b][-1])
+                        rest = min(int(sizes[a]) - bisect_right(rare[a], seen), int(sizes[b]) - bisect_right(rare[b], seen))
+                        if len(sets[a] & sets[b]) + rest >= overlap:
                             found.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
@@ -234,12 +230,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     placed = shared.join(comps, "node", "left").select("key", "members", "node", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     placed = cut_lineage(placed.join(split, "key"))
-    # The rarest runs of each class still in question, as many as a partner of any size could ask for.
+    # The rarest runs of each class still in question, one more than a partner may lack.
     runs = sets.join(placed.select("node").distinct(), "node").select("node", F.explode("runs").alias("run"))
     runs = runs.withColumn("classes", F.count(F.lit(1)).over(W.partitionBy("run")))
-    rare = runs.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("classes", "run"))).alias("r"))
+    # One number orders runs by rarity and then tells them apart.
+    place = F.shiftleft(F.least("classes", F.lit(32767)), 48).bitwiseOR(F.col("run").bitwiseAND(F.lit((1 << 48) - 1)))
+    rare = runs.groupBy("node").agg(F.array_sort(F.collect_list(place)).alias("r"))
     most = F.size("r") - F.ceil(F.size("r") * percent / 100).cast("int") + 1
-    rare = rare.select("node", F.transform(F.slice("r", 1, most), lambda r: r["run"].bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("rare"))
+    rare = rare.select("node", F.slice("r", 1, most).alias("rare"))
     known = classes.select("node", "sign", "keys", "n").join(rare, "node")
     # A bucket of b blocks is b * (b + 1) / 2 tasks' worth, each of two blocks.
     blocks = F.ceil(F.col("members") / SPLIT).cast("int")
