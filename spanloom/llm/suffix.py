@@ -314,7 +314,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", len
     An empty table gives an empty result. Other columns are not looked at. ``length`` must be from 21 to 255.
     """
     spark, p = docs.sparkSession, partitions(docs)
-    parts, ranges = 2 * p, 8 * p  # a part's texts and a range's index are each held by one task
+    parts, ranges = p, 4 * p  # a part's texts and a range's index are each held by one task
     rows = two_columns(docs, id, text).select(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.encode("text", "UTF-8").alias("text"))
     name, folder = f"texts_by_part_{uuid.uuid4().hex}", shared_folder(spark, "texts")
     (rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(p, "part")
