@@ -220,12 +220,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         return both.where(F.col("common") * 100 >= (F.col("sum") - F.col("common")) * percent).select("a", "b")
 
     # Each class against the leader it resembles most.
-    led = (shared.join(sign, "node").select("key", "node", "sign").repartition("key").sortWithinPartitions("key", "node")
-           .mapInArrow(_led(percent / 100 - MARGIN), "node binary, leader binary, equal int"))
+    led = cut_lineage(shared.join(sign, "node").select("key", "node", "sign").repartition("key").sortWithinPartitions("key", "node")
+                      .mapInArrow(_led(percent / 100 - MARGIN), "node binary, leader binary, equal int").distinct())
     best = led.groupBy("node").agg(F.max_by("leader", F.struct("equal", "leader")).alias("leader"))
     links = cut_lineage(confirmed(best.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
     comps = cut_lineage(components(links, "a", "b"))
 
+    # Different leaders' followings may still be apart: of each two, the most alike follower and leader are tried.
+    of_leader = comps.select(F.col("node").alias("leader"), F.col("component").alias("other"))
+    between = led.join(comps, "node", "left").join(of_leader, "leader", "left").select(
+        "node", "leader", "equal", F.coalesce("component", "node").alias("one"), F.coalesce("other", "leader").alias("two")).where("one <> two")
+    between = between.groupBy(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).agg(
+        F.max_by(F.struct("node", "leader"), F.struct("equal", "node", "leader")).alias("p"))
+    links = cut_lineage(links.unionByName(confirmed(between.select(F.col("p.node").alias("a"), F.col("p.leader").alias("b")))))
+    comps = cut_lineage(components(links, "a", "b"))
+
     # Whatever still lies apart within a bucket.
     placed = shared.join(comps, "node", "left").select("key", "members", "node", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
