@@ -5,8 +5,9 @@ into eight longs, estimate a candidate pair's similarity by counting equal field
 could reach the threshold are confirmed on the full sets.
 
 Texts with equal sets are one class from the start. A large family of near copies is not turned into all its pairs: each bucket
-names the class that is most like a few others of it, and each class is tried against the best of its buckets' leaders, which joins
-most of a family. Then pairs of classes that still lie in different components are compared inside the tasks that hold a bucket, buckets in blocks. A pair is looked at in the first bucket it shares, and goes on only if its estimate leaves it a chance and so do the
+names the class that is most like a few others of it (a large bucket: of each hash block, then among those), and each class is tried against the best of its buckets' leaders, which joins
+most of a family. Then pairs of classes that still lie in different components are compared inside the tasks that hold a bucket, buckets in blocks: the classes outside a bucket's largest
+component meet each other and that component, which does not meet itself. A pair is looked at in the first bucket it shares, and goes on only if its estimate leaves it a chance and so do the
 rarest word runs of its sets: up to the smaller of the two lists' last runs all that the sets share is seen, and beyond it they can
 share no more than the smaller rest. No pair over the threshold fails that.
 A pair of similarity 0.8 shares none of the 32 bands once in 2 * 10^7 pairs, and its estimate falls under the margin once in 10^9.
@@ -121,29 +122,33 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return HASHES - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int32)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
-    """The columns of each run of rows with the same first ``keys`` columns, one run after another."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, least: int = 2) -> Iterator[list[list]]:
+    """The columns of each run of at least ``least`` rows with the same first ``keys`` columns, one run after another."""
     key, held = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:keys] != key:
-                if len(held) > 1:
+                if len(held) >= least:
                     yield list(map(list, zip(*held)))
                 key, held = row[:keys], []
             held.append(row)
-    if len(held) > 1:
+    if len(held) >= least:
         yield list(map(list, zip(*held)))
 
 
+def _leader(sign: np.ndarray) -> int:
+    """Which signature is most like some others of them."""
+    looks = np.linspace(0, len(sign) - 1, min(LOOKS, len(sign))).astype(np.int64)
+    return int(np.concatenate([agreeing(sign[i:i + BLOCK], sign[looks]).sum(axis=1) for i in range(0, len(sign), BLOCK)]).argmax())
+
+
 def _led(least: float):
-    """Of each bucket the class most like some others of it, and all classes whose estimate with that one reaches ``least``."""
+    """Of each bucket the leader, and all classes whose estimate with that one reaches ``least``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for _, nodes, signs in _groups(batches, 1):
             sign = np.array(signs, np.int64).view(np.uint64)
-            looks = np.linspace(0, len(nodes) - 1, min(LOOKS, len(nodes))).astype(np.int64)
-            like = np.concatenate([agreeing(sign[i:i + BLOCK], sign[looks]).sum(axis=1) for i in range(0, len(nodes), BLOCK)])
-            leader = int(like.argmax())
+            leader = _leader(sign)
             equal = np.concatenate([agreeing(sign[i:i + BLOCK], sign[leader:leader + 1])[:, 0] for i in range(0, len(nodes), BLOCK)])
             out += [(nodes[i], nodes[leader], int(equal[i])) for i in np.flatnonzero(estimate(equal) >= least).tolist() if i != leader]
             if len(out) > 10_000:
@@ -154,6 +159,30 @@ def _led(least: float):
     return run
 
 
+def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The leader alone of each (key, block): rows are (key, block, node, signature), and so is what comes out."""
+    for key, block, nodes, signs in _groups(batches, 2, 1):
+        i = _leader(np.array(signs, np.int64).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([key[i]], pa.int64()), pa.array([block[i]], pa.int32()), pa.array([nodes[i]], pa.binary()),
+                                          pa.array([signs[i]], pa.list_(pa.int64()))], names=["key", "block", "node", "sign"])
+
+
+def _led_in_blocks(rows: DataFrame, least: float) -> DataFrame:
+    """``_led`` for large buckets, rows (key, members, node, sign), where no task holds more than a block of one: the leader is chosen
+    among the leaders of its blocks, and comes back to the blocks by a join."""
+    blocks = F.ceil(F.col("members") / SPLIT).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+
+    def leading(of: DataFrame) -> DataFrame:
+        return (of.select("key", "block", "node", "sign").repartition("key", "block").sortWithinPartitions("key", "block", "node")
+                .mapInArrow(_leading, "key long, block int, node binary, sign array<long>"))
+    leaders = leading(leading(rows).withColumn("block", F.lit(0))).select("key", F.col("node").alias("leader"), F.col("sign").alias("theirs"))
+    sizes = rows.select("key", "block").distinct()
+    leaders = cut_lineage(sizes.join(leaders, "key"))
+    equal = equal_fields(F.col("sign"), F.col("theirs"))
+    return rows.join(leaders, ["key", "block"]).where("node <> leader").select("node", "leader", equal.alias("equal")).where(estimate(F.col("equal")) >= least)
+
+
 def _across(percent: int):
     """Pairs of different components in each block of a bucket that may reach the threshold: rows are (key, lo, hi, block, node, component,
     size, rarest runs, keys, signature), and a block of two halves meets only across them."""
@@ -189,6 +218,23 @@ def _across(percent: int):
     return run
 
 
+def _halves(placed: DataFrame) -> DataFrame:
+    """The tasks (key, lo, hi) that each class of a bucket goes to, rows (key, node, component, largest, large, members).
+
+    A bucket's largest component, ``large`` of its ``members``, has nothing to be compared with inside itself. The others are dealt into
+    blocks, each of which meets itself, every other, and every block of the largest. A bucket that fits a block is one task."""
+    fits = F.col("members") <= SPLIT
+    inner = (F.col("component") == F.col("largest")) & ~fits
+    few = F.ceil((F.col("members") - F.col("large")) / SPLIT).cast("int")
+    many = F.when(fits, 0).otherwise(F.ceil(F.col("large") / SPLIT)).cast("int")
+    halves = placed.withColumn("few", few).withColumn("many", many)
+    dealt = F.when(inner, F.col("few") + F.pmod(F.xxhash64("node"), F.greatest("many", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("few")))
+    halves = halves.withColumn("block", dealt.cast("int"))
+    last = F.col("few") + F.when(inner, 0).otherwise(F.col("many")) - 1
+    halves = halves.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return halves.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable over links) and kept.
 
@@ -205,7 +251,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     buckets = classes.select("node", F.explode("keys").alias("key"))
     met = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = cut_lineage(buckets.join(met, "key"))  # only buckets of two classes or more
-    sign = classes.select("node", "sign")
+    signed = shared.join(classes.select("node", "sign"), "node").select("key", "members", "node", "sign")
 
     # Sets of the classes that share a bucket, from one row of each.
     wanted = shared.select("node").distinct().join(classes.select("node", "id", "n"), "node")
@@ -220,8 +266,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         return both.where(F.col("common") * 100 >= (F.col("sum") - F.col("common")) * percent).select("a", "b")
 
     # Each class against the leader it resembles most.
-    led = cut_lineage(shared.join(sign, "node").select("key", "node", "sign").repartition("key").sortWithinPartitions("key", "node")
-                      .mapInArrow(_led(percent / 100 - MARGIN), "node binary, leader binary, equal int").distinct())
+    likely = percent / 100 - MARGIN
+    led = (signed.where(F.col("members") <= SPLIT).select("key", "node", "sign").repartition("key").sortWithinPartitions("key", "node")
+           .mapInArrow(_led(likely), "node binary, leader binary, equal int"))
+    if not shared.where(F.col("members") > SPLIT).isEmpty():
+        led = led.unionByName(_led_in_blocks(signed.where(F.col("members") > SPLIT), likely))
+    led = cut_lineage(led.distinct())
     best = led.groupBy("node").agg(F.max_by("leader", F.struct("equal", "leader")).alias("leader"))
     links = cut_lineage(confirmed(best.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
     comps = cut_lineage(components(links, "a", "b"))
@@ -236,9 +286,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     comps = cut_lineage(components(links, "a", "b"))
 
     # Whatever still lies apart within a bucket.
-    placed = shared.join(comps, "node", "left").select("key", "members", "node", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    placed = cut_lineage(placed.join(split, "key"))
+    placed = shared.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    parted = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("large"), F.sum("n").alias("members")).where("large < members")
+    placed = cut_lineage(placed.join(parted, "key"))
     # The rarest runs of each class still in question, one more than a partner may lack.
     runs = sets.join(placed.select("node").distinct(), "node").select("node", F.explode("runs").alias("run"))
     runs = runs.withColumn("classes", F.count(F.lit(1)).over(W.partitionBy("run")))
@@ -248,11 +299,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     most = F.size("r") - F.ceil(F.size("r") * percent / 100).cast("int") + 1
     rare = rare.select("node", F.slice("r", 1, most).alias("rare"))
     known = classes.select("node", "sign", "keys", "n").join(rare, "node")
-    # A bucket of b blocks is b * (b + 1) / 2 tasks' worth, each of two blocks.
-    blocks = F.ceil(F.col("members") / SPLIT).cast("int")
-    halves = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    halves = halves.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    halves = halves.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    halves = _halves(placed)
     apart = (halves.join(known, "node").select("key", "lo", "hi", "block", "node", "component", "n", "rare", "keys", "sign")
              .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
              .mapInArrow(_across(percent), "a binary, b binary"))

@@ -74,6 +74,35 @@ def test_near_duplicates_in_split_buckets(spark, monkeypatch):
     assert collections.Counter(map(tuple, near.near_duplicates(table(spark, rows), width=4).collect())) == near_answer(rows, 4)
 
 
+def test_near_duplicates_hold_no_large_bucket(spark, monkeypatch):
+    """One bucket of 300 classes, of which 297 are a component: no task's group is larger than two blocks, and the rows of the last step follow the bucket's size."""
+    monkeypatch.setattr(near, "SPLIT", 16)
+    base = prose(11, 200).split()
+    rows = [(i, " ".join(base + [f"end{i}"]), "n") for i in range(297)]
+    for i in range(3):  # the words of most of the text, but under the threshold
+        w = list(base)
+        for k in range(i, len(w), 16):
+            w[k] = f"other{i}x{k}"
+        rows.append((1000 + i, " ".join(w), "n"))
+    kind, seen = type(table(spark, [])), []
+    plain = kind.mapInArrow
+
+    def spied(df, fn, schema, *more):
+        if "key" in df.columns:
+            keys = [c for c in ("key", "lo", "hi", "block") if c in df.columns and (c != "block" or "lo" not in df.columns)]
+            groups = [r["count"] for r in df.groupBy(*keys).count().collect()]
+            of = df.groupBy("key").agg({"node": "approx_count_distinct"}).count()
+            seen.append((fn.__qualname__, max(groups, default=0), sum(groups), of))
+        return plain(df, fn, schema, *more)
+    monkeypatch.setattr(kind, "mapInArrow", spied)
+    got = near.near_duplicates(table(spark, rows), width=1, percent=95)
+    assert collections.Counter(map(tuple, got.collect())) == near_answer(rows, 1, 95)
+    assert any("_across" in name for name, *_ in seen)
+    for name, most, all_, buckets in seen:
+        assert most <= 4 * 16, (name, most)
+        assert "_across" not in name or all_ <= buckets * (300 + 20 * 3), (name, all_, buckets)
+
+
 def test_signatures_estimate_similarity():
     pick = np.random.default_rng(1)
     for share in (0.2, 0.5, 0.8):
