@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import two_columns
+from spanloom.llm.common import text_or_empty, two_columns
 from spanloom.llm.shingles import mixed, word_runs, words_of
 from spanloom.operators.graph import components
 from spanloom.session import cut_lineage
@@ -84,8 +84,8 @@ def _features(width: int):
                 sizes.append(len(runs))
                 keys.append(bands(least) if node else runs)
                 signs.append(packed(least) if node else runs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys), _lists(signs)],
-                                             names=["id", "node", "n_shingles", "keys", "sign"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys), _lists(signs)],
+                                             names=["id", "digest", "node", "n_shingles", "keys", "sign"])
     return run
 
 
@@ -244,8 +244,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     Rows with a null id come after all others and count as one id; rows repeated under an id are judged each by its own text.
     An empty table gives an empty result. Other columns are not looked at.
     """
-    rows = two_columns(docs, id, text).select("id", F.encode("text", "UTF-8").alias("text"))
-    features = cut_lineage(rows.mapInArrow(_features(width), "id long, node binary, n_shingles long, keys array<long>, sign array<long>"))
+    return _judged(docs, id, text, width, percent).select("id", "n_shingles", "component_id", "kept")
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+
+
+def _judged(docs: DataFrame, id: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
+    """``near_duplicates`` with the digest of each row's text, by which a row under a repeated id is known."""
+    rows = two_columns(docs, id, text).select("id", F.encode("text", "UTF-8").alias("text"), _digest(F.col("text")).alias("digest"))
+    features = cut_lineage(rows.mapInArrow(_features(width), "id long, digest binary, node binary, n_shingles long, keys array<long>, sign array<long>"))
     classes = cut_lineage(features.where("node is not null").groupBy("node").agg(
         F.first("keys").alias("keys"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n"), F.min(F.coalesce("id", F.lit(NO_ID))).alias("id")))
     buckets = classes.select("node", F.explode("keys").alias("key"))
@@ -306,14 +315,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     links = cut_lineage(links.unionByName(confirmed(apart)))
     comps = components(links, "a", "b")
 
-    known = features.select("id", "n_shingles", "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = features.select("id", "digest", "n_shingles", "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = known.withColumn("rank", F.coalesce("id", F.lit(NO_ID)))
     ids = known.where("component is not null").groupBy("component").agg(F.min("rank").alias("least"))
     out = known.join(ids, "component", "left").withColumn("component_id", F.nullif(F.coalesce("least", "rank"), F.lit(NO_ID)))
-    return out.select("id", "n_shingles", "component_id", F.expr("id <=> component_id").alias("kept"))
+    return out.select("id", "digest", "n_shingles", "component_id", F.expr("id <=> component_id").alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each component those under its smallest id."""
-    kept = near_duplicates(docs, id, text, **limits).where("kept").select(F.col("id").alias("__id")).distinct()
-    return docs.join(kept, F.col(id).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns: of each component those under its smallest id. Rows repeated under an id,
+    or without one, stay or go each by its own text."""
+    kept = _judged(docs, id, text, **limits).where("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    rows = docs.withColumn("__digest_of", _digest(text_or_empty(text)))
+    return rows.join(kept, F.col(id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest_of") == F.col("__digest")), "left_semi").drop("__digest_of")

@@ -74,6 +74,18 @@ def test_near_duplicates_in_split_buckets(spark, monkeypatch):
     assert collections.Counter(map(tuple, near.near_duplicates(table(spark, rows), width=4).collect())) == near_answer(rows, 4)
 
 
+def test_one_of_each_judges_rows_by_their_own_text(spark):
+    """Null ids and ids of two texts: near copies go though another row under their id stays."""
+    rows = odd_rows() + [(None, prose(12, 90), "a"), (None, None, "a"), (None, "alone without an id", "a"), (26, prose(12, 90) + " end", "b")]
+    rows.sort(key=lambda r: HIGH if r[0] is None else r[0])  # so that places, unlike ids unique, have the same order
+    kept = collections.Counter(rows[i] for i, _, least, _ in near_answer([(i, t, s) for i, (_, t, s) in enumerate(rows)], 5) if rows[i][0] == rows[least][0])
+    got = near.one_of_each(table(spark, rows))
+    assert got.columns == table(spark, rows).columns
+    assert collections.Counter((r.doc_id, r.text, r.source) for r in got.collect()) == kept
+    assert kept[25, "one id", "f"] and not kept[25, "two texts " + prose(1, 120), "f"] and kept[None, "alone without an id", "a"]
+    assert not kept[None, prose(1, 120), "a"] and not kept[None, prose(12, 90), "a"]
+
+
 def test_near_duplicates_hold_no_large_bucket(spark, monkeypatch):
     """One bucket of 300 classes, of which 297 are a component: no task's group is larger than two blocks, and the rows of the last step follow the bucket's size."""
     monkeypatch.setattr(near, "SPLIT", 16)
