@@ -57,31 +57,52 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     without words has target 0 and its rows are not emitted. A null source is a source. Equal rows are drawn one by one.
     An empty table gives an empty result. Other columns are not looked at.
     """
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), words(text_or_empty(text)).alias("size"))
-    rows = rows.withColumn("tie", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
+    rows = _sized(docs, id, text, source)
     # Ranges of the order, written once: a hot source is many ranges, and row numbers need only the counts before a range.
     rows = cut_lineage(rows.repartitionByRange(partitions(docs), F.col("source"), F.col("size"), F.col("tie"))
                        .withColumn("piece", F.spark_partition_id()))
+    number = F.row_number().over(W.partitionBy("source", "piece").orderBy("size", "tie", "id")).cast("long") - 1
+    out = _drawn(rows.withColumn("number", number), _shares(rows, weights, most), seed)
+    return out.select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _sized(docs: DataFrame, id: str, text: str, source: str, *more: Column) -> DataFrame:
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), words(text_or_empty(text)).alias("size"), *more)
+    return rows.withColumn("tie", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
+
+
+def _shares(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """Per range (__s, __p), no more of them than pieces and sources together: rows before it in its source, source_size and target."""
     pieces = rows.groupBy("source", "piece").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     before = pieces.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("piece")) - F.col("n"))
     share = targets(pieces.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     known = before.select("source", "piece", "before").join(share.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    known = known.select(F.col("source").alias("__s"), F.col("piece").alias("__p"), "before", "source_size", "target")
-    number = F.row_number().over(W.partitionBy("source", "piece").orderBy("size", "tie", "id")).cast("long") - 1
-    out = rows.withColumn("number", number).join(known, F.col("source").eqNullSafe(F.col("__s")) & (F.col("piece") == F.col("__p")))
+    return known.select(F.col("source").alias("__s"), F.col("piece").alias("__p"), "before", "source_size", "target")
+
+
+def _drawn(rows: DataFrame, known: DataFrame, seed: str) -> DataFrame:
+    """The rows, numbered in their range, with the columns of ``_shares`` and copies."""
+    out = rows.join(known, F.col("source").eqNullSafe(F.col("__s")) & (F.col("piece") == F.col("__p")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = unit_hash(F.concat(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")), F.lit("|" + seed)))
     at = F.col("number") + F.col("before")
-    out = out.withColumn("copies", F.floor((at + 1) * rate + start) - F.floor(at * rate + start))
-    return out.select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.withColumn("copies", F.floor((at + 1) * rate + start) - F.floor(at * rate + start))
+
 
+def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3),
+             most: int = 3, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as the mix takes it.
 
-def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **shares) -> DataFrame:
-    """The rows of ``docs`` with all their columns, each as often as the mix takes it. Rows repeated under one id take its draws in
-    order of size and source, as ``mix`` numbers them."""
-    drawn = mix(docs, id, text, source, **shares).groupBy(F.col("id").alias("__id")).agg(
-        F.sort_array(F.collect_list(F.struct("size", "source", "copies"))).alias("__drawn"))
-    nth = F.row_number().over(W.partitionBy(F.col(id).cast("long")).orderBy(words(text_or_empty(text)), F.col(source).cast("string")))
-    met = docs.withColumn("__nth", nth).join(drawn, F.col(id).cast("long").eqNullSafe(F.col("__id")))
-    copies = F.element_at("__drawn", F.col("__nth"))["copies"]
-    return met.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*[docs[c] for c in docs.columns])
+    Rows go through the ranges whole, so nothing is brought together by id: rows without one, or repeated under one, are dealt by
+    a hash of the text and then singly, and a range numbers its rows as they lie, in the order of ``mix``.
+    """
+    rows = _sized(docs, id, text, source, F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(text_or_empty(text)).alias("content"))
+    rows = rows.withColumn("nth", F.monotonically_increasing_id())
+    order = [F.col(c) for c in ("source", "size", "tie", "id", "content", "nth")]
+    rows = rows.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
+    rows = cut_lineage(rows.select("source", "size", "row", F.spark_partition_id().alias("piece"), F.monotonically_increasing_id().alias("place")))
+    first = rows.groupBy("source", "piece").agg(F.min("place").alias("first")).withColumnRenamed("source", "__of")
+    known = _shares(rows, weights, most).join(first, F.col("__s").eqNullSafe(F.col("__of")) & (F.col("__p") == F.col("piece"))).drop("__of", "piece")
+    # The few ranges go to the rows, whose texts are not shuffled again.
+    out = _drawn(rows.withColumn("number", F.col("place")), known.withColumn("before", F.col("before") - F.col("first")).hint("broadcast"), seed)
+    return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

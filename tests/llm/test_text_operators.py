@@ -11,12 +11,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.llm import mixing
 from spanloom.llm.chat import escaped, format_chats, parsed, unescaped
 from spanloom.llm.exact import drop_copies, exact_groups
 from spanloom.llm.lines import line_bitmaps, without_repeated_lines
 from spanloom.llm.mixing import mix, repeated, targets
 from spanloom.llm.quality import held_out, keep_good, learn, score
-from tests.llm.cases import SPACE, lower, odd_rows, table, words
+from tests.llm.cases import SPACE, lower, odd_rows, prose, table, words
 
 HIGH = 1 << 62
 
@@ -139,6 +140,24 @@ def test_mix(spark):
     assert out == +copies and mix(table(spark, [])).count() == 0
 
 
+def test_repeated_brings_no_id_together(spark, monkeypatch):
+    """A third of the rows without an id: no range of the order holds them all, and no plan groups them by id or collects their draws."""
+    rows = odd_rows() + [(None, prose(i % 50, 30), "a") for i in range(400)] + [(None, "", "b") for i in range(400)]
+    df = table(spark, rows)
+    copies = collections.Counter()
+    for r in mix(df).collect():
+        copies[r.id, r.size, r.source] += r.copies
+    made = []
+    cut = mixing.cut_lineage
+    monkeypatch.setattr(mixing, "cut_lineage", lambda d: made.append(cut(d)) or made[-1])
+    out = repeated(df)
+    assert out.columns == df.columns
+    assert collections.Counter((r.doc_id, len(words(r.text)), r.source) for r in out.collect()) == +copies
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    assert max(r["count"] for r in made[0].where("row.doc_id is null and source = 'b'").groupBy("piece").count().collect()) < 400
+
+
 def test_quality(spark):
     good = [(i, " ".join("the quick brown fox jumps over it again today".split()[j % 9] for j in range(i, i + 60)) + ".", "a") for i in range(300)]
     bad = [(1000 + i, " ".join(f"w{j}###" for j in range(i, i + 60)), "b") for i in range(100)]
