@@ -10,6 +10,7 @@ from spanloom.llm.ann import nearest
 from spanloom.llm.bpe import decode, encode
 from spanloom.llm.chat import format_chats, parsed, unescaped
 from spanloom.llm.exact import exact_groups
+from spanloom.llm.filters import filter_audit
 from spanloom.llm.lines import without_repeated_lines
 from spanloom.llm.mixing import mix
 from spanloom.llm.near import near_duplicates
@@ -157,3 +158,28 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark, "shards")
     write_training_order(spark.read.parquet(f"{sf}/documents.parquet"), folder, ids="text", tokenizer=public_tokenizers.path("word_bpe_49k.json"))
     return read_shards(spark, folder, 256).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_filter_audit", r"""
+WITH words AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+first AS (SELECT text, min(doc_id) AS least FROM words GROUP BY text),
+said AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * list_unique(w) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM words JOIN first USING (text) LEFT JOIN said USING (doc_id)),
+counts AS (SELECT part, good, toxic, fails, count(*) AS n FROM judged GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before FROM orders, range(1, 6) t(step)),
+hits AS (SELECT *, contains(fails, own) AS here, translate(fails, before, '') <> fails AS early FROM counts, steps),
+sums AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT here AND NOT early), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND NOT early), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (here AND early), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (here AND NOT early AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (here AND NOT early AND toxic), 0)::BIGINT AS toxic_lost
+  FROM hits GROUP BY ALL)
+SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM sums""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
