@@ -16,6 +16,7 @@ from spanloom.llm.mixing import mix
 from spanloom.llm.near import near_duplicates
 from spanloom.llm.quality import held_out, learn, score
 from spanloom.llm.shards import read_shards, write_training_order
+from spanloom.llm.spelling import one_code_point_lost, spelling_groups, word_counts
 from spanloom.llm.suffix import without_repeats
 from spanloom.session import shared_folder
 
@@ -183,3 +184,33 @@ sums AS (
 SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM sums""")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return filter_audit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query("op13_spelling_groups", r"""
+WITH RECURSIVE table_of AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs),
+summed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT)),
+                     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc FROM bytes, table_of),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word FROM summed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (SELECT word, n, i, substr(word, 1, i::INT) || substr(word, (i + 2)::INT) AS d FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.d = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.d = b.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+told AS (SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+         FROM words w LEFT JOIN best b ON w.word = b.word),
+walk AS (SELECT word, word AS root, 0 AS step FROM told UNION ALL SELECT walk.word, form, step + 1 FROM walk JOIN told ON walk.root = told.word WHERE form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, step) AS root FROM walk GROUP BY word)
+SELECT told.*, root FROM told JOIN ends ON told.word = ends.word""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_groups(word_counts(spark.read.parquet(f"{sf}/documents.parquet"), change=one_code_point_lost))
