@@ -21,3 +21,19 @@ def two_columns(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 def partitions(docs: DataFrame) -> int:
     return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], n: str = "n", lot: str = "lot") -> DataFrame:
+    """Left join of ``rows`` to a table that has each key once, with the number ``n`` of rows under it, in which no key meets in one task.
+
+    The keys with more than 10,000 rows and more than a ten-thousandth of all are fewer than 10,000, so those are broadcast; their rows go
+    on under ``lot``, a number of each row that was given where the rows were read and is not 0. Keys must not be null.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    line = max(10_000, total // 10_000)
+    own = [c for c in table.columns if c not in on]
+    few = F.broadcast(table.where(F.col(n) > line).select(*on, F.struct(*own).alias("__few")))
+    rest = table.where(F.col(n) <= line).select(*on, F.lit(0).cast("long").alias("__lot"), F.struct(*own).alias("__rest"))
+    met = rows.join(few, on, "left").withColumn("__lot", F.when(F.col("__few").isNull(), F.lit(0)).otherwise(F.col(lot)).cast("long"))
+    met = met.join(rest, [*on, "__lot"], "left").withColumn("__own", F.coalesce("__few", "__rest"))
+    return met.select(*rows.columns, *(F.col(f"__own.{c}").alias(c) for c in own))

@@ -18,6 +18,7 @@ from spanloom.llm.quality import held_out, learn, score
 from spanloom.llm.shards import read_shards, write_training_order
 from spanloom.llm.spelling import one_code_point_lost, spelling_groups, word_counts
 from spanloom.llm.suffix import without_repeats
+from spanloom.llm.warc import read_warc, write_warc
 from spanloom.session import shared_folder
 
 QUERIES, ORACLE = {}, {}
@@ -214,3 +215,17 @@ ends AS (SELECT word, arg_max(root, step) AS root FROM walk GROUP BY word)
 SELECT told.*, root FROM told JOIN ends ON told.word = ends.word""")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return spelling_groups(word_counts(spark.read.parquet(f"{sf}/documents.parquet"), change=one_code_point_lost))
+
+
+@query("op11_warc", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+letters AS (SELECT page_id, body, top, list_transform(range(32), lambda i:
+              ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT) AS five FROM p)
+SELECT page_id, strlen(body) AS payload_bytes, array_to_string(list_transform(five, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
+FROM letters""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    write_warc(spark.read.parquet(f"{sf}/pages.parquet"), folder)
+    read = read_warc(spark, folder, ["row_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+    return read.withColumnRenamed("row_id", "page_id")
