@@ -7,8 +7,9 @@ range are a chunk. The window runs inside ``(key, chunk)``; each chunk is also r
 map-side combining, the summaries are scanned per key (one row per chunk, not per row), and what they
 carry in from earlier or later chunks is joined back on ``(key, chunk)``, null keys included.
 
-The dealt rows are persisted, so both uses of them, and a scan over a scan, read the input once; a lost
-executor costs only the blocks it held.
+The dealt rows are written once to the checkpoint folder, so both uses of them see the same ranges and read the input
+once, and a lost executor costs nothing that was dealt. Nothing is cached: a scan reads its input when it is called.
+``spark.cleaner.referenceTracking.cleanCheckpoints`` lets Spark delete what no plan refers to any more.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _CHUNK = "__chunk"
 
 
@@ -102,9 +105,18 @@ def ordered_scan(
     ``order`` has to be a total order within a key; nulls come first, and rows with a null key are a key like
     any other. ``chunk`` rises with the first order column; it is only a hint, the ranges are found by sampling.
     """
-    keys, order = list(keys), list(order)
+    return _scanned(_dealt(df, keys, order), keys, order, outs).drop(_CHUNK)
+
+
+def _dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows in ranges of (keys, order), with the number of their range."""
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartitionByRange(ranges, *keys, *order).withColumn(_CHUNK, F.spark_partition_id()).persist()
+    return cut_lineage(df.repartitionByRange(ranges, *keys, *order).withColumn(_CHUNK, F.spark_partition_id()))
+
+
+def _scanned(d: DataFrame, keys: Sequence[str], order: Sequence[str], outs: Mapping[str, Out]) -> DataFrame:
+    """One scan over dealt rows, which stay dealt: the range's number is a stored column."""
+    keys, order = list(keys), list(order)
     at = F.struct(*order)
     aggs, carries = [], []
     up = Window.partitionBy(*keys).orderBy(_CHUNK)
@@ -167,7 +179,7 @@ def ordered_scan(
         else:
             value = F.least(c, F.min(o.expr).over(frame))
         columns.append(value.alias(name))
-    return joined.select(*df.columns, *columns)
+    return joined.select(*d.columns, *columns)
 
 
 def islands(
@@ -179,9 +191,9 @@ def islands(
     The first row of a key begins one whatever the rule answers, so a rule that reads a missing neighbour
     as NULL is enough.
     """
-    seen = ordered_scan(df, keys, order, chunk, look)
+    seen = _scanned(_dealt(df, keys, order), keys, order, look)
     flagged = seen.withColumn("__new", F.coalesce(starts, F.lit(True)).cast("long"))
-    return ordered_scan(flagged, keys, order, chunk, {name: running_sum(F.col("__new"))}).drop("__new")
+    return _scanned(flagged, keys, order, {name: running_sum(F.col("__new"))}).drop("__new", _CHUNK)
 
 
 def rank_picks(

@@ -18,6 +18,7 @@ def local_session(cpus: str = "8", app: str = "spanloom") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,6 +34,18 @@ def test_ordered_scan_is_a_plain_window(spark):
     assert dealt.agg(F.max("count")).first()[0] < 1500
 
 
+def test_a_scan_sees_a_rewritten_file(spark, tmp_path):
+    """Two scans of one folder, rewritten between them by another writer; and no scan leaves anything cached."""
+    def scan(value):
+        pq.write_table(pa.table({"k": ["a"] * 4, "t": [1, 2, 3, 4], "v": [value] * 4}), tmp_path / "rows.parquet")
+        d = spark.read.parquet(str(tmp_path))
+        runs = ordered.islands(d, ["k"], ["t"], None, {"__p": ordered.prev(F.col("v"))}, F.col("__p").isNull() | (F.col("t") == 3))
+        return sorted((r.s, r.grp) for r in ordered_scan(runs, ["k"], ["t"], None, {"s": ordered.running_sum(F.col("v"))}).collect())
+    assert scan(1) == [(1, 1), (2, 1), (3, 2), (4, 2)]
+    assert scan(10) == [(10, 1), (20, 1), (30, 2), (40, 2)]
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
 def test_natural_key_reads_whole_numbers(spark):
     given = ["a" + "9" * 25, "a1" + "0" * 25, "a2", "a10", "a0010b", "a" + "9" * 24 + "8", "b"]
     rows = spark.createDataFrame([(x,) for x in given], "name string").select("name", topk.natural_key(F.col("name")).alias("k")).orderBy("k").collect()
