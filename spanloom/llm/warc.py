@@ -1,6 +1,6 @@
 """WARC archives: a deterministic sharded writer and a streaming reader.
 
-Rows are range-sorted by (id, payload digest). The bounds come from exact weights of heavy keys and a sample of the others that is chosen by
+Rows are range-sorted by id, payload digest and a hash of the url. The bounds come from exact weights of heavy keys and a sample of the others that is chosen by
 hash, so the same rows give the same files. A task streams its range and writes one gzip member per record, rolls to a new
 file by compressed size, and makes all headers and digests itself. Files are written under temporary names; Spark's own commit of the
 list of finished files decides which attempts count, those files then get their names, and the manifest appears last.
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 from urllib.parse import quote, unquote
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -53,10 +54,10 @@ def record(kind: str, name: str, date: str, block: bytes, fields: list[tuple[str
     return head + block + b"\r\n\r\n"
 
 
-def page_record(id: int, url: str | None, digest: bytes, payload: bytes | None, size: int, sha1: str, top: int | None, date: str, repeat: str) -> bytes:
+def page_record(id: int, url: str | None, digest: bytes, payload: bytes, top: int | None, date: str, repeat: str) -> bytes:
     """One row's record: a response with its payload, or where ``top`` is given a revisit of that row's, with the response's HTTP head only."""
-    http = headers([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(size))], "HTTP/1.1 200 OK")
-    fields = [("WARC-Target-URI", None if url is None else quote(url, safe="!#$&'()*+,/:;=?@[]~-._")), ("WARC-Payload-Digest", f"sha1:{sha1}"),
+    http = headers([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))], "HTTP/1.1 200 OK")
+    fields = [("WARC-Target-URI", None if url is None else quote(url, safe="!#$&'()*+,/:;=?@[]~-._")), ("WARC-Payload-Digest", f"sha1:{digest_name(payload)}"),
               ("Content-Type", "application/http; msgtype=response"), ("X-Row-ID", None if id == NO_ID else str(id))]
     if top is None:
         return record("response", record_name(id, digest, repeat), date, http + payload, fields)
@@ -109,18 +110,19 @@ class Roll:
 def _written(folder: str, prefix: str, most: int, date: str, level: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        roll, before, repeat = Roll(folder, prefix, shard, most, date, level), None, 0
+        roll, before, repeat, top = Roll(folder, prefix, shard, most, date, level), None, 0, None
 
         def told(*files: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist(list(files), pa.schema([("name", pa.string()), ("draft", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()),
                                                                       ("sha256", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64())]))
         for batch in batches:
-            for id, url, digest, payload, size, sha1, top in zip(*(batch.column(c) for c in ("id", "url", "digest", "payload", "size", "sha1", "top"))):
-                id, url, digest, top = id.as_py(), url.as_py(), digest.as_py(), top.as_py()
+            for id, url, digest, payload, is_top in zip(*(batch.column(c) for c in ("id", "url", "digest", "payload", "top"))):
+                if not payload.is_valid:  # comes before the rows of its key
+                    top = is_top.as_py()
+                    continue
+                id, url, digest, payload = id.as_py(), url.as_py(), digest.as_py(), payload.as_buffer().to_pybytes()
                 repeat, before = repeat + 1 if before == (id, digest) else 0, (id, digest)
-                body = payload.as_buffer().to_pybytes() if payload.is_valid else None
-                sha = base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
-                ended = roll.add(page_record(id, url, digest, body, size.as_py(), sha, top, date, f":{shard}:{repeat}" if repeat else ""), id)
+                ended = roll.add(page_record(id, url, digest, payload, top, date, f":{shard}:{repeat}" if repeat else ""), id)
                 if ended:
                     yield told(ended)
         if roll.out is not None:
@@ -141,8 +143,8 @@ def _named(folder: str):
     return work
 
 
-def range_bounds(keys: DataFrame, ranges: int) -> list[tuple[int, bytes]]:
-    """The last (id, digest) of each range but the last, of ranges of like ``weight``. A key heavier than a range is the bound of several.
+def range_bounds(keys: DataFrame, ranges: int) -> list[tuple[int, bytes, int]]:
+    """The last (id, digest, place) of each range but the last, of ranges of like ``weight``. A key heavier than a range is the bound of several.
 
     At most four keys a range can weigh a quarter of one; of the others about SAMPLES a range are taken, those whose hash a divisor divides.
     """
@@ -151,20 +153,21 @@ def range_bounds(keys: DataFrame, ranges: int) -> list[tuple[int, bytes]]:
         return []
     every = max(1, n // (SAMPLES * ranges))
     heavy = F.col("weight") > weight / (4 * ranges)
-    chosen = keys.where(heavy | (F.pmod(F.xxhash64("digest", "id"), F.lit(every)) == 0))
-    taken = sorted((r.id, bytes(r.digest), r.weight if r.heavy else r.weight * every) for r in chosen.select("id", "digest", "weight", heavy.alias("heavy")).collect())
-    upto = list(accumulate(t[2] for t in taken))
-    return [taken[bisect_left(upto, upto[-1] * i / ranges)][:2] for i in range(1, ranges)] if taken else []
+    chosen = keys.where(heavy | (F.pmod(F.xxhash64("digest", "id", "place"), F.lit(every)) == 0))
+    taken = sorted((r.id, bytes(r.digest), r.place, r.weight if r.heavy else r.weight * every)
+                   for r in chosen.select("id", "digest", "place", "weight", heavy.alias("heavy")).collect())
+    upto = list(accumulate(t[3] for t in taken))
+    return [taken[bisect_left(upto, upto[-1] * i / ranges)][:3] for i in range(1, ranges)] if taken else []
 
 
-def _dealt(bounds: list[tuple[int, bytes]]):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = list(zip(batch.column("id").to_pylist(), batch.column("digest").to_pylist()))
-            first = [bisect_left(bounds, k) for k in keys]
-            last = [max(a, bisect_right(bounds, k) - 1) for a, k in zip(first, keys)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=[*batch.schema.names, "first", "last"])
-    return work
+def _ranges(bounds: list[tuple[int, bytes, int]]):
+    """The first and last of the ranges that a key fills; only the key's columns go to Python."""
+    @F.pandas_udf("first int, last int")
+    def of(id: pd.Series, digest: pd.Series, place: pd.Series) -> pd.DataFrame:
+        keys = list(zip(id, digest, place))
+        first = [bisect_left(bounds, k) for k in keys]
+        return pd.DataFrame({"first": first, "last": [max(a, bisect_right(bounds, k) - 1) for a, k in zip(first, keys)]})
+    return of("id", "digest", "place")
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -178,8 +181,8 @@ def write_warc(pages: DataFrame, folder: str, id: str = "page_id", url: str = "u
 
     Of rows with equal payloads (by SHA-256) of at least ``least_bytes``, those with the largest id are responses and the others revisits of
     it, with the response's HTTP head and no payload. A file ends before the record that would take it over ``file_bytes``; a larger record
-    has a file of its own. The same rows give the same files, whatever their order; only which of several equal heavy rows lies in which of
-    the ranges they fill follows the order they are read in.
+    has a file of its own. The same rows give the same files, whatever their order; only how many
+    of the rows equal in all columns lie in which of the ranges that they fill follows the order they are read in.
 
     A null payload counts as empty. A null id is smaller than any other and gives records without ``X-Row-ID``; if a payload has no other
     id, all its rows are responses. A null url gives records without a target. Repeated rows each have a record. An empty table gives a
@@ -190,18 +193,20 @@ def write_warc(pages: DataFrame, folder: str, id: str = "page_id", url: str = "u
     if files.exists(done):
         raise ValueError(f"{folder} holds an archive already")
     rows = pages.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(url).cast("string").alias("url"), F.encode(text_or_empty(payload), "UTF-8").alias("payload"),
-                        (F.shiftleft(F.monotonically_increasing_id(), 1) + 1).alias("lot"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("size", F.length("payload"))
-    keys = cut_lineage(rows.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
-                       .withColumn("weight", F.col("n") * (F.col("size") + FILE_OVERHEAD)))
-    tops = keys.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("ids"))
-    placed = join_counted(keys.withColumn("lot", F.shiftleft(F.monotonically_increasing_id(), 1) + 1), tops.where("ids > 1"), ["digest"], "ids")
-    placed = placed.select("digest", "id", "n", F.when(F.col("id") < F.col("top"), F.col("top")).alias("top"))
-    placed = cut_lineage(placed.mapInArrow(_dealt(range_bounds(keys, ranges)), "digest binary, id long, n long, top long, first int, last int"))
-    met = join_counted(rows, placed, ["digest", "id"])
-    shard = F.col("first") + F.pmod(F.shiftright("lot", 1), F.col("last") - F.col("first") + 1)
-    ready = met.select("id", "url", "digest", F.when(F.col("top").isNull(), F.col("payload")).alias("payload"), "size", F.sha1("payload").alias("sha1"), "top", shard.cast("int").alias("shard"))
-    ready = ready.repartitionById(ranges, F.col("shard")).sortWithinPartitions("id", "digest", "url")
+                        F.monotonically_increasing_id().alias("lot"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("place", F.xxhash64("url"))
+    keys = cut_lineage(rows.groupBy("digest", "id", "place").agg(F.count(F.lit(1)).alias("n"), F.first(F.length("payload")).alias("size")))
+    tops = keys.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("id").alias("top"), F.sum("n").alias("all"), (F.min("id") < F.max("id")).alias("differ"))
+    told = join_counted(keys.withColumn("lot", F.shiftleft(F.monotonically_increasing_id(), 1) + 1), tops.where("differ"), ["digest"], "all")
+    told = cut_lineage(told.select("digest", "id", "place", "n", "size", F.when(F.col("id") < F.col("top"), F.col("top")).alias("top")))
+    weight = F.col("n") * (FILE_OVERHEAD + F.when(F.col("top").isNull(), F.col("size")).otherwise(0))
+    at = _ranges(range_bounds(told.withColumn("weight", weight), ranges))
+    # Each key's top and its rows meet in one exchange and one order: the payloads are shuffled once, and no key is joined.
+    told = told.withColumn("at", at).select("digest", "id", "place", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "top",
+                                            F.explode(F.sequence("at.first", "at.last")).alias("shard"))
+    deal = F.col("at.first") + F.pmod(F.col("lot"), F.col("at.last") - F.col("at.first") + 1)
+    rows = rows.withColumn("at", at).select("digest", "id", "place", "url", "payload", F.lit(None).cast("long").alias("top"), deal.cast("int").alias("shard"))
+    ready = told.unionByName(rows).repartitionById(ranges, F.col("shard")).sortWithinPartitions("id", "digest", "place", F.col("payload").isNotNull())
     drafts = f"{folder}/_temporary/manifest-{uuid.uuid4().hex}"
     ready.mapInArrow(_written(folder, prefix, file_bytes, date, level), MANIFEST).write.parquet(drafts)
     finished = f"{folder}/_temporary/named-{uuid.uuid4().hex}"
