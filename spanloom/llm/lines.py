@@ -7,12 +7,14 @@ are summed before their lines are judged. So no line, however frequent, meets in
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,37 +38,41 @@ def _hashed(least: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 64):  # long texts make many lines
                 part = batch.slice(start, 64)
-                docs, at, digests = [], [], []
+                docs, copies, at, digests = [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
                     whole = text.as_buffer().to_pybytes()
-                    copy = (zlib.crc32(whole) & 0x7FFFFFFF) << 32
+                    copy = hashlib.md5(whole).digest()
                     for i, line in enumerate(whole.split(b"\n")):
                         key = line_key(line, least)
                         if key is not None:
                             docs.append(doc)
-                            at.append(copy | i)
+                            copies.append(copy)
+                            at.append(i)
                             digests.append(xxhash.xxh3_128_digest(key))
                 h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, i])) for i in (0, 1)] + [pa.array(x, pa.int64()) for x in (docs, at)],
-                                                 names=["h1", "h2", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, i])) for i in (0, 1)] + [pa.array(docs, pa.int64()), pa.array(copies, pa.binary()), pa.array(at, pa.int64())],
+                                                 names=["h1", "h2", "doc", "copy", "at"])
     return run
 
 
 def _judged(least_docs: int):
-    """Streams a sorted range (h1, h2, doc descending, at): the first document of a group is the one that keeps its lines.
-    Gives 'drop' rows (doc, at), and for the groups at a batch's ends 'open' rows (h1, h2, doc, at) and one 'count' row, whose
+    """Streams a sorted range (h1, h2, doc descending, copy, at): the first document of a group is the one that keeps its lines.
+    Gives 'drop' rows (doc, copy, at), and for the groups at a batch's ends 'open' rows (h1, h2, batch, doc, copy, at) and one 'count' row, whose
     doc is the largest and whose at is the number of documents not yet counted."""
-    def rows(kind: str, *columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(columns[0]), pa.string()), *(pa.array(np.asarray(x, np.int64)) for x in columns)],
-                                          names=["kind", "h1", "h2", "doc", "at"])
+    def rows(kind: str, copy: pa.Array | None, *columns) -> pa.RecordBatch:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), *(pa.array(np.asarray(x, np.int64)) for x in columns), pa.nulls(n, pa.binary()) if copy is None else copy],
+                                          names=["kind", "h1", "h2", "batch", "doc", "at", "copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, number = None, TaskContext.get().partitionId() << 32
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            h1, h2, doc, at = columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            h1, h2, doc, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "doc", "at"))
+            columns = h1, h2, np.full(n, number), doc, at
+            number += 1
             fresh = np.ones(n, bool)  # a new group
             fresh[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             turn = fresh.copy()  # a new document of its group
@@ -78,10 +84,10 @@ def _judged(least_docs: int):
             count = np.bincount(group, weights=turn).astype(np.int64)
             end = (group == 0) | (group == group[-1])
             out = ~end & (count[group] >= least_docs) & (doc != doc[starts][group])
-            yield rows("drop", *(c[out] for c in columns))
-            yield rows("open", *(c[end] for c in columns))
+            for kind, chosen in (("drop", out), ("open", end)):
+                yield rows(kind, batch.column("copy").filter(pa.array(chosen)), *(c[chosen] for c in columns))
             g = sorted({0, int(group[-1])})
-            yield rows("count", h1[starts[g]], h2[starts[g]], doc[starts[g]], count[g])
+            yield rows("count", None, *(c[starts[g]] for c in columns[:-1]), count[g])
     return run
 
 
@@ -108,7 +114,7 @@ def kept_text(text: bytes, keep: bytes) -> bytes:
 
 def copy_of(text):
     """Tells apart rows with different texts under one id."""
-    return F.crc32(F.encode(text, "UTF-8")).bitwiseAND(F.lit(0x7FFFFFFF))
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
 
 
 def line_bitmaps(docs: DataFrame, id: str = "doc_id", text: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
@@ -119,24 +125,26 @@ def line_bitmaps(docs: DataFrame, id: str = "doc_id", text: str = "text", least_
     document with the largest id, where all its occurrences stay.
 
     A null or empty text has one empty line. Rows with a null id are together one document whose id is the smallest.
-    Rows repeated under one id count as one document, whether or not their texts are equal; each text has a bitmap of its own (``copy``, 31 bits
-    of its checksum, tells them apart). An empty table gives an empty result. Other columns are not looked at.
+    Rows repeated under one id count as one document, whether or not their texts are equal; each text has a bitmap of its own (``copy``, its
+    128-bit digest, tells them apart). An empty table gives an empty result. Other columns are not looked at.
     """
     rows = two_columns(docs, id, text).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
-    lines = rows.select("id", F.encode("text", "UTF-8").alias("text")).mapInArrow(_hashed(least_chars), "h1 long, h2 long, doc long, at long")
+    lines = rows.select("id", F.encode("text", "UTF-8").alias("text")).mapInArrow(_hashed(least_chars), "h1 long, h2 long, doc long, copy binary, at long")
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc()]
-    judged = cut_lineage(lines.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order, "at")
-                         .mapInArrow(_judged(least_docs), "kind string, h1 long, h2 long, doc long, at long"))
-    frequent = (judged.where("kind = 'count'").groupBy("h1", "h2").agg(F.sum("at").alias("docs"), F.max("doc").alias("top"))
+    judged = cut_lineage(lines.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order, "copy", "at")
+                         .mapInArrow(_judged(least_docs), "kind string, h1 long, h2 long, batch long, doc long, at long, copy binary"))
+    counts = judged.where("kind = 'count'")
+    frequent = (counts.groupBy("h1", "h2").agg(F.sum("at").alias("docs"), F.max("doc").alias("top"))
                 .where(F.col("docs") >= least_docs).select("h1", "h2", "top"))
-    waited = judged.where("kind = 'open'").join(frequent, ["h1", "h2"]).where("doc <> top")
-    gone = judged.where("kind = 'drop'").select("doc", "at").unionByName(waited.select("doc", "at"))
-    gone = gone.groupBy(F.col("doc").alias("id"), F.shiftright("at", 32).alias("copy")).agg(
-        F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).alias("gone"))
+    # A frequent line is told to each batch that has it, so its rows meet batch by batch.
+    told = counts.select("h1", "h2", "batch").join(frequent, ["h1", "h2"])
+    waited = judged.where("kind = 'open'").join(told, ["h1", "h2", "batch"]).where("doc <> top")
+    gone = judged.where("kind = 'drop'").select("doc", "copy", "at").unionByName(waited.select("doc", "copy", "at"))
+    gone = gone.groupBy(F.col("doc").alias("id"), "copy").agg(F.collect_set("at").alias("gone"))
     counted = rows.select("id", copy_of("text").alias("copy"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
                           .cast("long").alias("n_lines")).distinct()
     return (counted.join(gone, ["id", "copy"], "left")
-            .mapInArrow(_bitmaps, "id long, copy long, n_lines long, n_dropped long, keep binary")
+            .mapInArrow(_bitmaps, "id long, copy binary, n_lines long, n_dropped long, keep binary")
             .withColumn("id", F.nullif("id", F.lit(NO_ID))))
 
 
