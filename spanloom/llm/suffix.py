@@ -15,7 +15,9 @@ Within a part equal stretches are sent once, so a passage that stands in a third
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,10 @@ class Part:
 
     def __init__(self, table: pa.Table, length: int):
         table = table.combine_chunks()
-        order = np.lexsort((np.array([hash_of(t) for t in table.column("text")], np.uint64), table.column("id").to_numpy())) if table.num_rows else np.zeros(0, np.int64)
+        # Rows with the same id are ordered by their whole texts, so that a part looks the same whenever it is read.
+        ids = table.column("id").to_pylist()
+        repeated = Counter(ids)
+        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], hashlib.sha256(table.column("text")[i].as_buffer()).digest() if repeated[ids[i]] > 1 else b"")), np.int64)
         self.length, self.ids = length, table.column("id").to_numpy()[order]
         texts = [table.column("text")[int(i)].as_buffer().to_pybytes() for i in order]
         self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
@@ -100,12 +105,6 @@ class Part:
         return np.searchsorted(self.ends, positions, side="right")
 
 
-def hash_of(text: pa.Scalar) -> int:
-    """Orders rows with the same id, so that a part looks the same whenever it is read."""
-    raw = np.frombuffer(text.as_buffer(), np.uint8)
-    return int(mixed(running(raw[:4096])[-1:] + np.uint64(len(raw)))[0])
-
-
 def bucket_of(anchors: np.ndarray, buckets: int) -> np.ndarray:
     return (((anchors >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
@@ -167,7 +166,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     for i in range(7):
         key <<= 9
         key[:n - i] |= t[i:].astype(np.int64) + 1
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     slots, key, rank, reach = np.arange(n), key[order], np.empty(n, np.int64), 7
     while True:
         new = np.ones(len(slots), bool)
@@ -181,7 +180,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         at = order[slots]
         follow = np.where(at + reach < n, rank[np.minimum(at + reach, n - 1)] + 1, 0)
         key = rank[at] * (n + 1) + follow
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[slots], key, reach = at[by], key[by], 2 * reach
 
 
@@ -197,14 +196,17 @@ class RunIndex:
         # Match lengths are compared at the samples alone.
         self.match = np.zeros(len(head), np.int64)
         live = np.flatnonzero(self.before >= 0)
+        ended = np.append(t.astype("<u2"), np.zeros(4, np.uint16))
+        four = np.ndarray((n + 1,), "<u8", ended, strides=(2,))  # four numbers from each place on; past the end come zeros
         while len(live):
             a, b = self.heads[live] + self.match[live], self.before[live] + self.match[live]
-            room = np.minimum(n - np.maximum(a, b), 32)
-            step = np.arange(32)
-            same = (t[np.minimum(a[:, None] + step, n - 1)] == t[np.minimum(b[:, None] + step, n - 1)]) & (step < room[:, None])
-            more = np.where(same.all(axis=1), 32, same.argmin(axis=1))
-            self.match[live] += more
-            live = live[more == 32]
+            differ = four[a] ^ four[b]
+            same = (differ & np.uint64(0xFFFF) == 0).astype(np.int64)
+            for bits in (32, 48):
+                same += differ & np.uint64((1 << bits) - 1) == 0
+            same += differ == 0
+            self.match[live] += np.minimum(same, n - np.maximum(a, b))
+            live = live[(differ == 0) & (np.maximum(a, b) + 4 < n)]
         by = np.argsort(self.heads)
         self.heads, self.before, self.match = self.heads[by], self.before[by], self.match[by]
         self.n = n
