@@ -33,7 +33,7 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-records-by-row-and-payload")
 MANIFEST = "name string, draft string, records long, bytes long, sha256 string, first_id long, last_id long"
 FILE_OVERHEAD = 600  # about what a record's headers weigh
-SAMPLES = 32  # keys a range that its bounds are taken from
+SAMPLES = 16  # keys a range that its bounds are taken from
 
 
 def digest_name(content: bytes) -> str:
@@ -175,20 +175,20 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def write_warc(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, file_bytes: int = 1 << 30,
+def write_warc(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, file_bytes: int = 1 << 30, range_bytes: int = 1 << 31,
                prefix: str = "pages", date: str = "1970-01-01T00:00:00Z", level: int = 6) -> DataFrame:
     """Writes one record per row of ``pages`` to gzipped WARC 1.1 files in ``folder`` and returns the manifest, one row per file.
 
     Of rows with equal payloads (by SHA-256) of at least ``least_bytes``, those with the largest id are responses and the others revisits of
     it, with the response's HTTP head and no payload. A file ends before the record that would take it over ``file_bytes``; a larger record
-    has a file of its own. The same rows give the same files, whatever their order; only how many
+    has a file of its own. A task's range holds about ``range_bytes`` before compression, or less where there are more shuffle partitions. The same rows give the same files, whatever their order; only how many
     of the rows equal in all columns lie in which of the ranges that they fill follows the order they are read in.
 
     A null payload counts as empty. A null id is smaller than any other and gives records without ``X-Row-ID``; if a payload has no other
     id, all its rows are responses. A null url gives records without a target. Repeated rows each have a record. An empty table gives a
     manifest without rows. Other columns are not looked at. A folder that has a manifest is refused.
     """
-    spark, ranges = pages.sparkSession, partitions(pages)
+    spark = pages.sparkSession
     files, done = _hadoop(spark, f"{folder}/manifest")
     if files.exists(done):
         raise ValueError(f"{folder} holds an archive already")
@@ -200,6 +200,7 @@ def write_warc(pages: DataFrame, folder: str, id: str = "page_id", url: str = "u
     told = join_counted(keys.withColumn("lot", F.shiftleft(F.monotonically_increasing_id(), 1) + 1), tops.where("differ"), ["digest"], "all")
     told = cut_lineage(told.select("digest", "id", "place", "n", "size", F.when(F.col("id") < F.col("top"), F.col("top")).alias("top")))
     weight = F.col("n") * (FILE_OVERHEAD + F.when(F.col("top").isNull(), F.col("size")).otherwise(0))
+    ranges = max(partitions(pages), -(-(told.agg(F.sum(weight)).first()[0] or 0) // range_bytes))
     at = _ranges(range_bounds(told.withColumn("weight", weight), ranges))
     # Each key's top and its rows meet in one exchange and one order: the payloads are shuffled once, and no key is joined.
     told = told.withColumn("at", at).select("digest", "id", "place", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "top",
