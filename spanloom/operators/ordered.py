@@ -79,17 +79,25 @@ def total_max(expr: Column) -> Out:
     return Out("total_max", expr)
 
 
-def spread_join(detail: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:
+def spread_join(detail: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16,
+                null_safe: bool = False) -> DataFrame:
     """Join rows to a table of one row per key without sending a key's rows to one task.
 
     Both sides get a salt: the small side once per salt, the rows by their own content. Nothing after the
-    join can rely on its partitioning by key, so AQE is also free to split whatever is still skewed.
+    join can rely on its partitioning by key, so AQE is also free to split whatever is still skewed. With ``null_safe``
+    null keys meet null keys.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     hashed = [c for c, kind in detail.dtypes if "map<" not in kind]
     d = detail.withColumn("__salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
     s = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return d.join(s, [*keys, "__salt"], how).drop("__salt")
+    if not null_safe:
+        return d.join(s, [*keys, "__salt"], how).drop("__salt")
+    s = s.withColumnsRenamed({k: f"__k_{i}" for i, k in enumerate([*keys, "__salt"])})
+    same = F.lit(True)
+    for i, k in enumerate([*keys, "__salt"]):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{i}"))
+    return d.join(s, same, how).drop("__salt", *[f"__k_{i}" for i in range(len(keys) + 1)])
 
 
 def by_width(column: str, width: int) -> Column:

@@ -2,68 +2,146 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine_distance
 from ..session import cut_lineage
+from .graph import components
+
+# How far apart two voices may sit and still be one person, in different files, where one is alone in its file, and in one file.
+VOICE_DISTANCE, LONE_DISTANCE, SAME_FILE_DISTANCE = 0.45, 0.6, 0.3
+
+BLOCK = 1000  # vectors that meet in one task, at most twice as many
+MISSED = 0.01  # how often a pair just within reach may share no bucket
+
 
-# Fixed value: how far apart two voices of different files may sit and still be one person.
-VOICE_DISTANCE = 0.45
+def tables_and_bits(n: int, reach: float, block: int = BLOCK, missed: float = MISSED) -> tuple[int, int]:
+    """How many hash tables of how many hyperplanes: buckets of about ``block`` of ``n`` vectors, and a pair at cosine distance ``reach`` shares none
+    of them with a probability of at most ``missed``. Up to ``block`` vectors are one bucket, and nothing is missed."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / block)))
+    together = (1 - math.acos(1 - reach) / math.pi) ** bits
+    return (1, 0) if not bits else (math.ceil(math.log(missed) / math.log(1 - together)), bits)
 
 
-def _blocks(voices: DataFrame, ident: str, vector: str, size: int) -> tuple[DataFrame, int]:
-    count = max(1, -(-voices.count() // size))
-    b = voices.withColumn("__b", F.pmod(F.xxhash64(ident), F.lit(count)).cast("int"))
-    return b.groupBy("__b").agg(F.collect_list(F.struct(F.col(ident).alias("id"), F.col(vector).alias("v"), F.col("label").alias("l"))).alias("rows")), count
+def _planes(size: int, tables: int, bits: int) -> np.ndarray:
+    return np.random.default_rng(size).standard_normal((size, tables * bits))
 
 
-def _nearest_labels(voices: DataFrame, ident: str, vector: str, reach: float, size: int) -> DataFrame:
-    """For every voice the smallest label among those within reach of it.
+def bucketed(vectors: DataFrame, reach: float, block: int = BLOCK, missed: float = MISSED) -> DataFrame:
+    """Rows of a table with ``id`` and ``v`` (array of double), each in its buckets: all its columns with bucket, lo and hi.
 
-    Voices are put into blocks of about ``size``; every block meets every other in a task of its own that
-    multiplies two matrices and gives back one label a voice - never the pairs.
+    Vectors meet by random hyperplanes, and only those of one length. A bucket of more than ``block`` rows is dealt into blocks by id, which meet
+    two by two, each pair of blocks (lo, hi) as a group of its own: every two rows of a bucket are in one group. Rows that are no
+    vectors (null, empty, all zero, not finite) are in none.
     """
-    blocks, count = _blocks(voices, ident, vector, size)
-    mine = blocks.withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    other = blocks.select(F.col("__b").alias("__o"), F.col("rows").alias("others"))
-    kind = dict(voices.dtypes)[ident]
-
-    def meet(batches):
-        for pdf in batches:
-            for rows, others in zip(pdf["rows"], pdf["others"]):
-                a = np.stack([np.asarray(r["v"], dtype=float) for r in rows])
-                b = np.stack([np.asarray(r["v"], dtype=float) for r in others])
-                a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-                b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
-                labels = np.array([r["l"] for r in others], dtype=np.int64)
-                near = np.where(1 - a @ b.T < reach, labels[None, :], np.iinfo(np.int64).max)
-                yield pd.DataFrame({"id": [r["id"] for r in rows], "l": near.min(axis=1)})
-    met = mine.join(other, "__o").select("rows", "others").repartition(max(1, count * count)).mapInPandas(meet, f"id {kind}, l long")
-    return met.groupBy("id").agg(F.min("l").alias("l"))
-
-
-def join_voices(voices: DataFrame, ident: str, vector: str, seconds: str, reach: float = VOICE_DISTANCE, size: int = 1000) -> DataFrame:
-    """One label for the same voice across files: voices within reach of each other, directly or through
-    others, start as one; each group's print is its average by seconds, and every voice then takes the
-    nearest print within reach, or keeps its own.
-
-    The first step does not depend on the order the files are visited in, which a greedy pass would.
+    n = vectors.count()
+    tables, bits = tables_and_bits(n, reach, block, missed)
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            rows = rows[[x is not None and len(x) > 0 and np.isfinite(x).all() and np.any(x) for x in rows["v"]]]
+            for size, own in rows.groupby(rows["v"].map(len)):
+                signs = (np.stack(own["v"].to_numpy()) @ _planes(size, tables, bits) > 0).reshape(len(own), tables, bits)
+                codes = signs @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((len(own), tables), np.int64)
+                for table in range(tables):
+                    yield own.assign(bucket=[f"{size}:{table}:{c}" for c in codes[:, table]])
+    schema = ", ".join(f"`{c}` {t}" for c, t in vectors.dtypes)
+    rows = vectors.mapInPandas(hashed, f"{schema}, bucket string")
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    met = rows.join(blocks, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select(*vectors.columns, "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
+def _unit(rows: pd.Series) -> np.ndarray:
+    v = np.stack(rows.to_numpy()).astype(float)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _linked(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of the classes in one group, an edge from each to the first of those it hangs together with there: never all pairs."""
+    v, reach, one = _unit(rows["v"]), rows["reach"].to_numpy(), (rows["first_file"] == rows["last_file"]).to_numpy()
+    file = rows["first_file"].to_numpy()
+    same = one[:, None] & one[None, :] & (file[:, None] == file[None, :])
+    near = 1 - v @ v.T < np.where(same, SAME_FILE_DISTANCE, np.maximum(reach[:, None], reach[None, :]))
+    label, before = np.arange(len(rows)), None
+    while before is None or (label != before).any():
+        before = label
+        label = np.minimum(label, np.where(near, label[None, :], len(rows)).min(axis=1))
+        label = label[label]
+    ids, moved = rows["id"].to_numpy(), label != np.arange(len(rows))
+    return pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
+
+
+def _nearest(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each voice in one group the nearest print there."""
+    prints, voices = rows[rows["print"]], rows[~rows["print"]]
+    if prints.empty or voices.empty:
+        return pd.DataFrame({"id": voices["id"][:0], "label": prints["id"][:0], "distance": []})
+    apart = 1 - _unit(voices["v"]) @ _unit(prints["v"]).T
+    order = np.argsort(prints["id"].to_numpy(), kind="stable")
+    best = order[apart[:, order].argmin(axis=1)]
+    return pd.DataFrame({"id": voices["id"].to_numpy(), "label": prints["id"].to_numpy()[best], "distance": apart[np.arange(len(voices)), best]})
+
+
+def _apart(a: str, b: str) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
+
+
+def join_voices(voices: DataFrame, ident: str, file: str, vector: str, seconds: str, block: int = BLOCK, missed: float = MISSED) -> DataFrame:
+    """ident, label, distance: one label, the smallest id, for the same voice across files, and how far the voice sits from its print.
+
+    Two voices of different files are linked when they sit within VOICE_DISTANCE of each other, or LONE_DISTANCE if one is alone in its file; two of one
+    file within SAME_FILE_DISTANCE. What hangs together by links gets a print, its average by seconds. Every voice then takes the nearest
+    print within the reach of its file; of the voices of one file that take the same, the one heard longest keeps it, and the others
+    only within SAME_FILE_DISTANCE. A voice without a print stands alone. So a chain whose ends sit far from its middle comes apart.
+    Nothing depends on the order of the files, which a greedy pass would.
+
+    Equal vectors are one point from the start. Others meet in buckets of random hyperplanes (``bucketed``): up to ``block`` different vectors
+    none is missed; beyond, a pair just within LONE_DISTANCE with probability ``missed``, nearer ones less. A null, empty or zero vector
+    stands alone with a null distance. Ids must be unique and not null; a null file is a file of its own for each voice.
     """
-    now = cut_lineage(voices.select(ident, vector, seconds, F.col(ident).cast("long").alias("label")))
-    while True:
-        met = _nearest_labels(now, ident, vector, reach, size)
-        nxt = cut_lineage(now.join(met, now[ident] == met["id"], "left").select(
-            ident, vector, seconds, F.least("label", "l").alias("label"), (F.coalesce("l", "label") < F.col("label")).alias("__moved")))
-        now = nxt.drop("__moved")
-        if nxt.where("__moved").isEmpty():
-            break
-    d = now.select("label", F.col(seconds).alias("__s"), F.posexplode(vector).alias("__d", "__v"))
-    prints = d.groupBy("label", "__d").agg((F.sum(F.col("__v").cast("double") * F.col("__s")) / F.sum("__s")).alias("__m")).groupBy("label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__d", "__m"))), lambda x: x["__m"]).alias("print"))
-    return now.join(prints, "label").select(ident, "label", F.round(cosine_distance(F.col(vector), F.col("print")), 6).alias("distance"))
+    v = voices.select(F.col(ident).alias("id"), F.coalesce(F.col(file).cast("string"), F.concat(F.lit("no file "), F.col(ident).cast("string"))).alias("file"),
+                      F.when(F.exists(vector, lambda x: x.isNull() | F.isnan(x)), F.array()).otherwise(F.coalesce(vector, F.array())).cast("array<double>").alias("v"), F.col(seconds).cast("double").alias("seconds"))
+    alone = v.groupBy("file").agg((F.count(F.lit(1)) == 1).alias("alone"))
+    reach = F.when(F.col("alone"), LONE_DISTANCE).otherwise(VOICE_DISTANCE)
+    v = cut_lineage(v.join(alone, "file").withColumn("reach", reach).drop("alone").withColumn("shape", F.xxhash64("v")))
+    # One row per different vector and reach; only the smallest and largest file matter for whether two can be of different files.
+    points = cut_lineage(v.groupBy("shape", "v", "reach").agg(F.min("id").alias("id"), F.min("file").alias("first_file"), F.max("file").alias("last_file")))
+    kind = dict(points.dtypes)["id"]
+    edges = bucketed(points.drop("shape"), LONE_DISTANCE, block, missed).groupBy("bucket", "lo", "hi").applyInPandas(_linked, f"a {kind}, b {kind}")
+    linked = components(edges, "a", "b")
+    named = points.join(linked.withColumnRenamed("node", "id"), "id", "left").select(
+        "shape", "v", "reach", F.coalesce("component", "id").alias("group"))
+    # Equal vectors are alike whatever their reach.
+    same = named.groupBy("shape", "v").agg(F.min("group").alias("a"), F.max("group").alias("b"))
+    merged = components(same.where("a <> b").select("a", "b"), "a", "b").withColumnRenamed("node", "group")
+    named = same.select("shape", "v", F.col("a").alias("group")).join(merged, "group", "left").select("shape", "v", F.coalesce("component", "group").alias("group"))
+    grouped = cut_lineage(v.join(named, ["shape", "v"]).select("id", "file", "v", "seconds", "reach", "group"))
+    each = grouped.select("group", "seconds", F.posexplode("v").alias("at", "x"))
+    prints = each.groupBy("group", "at").agg((F.sum(F.col("x") * F.col("seconds")) / F.sum("seconds")).alias("m")).groupBy("group").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda x: x["m"]).alias("print"))  # as long as a vector
+    prints = cut_lineage(prints)
+    both = grouped.select("id", "v", F.lit(False).alias("print")).unionByName(prints.select(F.col("group").alias("id"), F.col("print").alias("v"), F.lit(True).alias("print")))
+    found = bucketed(both, LONE_DISTANCE, block, missed).groupBy("bucket", "lo", "hi").applyInPandas(_nearest, f"id {kind}, label {kind}, distance double")
+    own = grouped.join(prints, "group").select("id", F.col("group").alias("label"), _apart("v", "print").alias("distance"))
+    # Distances are rounded before they are compared, so that no sum's order decides.
+    best = found.unionByName(own.where("distance is not null")).groupBy("id").agg(F.min(F.struct(F.round("distance", 9).alias("distance"), "label")).alias("best"))
+    placed = cut_lineage(grouped.join(best, "id", "left").select("id", "file", "seconds", "best.label", "best.distance", (F.col("best.distance") < F.col("reach")).alias("fits")))
+    longest = placed.where("fits").groupBy("file", "label").agg(F.min(F.struct((-F.col("seconds")).alias("less"), F.col("id"))).alias("x")).select(
+        "file", "label", F.col("x.id").alias("longest"))
+    stays = F.coalesce(F.col("fits") & ((F.col("id") == F.col("longest")) | (F.col("distance") < SAME_FILE_DISTANCE)), F.lit(False))
+    placed = cut_lineage(placed.join(longest, ["file", "label"], "left").select("id", "label", "distance", stays.alias("stays")))
+    names = placed.where("stays").groupBy("label").agg(F.min("id").alias("name"))
+    return placed.join(names, "label", "left").select(
+        F.col("id").alias(ident), F.when(F.col("stays"), F.col("name")).otherwise(F.col("id")).alias("label"),
+        F.round(F.when(F.col("stays"), F.col("distance")).when(F.col("distance").isNotNull(), F.lit(0.0)), 6).alias("distance"))
 
 
 def refresh_vectors(texts: DataFrame, stored: DataFrame, ident: list[str], text: str, model: str, features: int = 256) -> tuple[DataFrame, DataFrame]:

@@ -33,10 +33,22 @@ def op_build_timeline(spark, sf):
     return build_timeline(assets, segments, silences, scenes, dark, turns, 4 * tb.HOUR, tb.BIN, tb.CHUNK, "v1")
 
 
-@query("op_join_voices")
+@query("op_join_voices", """WITH RECURSIVE v AS (SELECT vec_id AS id, CASE WHEN vec_id % 4 = 0 THEN vec_id ELSE -(vec_id // 3) - 1 END AS file, embedding::DOUBLE[] AS v,
+  1.0::DOUBLE + vec_id % 7 AS seconds FROM embeddings),
+ c AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY file) = 1 THEN 0.6 ELSE 0.45 END::DOUBLE AS reach FROM v),
+ e AS (SELECT x.id AS a, y.id AS b FROM c x JOIN c y ON x.id <> y.id
+  AND 1 - list_cosine_similarity(x.v, y.v) < CASE WHEN x.file = y.file THEN 0.3 ELSE greatest(x.reach, y.reach) END),
+ w AS (SELECT id AS a, id AS b FROM v UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a),
+ g AS (SELECT a AS id, min(b) AS grp FROM w GROUP BY a),
+ x AS (SELECT grp, seconds, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM c JOIN g USING (id)),
+ p AS (SELECT grp, list(m ORDER BY i) AS print FROM (SELECT grp, i, sum(x * seconds) / sum(seconds) AS m FROM x GROUP BY grp, i) GROUP BY grp),
+ d AS (SELECT c.*, p.grp AS label, round(1 - list_cosine_similarity(v, print), 9) AS distance FROM c, p),
+ n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, label) = 1),
+ s AS (SELECT *, distance < reach AND (distance < 0.3 OR id = first(id) OVER (PARTITION BY file, label ORDER BY distance < reach DESC, seconds DESC, id)) AS stays FROM n)
+ SELECT id AS vec_id, CASE WHEN stays THEN min(id) FILTER (stays) OVER (PARTITION BY label) ELSE id END AS label, round(CASE WHEN stays THEN distance ELSE 0.0 END, 6) AS distance FROM s""")
 def op_join_voices(spark, sf):
-    e = tb.load(spark, sf, "embeddings").withColumn("seconds", F.lit(1.0) + F.col("vec_id") * 0)
-    return vo.join_voices(e, "vec_id", "embedding", "seconds")
+    e = tb.load(spark, sf, "embeddings").select("vec_id", "embedding", F.expr("IF(vec_id % 4 = 0, vec_id, -(vec_id div 3) - 1)").alias("file"), F.expr("1.0D + vec_id % 7").alias("seconds"))
+    return vo.join_voices(e, "vec_id", "file", "embedding", "seconds")
 
 
 _DAY = 24 * q.HOUR

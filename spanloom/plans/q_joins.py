@@ -131,9 +131,8 @@ def jn_self_repeat(spark, sf):
 
 def _looks(spark, sf):
     e = tb.load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("key"), "embedding")
-    bits = [" + ".join(["0L"] + [f"shiftleft(IF(embedding[{i}] > {'0' if k == 0 else f'embedding[{(i + k) % 64}]'}, 1L, 0L), {i})" for i in range(64)])
-            for k in range(3)]
-    return e.select("id", *[F.expr(b.replace(" + ", " | ")).alias(f"h{k}") for k, b in enumerate(bits)])
+    bits = ["aggregate(sequence(0, 63), 0L, (a, i) -> a | shiftleft(IF(embedding[i] > {}, 1L, 0L), i))".format("0" if k == 0 else f"embedding[(i + {k}) % 64]") for k in range(3)]
+    return e.select("id", "key", *[F.expr(b).alias(f"h{k}") for k, b in enumerate(bits)])
 
 
 def _look_sql():
@@ -141,16 +140,20 @@ def _look_sql():
         return "bit_count(xor(x.h{0}, y.h{0}))".format(k)
     bits = ", ".join("CAST(list_sum([CASE WHEN embedding[i] > {} THEN (1::HUGEINT << (i - 1)) ELSE 0::HUGEINT END for i in range(1, 65)]) AS UBIGINT) AS h{}".format(
         "0" if k == 0 else f"embedding[(i - 1 + {k}) % 64 + 1]", k) for k in range(3))
-    return f"""WITH l AS (SELECT vec_id AS id, {bits} FROM embeddings), d AS (SELECT x.id AS first, y.id AS second,
- list_sort([CAST({h(0)} AS INTEGER), CAST({h(1)} AS INTEGER), CAST({h(2)} AS INTEGER)])[2] AS bits FROM l x JOIN l y ON x.id + 1 < y.id)
- SELECT first, second, bits FROM d WHERE bits <= 10"""
+    return f"""WITH l AS (SELECT vec_id AS id, label AS key, {bits} FROM embeddings), c AS (SELECT *, min(id) OVER (PARTITION BY h0, h1, h2) AS class FROM l),
+ d AS (SELECT least(x.class, y.class) AS first, greatest(x.class, y.class) AS second,
+  list_sort([CAST({h(0)} AS INTEGER), CAST({h(1)} AS INTEGER), CAST({h(2)} AS INTEGER)])[2] AS bits FROM c x JOIN c y ON x.id + 1 < y.id AND x.key <> y.key)
+ SELECT 'alike' AS row, first, second, bits, count(*) AS pairs FROM d WHERE bits <= 10 GROUP BY ALL
+ UNION ALL SELECT 'member', class, id, 0, NULL FROM c"""
 
 
 @query("jn_hash_similar", _look_sql())
 def jn_hash_similar(spark, sf):
-    from ..operators.similar import look_alikes
-    return look_alikes(_looks(spark, sf), "id", ["h0", "h1", "h2"], 10).where(
-        F.col("first") + 1 < F.col("second")).select("first", "second", "bits")
+    from ..operators.similar import look_alikes, look_classes
+    looks, hashes = _looks(spark, sf), ["h0", "h1", "h2"]
+    alike = look_alikes(looks, "id", "key", "id", hashes, 10).select(F.lit("alike").alias("row"), "first", "second", "bits", "pairs")
+    members = look_classes(looks, "id", hashes).select(F.lit("member").alias("row"), F.col("class").alias("first"), F.col("id").alias("second"), F.lit(0).alias("bits"), F.lit(None).cast("long").alias("pairs"))
+    return alike.unionByName(members)
 
 
 @query("jn_greedy_match", None)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
 from ..operators import versions as ve
-from ..operators.graph import components, greedy_match
+from ..operators.graph import greedy_match
 from ..operators.ordered import by_width, nxt, ordered_scan, row_number, running_sum
 from ..operators.transcript import bare
 from ..session import cut_lineage
@@ -122,7 +122,4 @@ def set_hearing_align(spark, sf):
  g AS (SELECT *, sum(CASE WHEN reach IS NULL OR bs >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY bs, bid) AS grp FROM m)
  SELECT bid AS node, min(bid) OVER (PARTITION BY key, grp) AS component FROM g QUALIFY count(*) OVER (PARTITION BY key, grp) > 1""")
 def set_components(spark, sf):
-    b = tb.spans_b(spark, sf).drop("bvalue")
-    o = b.select("key", F.col("bid").alias("oid"), F.col("bs").alias("os"), F.col("be").alias("oe"))
-    edges = iv.overlap_join(b, o, ["key"], ("bs", "be"), ("os", "oe"), tb.BIN).where("bid < oid")
-    return components(edges.select("bid", "oid"), "bid", "oid")
+    return iv.interval_components(tb.spans_b(spark, sf), ["key"], "bs", "be", "bid")

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import graph, intervals as iv, ordered as od, sequence as sq, topk, versions as ve
-from spanloom.operators.similar import look_alikes
 
 
 def spans(seed, n, reach=400, longest=60):
@@ -165,28 +164,6 @@ def test_split_long(spark):
     assert sorted((x.o, x.part) for x in sq.split_long(d, ["key"], "o", "s", "e", 12, 1).collect()) == want
 
 
-def test_look_alikes(spark):
-    r = random.Random(5)
-    base = [[r.getrandbits(63) for _ in range(3)] for _ in range(6)]
-    rows = []
-    for i in range(60):
-        h = list(base[i % 6])
-        for k in range(3):
-            for _ in range(r.randrange(0, 9)):
-                h[k] ^= 1 << r.randrange(63)
-        rows.append((i, *h))
-    rows.append((60, *rows[0][1:]))
-    d = spark.createDataFrame(rows, "id long, h0 long, h1 long, h2 long")
-    got = {(x.first, x.second): x.bits for x in look_alikes(d, "id", ["h0", "h1", "h2"], 10).collect()}
-    want = {}
-    for n, x in enumerate(rows):
-        for y in rows[n + 1:]:
-            bits = sorted(bin(a ^ b).count("1") for a, b in zip(x[1:], y[1:]))[1]
-            if bits <= 10:
-                want[(x[0], y[0])] = bits
-    assert got == want and want
-
-
 def test_sequence_diff(spark):
     cols = "plan long, pos long, what string, s long, e long"
     before = [(1, n, w, n, n + 1) for n, w in enumerate("abcda", 1)]
