@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.ordered import by_width, ordered_scan, row_number
+from ..session import shared_folder
 from ..sources import files, logs, sinks
 from ..sources import tables as tb
+from ..sources.keyed import KeyedTable
 from . import sqlbase as q
 from .registry import query
 
@@ -79,8 +81,12 @@ def src_recorded_at(spark, sf):
 @query("sink_upsert_latest", f"""WITH {q.EV} SELECT key, id, kind, value FROM ev
  QUALIFY row_number() OVER (PARTITION BY key ORDER BY t DESC, id DESC) = 1""")
 def sink_upsert_latest(spark, sf):
+    """The events merged into a keyed table in two batches, and read back from its files."""
     ev = tb.events(spark, sf).select("key", "t", "id", "kind", "value")
-    return sinks.latest(ev, ["key"], ["t", "id"]).select("key", "id", "kind", "value")
+    table = KeyedTable(spark, shared_folder(spark, "table"), ["key"], ["t", "id"], buckets=16)
+    table.merge(ev.where("id % 3 <> 0"), 0)
+    table.merge(ev.where("id % 3 = 0"), 1)
+    return table.read().select("key", "id", "kind", "value")
 
 
 @query("sink_append_versions", """SELECT o_custkey AS key, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS version,
@@ -88,7 +94,10 @@ def sink_upsert_latest(spark, sf):
 def sink_append_versions(spark, sf):
     o = tb.load(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("version"),
                                             F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("at"))
-    return sinks.current(o, ["key"], ["at", "version"]).select("key", "version", "status", "versions")
+    log = shared_folder(spark, "versions")
+    for status in ("O", "F", "P"):  # three appends, in no order of time
+        sinks.append_versions(log, o.where(F.col("status") == status))
+    return sinks.current(spark.read.parquet(log), ["key"], ["at", "version"]).select("key", "version", "status", "versions")
 
 
 @query("sink_timed_text", f"""WITH {q.TURNS}, m AS (SELECT key, turn, (s + 500) // 1000 AS a, (e + 500) // 1000 AS b, text,
@@ -98,7 +107,9 @@ def sink_append_versions(spark, sf):
  || chr(10) || text || chr(10) AS block FROM m""")
 def sink_timed_text(spark, sf):
     cues = ordered_scan(tb.turns(spark, sf), ["key"], ["turn"], by_width("turn", 10_000), {"n": row_number()})
-    return sinks.srt_blocks(cues).select("key", "n", "block")
+    folder = shared_folder(spark, "captions")
+    sinks.write_srt(sinks.srt_blocks(cues), folder, "key")
+    return sinks.read_srt(spark, folder, "key", "long").select("key", "n", "block")
 
 
 _MARKS = """tot AS (SELECT key, max(tle) AS total FROM pl GROUP BY key), mk AS (SELECT pl.key, id, kind, tl, total FROM pl JOIN tot ON pl.key = tot.key

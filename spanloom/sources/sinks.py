@@ -17,24 +17,9 @@ def latest(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFr
     return picked.select(*keys, "__r.*")
 
 
-def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], version: Sequence[str],
-           epoch: int) -> str:
-    """Merge updates into a table kept as one folder per epoch, and give the new folder.
-
-    A reader names an epoch, so a run that dies half way leaves the last whole one in place; the write of an
-    epoch overwrites itself, so a repeated batch changes nothing.
-    """
-    both = updates
-    if epoch > 0:
-        both = spark.read.parquet(f"{path}/epoch={epoch - 1}").unionByName(updates)
-    target = f"{path}/epoch={epoch}"
-    latest(both, keys, version).write.mode("overwrite").parquet(target)
-    return target
-
-
-def append_version(path: str, rows: DataFrame, key: str) -> None:
-    """Append-only version log; nothing in it is ever rewritten."""
-    rows.write.mode("append").partitionBy(key).parquet(path)
+def append_versions(path: str, rows: DataFrame) -> None:
+    """Append rows to a version log; nothing in it is ever rewritten, and a write that fails leaves no row."""
+    rows.write.mode("append").parquet(path)
 
 
 def current(versions: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -59,9 +44,16 @@ def srt_blocks(cues: DataFrame, n: str = "n", text: str = "text") -> DataFrame:
 
 
 def write_srt(blocks: DataFrame, path: str, key: str, n: str = "n") -> None:
-    """One folder per key, its parts in order: range partitioning keeps a huge key in several files."""
-    blocks.repartitionByRange(key, n).sortWithinPartitions(key, n).select(key, "block").write.mode(
-        "overwrite").partitionBy(key).text(path)
+    """One folder per key, its files in order of their names: range partitioning keeps a huge key in several files. Blocks are
+    divided by an empty line, so none inside a caption survives: they become one line break."""
+    one = F.concat(F.regexp_replace(F.regexp_replace("block", "\n+$", ""), "\n{2,}", "\n"), F.lit("\n"))
+    blocks.repartitionByRange(key, n).sortWithinPartitions(key, n).select(key, one.alias("block")).write.partitionBy(key).text(path)
+
+
+def read_srt(spark: SparkSession, path: str, key: str, kind: str, n: str = "n") -> DataFrame:
+    """The blocks that ``write_srt`` wrote: key, number and block."""
+    lines = spark.read.schema(f"value string, `{key}` {kind}").option("lineSep", "\n\n").text(path)
+    return lines.select(key, F.substring_index("value", "\n", 1).cast("long").alias(n), F.concat("value", F.lit("\n")).alias("block"))
 
 
 def chapters(markers: DataFrame, totals: DataFrame, key: str, at: str, name: str, tie: str, chunk: Column) -> DataFrame:

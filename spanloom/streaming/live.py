@@ -1,12 +1,13 @@
 """Structured Streaming twins: levels, sittings, first sightings, latest state, abandoned jobs.
 
-Every stream reads files as they come, keeps state behind a watermark, and writes to a folder with its own
-checkpoint, so a restart goes on where it stopped. ``run`` drains what is there and ends.
+Every stream reads files as they come, keeps state behind a watermark, and writes to a folder that the caller names, with the stream's state
+beside it: a second run with that folder goes on where the first stopped. ``run`` drains what is there and ends.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.rollup import decibels, power
 from ..session import shared_folder
-from ..sources.sinks import upsert
+from ..sources.keyed import KeyedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,10 +26,27 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files: i
     return (r.option("maxFilesPerTrigger", files) if files else r).parquet(folder)
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Drain a stream into a folder and read it back."""
+def replayed(rows: DataFrame, order: str, parts: int, drain: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Let rows come in ``parts`` sets of files, each drained by a stream of its own that goes on from the state of the one before.
+
+    Part n has the rows whose ``order``, a whole number (null: first), lies in the n-th of as many equal stretches between the least and the largest.
+    ``drain`` gets the stream of files and the folder of its state and output. A row is late if what it belongs to ended before
+    the watermark of the parts before its own.
+    """
+    spark = rows.sparkSession
+    folder, out = shared_folder(spark, "replay"), shared_folder(spark, "stream")
+    least, most = rows.agg(F.min(order), F.max(order)).first()
+    at = F.coalesce(F.expr(f"CAST((`{order}` - {least or 0}) * {parts} div {(most or 0) - (least or 0) + 1} AS INT)"), F.lit(0))
+    for part in range(parts):
+        rows.where(at == part).write.mode("append").parquet(folder)
+        found = drain(file_stream(spark, folder, "*.parquet", rows.schema), out)
+    return found
+
+
+def run(stream: DataFrame, folder: str | None = None, mode: str = "append") -> DataFrame:
+    """Drain a stream into ``folder`` (a new one if none is named) and read all it has written there, in this run and earlier ones."""
     spark = stream.sparkSession
-    out = shared_folder(spark, "stream")
+    out = folder or shared_folder(spark, "stream")
     q = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").outputMode(
         mode).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -54,17 +72,15 @@ def first_seen(events: DataFrame, keys: Sequence[str], at: str, delay: str) -> D
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys)).select(*keys)
 
 
-def upsert_stream(events: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
-    """Latest state per key from a stream: each batch is merged into the table of the batch before."""
-    spark = events.sparkSession
-    out = shared_folder(spark, "upsert")
-    seen: dict[str, str] = {}
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        seen["path"] = upsert(spark, f"{out}/table", batch, keys, version, epoch)
-    q = events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+def upsert_stream(events: DataFrame, table: KeyedTable, folder: str) -> DataFrame:
+    """Latest state per key from a stream: each batch is merged into the buckets of ``table`` it touches, once, whatever is repeated. ``folder`` holds
+    the stream's state, so a second run merges only what came since. A stream without any batch leaves the table as it was."""
+    q = events.writeStream.foreachBatch(lambda batch, epoch: table.merge(batch, epoch) and None).option(
+        "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(seen["path"])
+    if table.latest_version() is None:
+        return events.sparkSession.createDataFrame([], events.schema)
+    return table.read()
 
 
 class Abandoned(StatefulProcessor):
@@ -102,8 +118,19 @@ class Abandoned(StatefulProcessor):
 
 
 def abandoned(beats: DataFrame, key: str, at: str, delay: str, short: int, long: int) -> DataFrame:
-    """Keys whose heartbeats stopped. ``beats`` has the key, the event time, ``us`` and ``gone``."""
-    beats.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Keys whose heartbeats stopped. ``beats`` has the key, the event time, ``us`` and ``gone``. Runs under ``rocksdb_state``."""
     return beats.withWatermark(at, delay).groupBy(key).transformWithStateInPandas(
         statefulProcessor=Abandoned(short, long), outputStructType="key long, last_us long, why string",
         outputMode="Append", timeMode="EventTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """While open, streams started in this session keep their state in RocksDB, as timers need; the session's setting comes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

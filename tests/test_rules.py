@@ -111,13 +111,6 @@ def test_follow_and_sections():
     assert sq._fold_runs(runs, 8) == [[0, 33, "quiet"]]
 
 
-def test_upsert_epochs(spark, tmp_path):
-    d = lambda *r: spark.createDataFrame(list(r), "key long, v long, x string")
-    sinks.upsert(spark, str(tmp_path), d((1, 1, "a"), (2, 1, "b")), ["key"], ["v"], 0)
-    last = sinks.upsert(spark, str(tmp_path), d((1, 3, "c"), (2, 0, "old")), ["key"], ["v"], 1)
-    assert rows(spark.read.parquet(last)) == [(1, 3, "c"), (2, 1, "b")]
-
-
 def test_headroom_edges(spark):
     a = spark.createDataFrame([(1, 1, 10, 20, 100), (1, 2, 40, 50, 100)], "key long, id long, s long, e long, fin long")
     q = spark.createDataFrame([(1, 5, 10), (1, 20, 30)], "key long, qs long, qe long")
