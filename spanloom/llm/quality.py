@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,16 +145,19 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose texts score ``least`` or more."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    """The rows of ``docs``, with all their columns, whose texts score ``least`` or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                counts = np.stack([term_counts((t.as_py() or "").encode("utf-8")) for t in part.column(at)])
-                yield part.filter(pa.array(shared.value.scores(counts) >= least))
-    return docs.mapInArrow(run, docs.schema)
+    Each row is judged by its own text, so repeated rows and ids stay or go one by one. A null text counts as empty and, like all
+    without terms, has the mean label of what was learnt. An empty table gives an empty result. Only the text goes to Python, and only the
+    score comes back, whatever else the rows carry.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        found = [shared.value.scores(np.stack([term_counts(t.encode("utf-8")) for t in texts[start:start + ROWS]])) for start in range(0, len(texts), ROWS)]
+        return pd.Series(np.concatenate([np.zeros(0), *found]))
+    return docs.where(scored(F.coalesce(F.col(text).cast("string"), F.lit(""))) >= least)
 
 
 def held_out(id: str | Column = "doc_id", folds: int = 5) -> Column:
