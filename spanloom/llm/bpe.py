@@ -23,7 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS, RUNS = 250_000, 100_000  # words and runs of letters remembered in each of two generations
+WORDS, RUNS = 250_000, 150_000  # words and runs of letters remembered, none of more bytes than the lookahead
+GROUP = 1 << 20  # bytes of texts whose new words are merged together
 SHORT = 48  # bytes up to which a run is merged by plain passes
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 NEVER = 1 << 60  # the rank of a pair that is not merged
@@ -75,6 +76,7 @@ class Encoder:
         merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         self.ranks = {pair: rank for rank, pair in enumerate(merges)}
         self.look = lookahead(merges, self.suffix)
+        self.letters = byte_letters()
         self.added = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.composed, self.lower = '"NFC"' in kinds, '"Lowercase"' in kinds
@@ -83,9 +85,15 @@ class Encoder:
         for kind in "LN":  # letters and numbers as this Python's Unicode tables have them, whatever those of regex are
             pattern = pattern.replace(f"\\p{{{kind}}}", ranges(kind))
         self.pattern = regex.compile(pattern)
-        self.letters = byte_letters()
-        self.words: tuple[dict, dict] = {}, {}
-        self.runs: tuple[dict, dict] = {}, {}
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        # The merges by pairs of ids, in order of the pair.
+        inside = [(self.vocab[u], self.vocab[v], rank, self.vocab[u + v]) for rank, (u, v) in enumerate(merges)]
+        table = np.array(inside, np.int64).reshape(-1, 4)
+        table = table[np.argsort(table[:, 0] << 32 | table[:, 1])]
+        self.pairs, self.pair_rank, self.pair_id = table[:, 0] << 32 | table[:, 1], table[:, 2].copy(), table[:, 3].copy()
+        self.first = np.array([self.vocab[c] for c in self.letters], np.int64)
+        self.final = np.array([self.vocab[c + self.suffix] for c in self.letters], np.int64)
 
     def normal(self, text: str) -> str:
         if self.composed:
@@ -149,26 +157,80 @@ class Encoder:
                 yield vocab[token]
             window = window[done:]
 
+    def forget(self) -> None:
+        """Drops what is remembered, so that an idle worker holds the tables alone."""
+        self.words, self.runs = {}, {}
+
+    def worth(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair of ids (NEVER if it is not merged) and where it stands in the table."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_rank[at], NEVER), at
+
+    def merged_many(self, runs: list[bytes]) -> list[bytes]:
+        """The packed ids of many short runs: in each round every run makes its best merge, the leftmost among equals."""
+        done = []  # (runs, their numbers of ids, their ids), as they end
+        if not len(self.pairs):
+            raise ValueError("a merge list is needed")
+        sizes = np.array([len(r) for r in runs], np.int64)
+        ids, ends = self.first[np.frombuffer(b"".join(runs), np.uint8)], np.cumsum(sizes)
+        raw = np.frombuffer(b"".join(runs), np.uint8)
+        ids[ends - 1] = self.final[raw[ends - 1]]
+        own = np.arange(len(runs))
+        rank, at = self.worth(ids, np.append(ids[1:], 0))
+        rank[ends - 1] = NEVER
+        while len(own):
+            starts = ends - sizes
+            best = np.minimum.reduceat(rank, starts)
+            stops = best == NEVER
+            if stops.any():
+                stay = np.repeat(~stops, sizes)
+                done.append((own[stops], sizes[stops], ids[~stay].astype(np.uint32)))
+                ids, rank, at = ids[stay], rank[stay], at[stay]
+                own, sizes, best = own[~stops], sizes[~stops], best[~stops]
+                if not len(own):
+                    break
+                ends = np.cumsum(sizes)
+                starts = ends - sizes
+            hit = np.flatnonzero(rank == np.repeat(best, sizes))
+            run = np.searchsorted(ends, hit, "right")
+            place = hit[np.append([True], run[1:] != run[:-1])]  # one a run
+            ids[place] = self.pair_id[at[place]]
+            stay = np.ones(len(ids), bool)
+            stay[place + 1] = False
+            ids, rank, at, place = ids[stay], rank[stay], at[stay], place - np.arange(len(place))
+            sizes = sizes - 1
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            # Only the pairs beside a merge are new.
+            last = place == ends - 1
+            rank[place[last]] = NEVER
+            fresh = np.concatenate([place[~last], place[place > starts] - 1])
+            rank[fresh], at[fresh] = self.worth(ids[fresh], ids[fresh + 1])
+        order, sizes, ids = (np.concatenate(x) for x in zip(*done))
+        packed, ends = ids.tobytes(), np.cumsum(4 * sizes)
+        out = [b""] * len(runs)
+        for i, a, b in zip(order.tolist(), (ends - 4 * sizes).tolist(), ends.tolist()):
+            out[i] = packed[a:b]
+        return out
+
     def word(self, word: bytes) -> bytes:
         """The packed ids of a piece of text between white space."""
         text, out, start = word.decode("utf-8"), [], 0
         for found in self.special.finditer(text) if "<" in text else ():
-            out += [*self._pieces(text[start:found.start()]), np.uint32(self.added[found[0]]).tobytes()]
+            out += [*map(self._run, self.pieces(self.normal(text[start:found.start()]))), np.uint32(self.added[found[0]]).tobytes()]
             start = found.end()
-        out += self._pieces(text[start:])
+        out += map(self._run, self.pieces(self.normal(text[start:])))
         return b"".join(out)
 
-    def _pieces(self, text: str) -> Iterator[bytes]:
-        text = self.normal(text)
+    def pieces(self, text: str) -> list[str]:
+        """The runs of a normal text that are merged each by itself."""
         if text.isalpha():  # one run of letters, as most words are
-            yield self._run(text)
-        else:
-            for piece in (self.plain if max(text, default="") < "\u0250" else self.pattern).finditer(text):
-                yield self._run(piece[0])
+            return [text]
+        return [found[0] for found in (self.plain if max(text, default="") < "\u0250" else self.pattern).finditer(text)]
 
     def _run(self, piece: str) -> bytes:
-        new, old = self.runs
-        packed = new.get(piece) or old.get(piece)
+        packed = self.runs.get(piece)
         if packed is None:
             raw = piece.encode("utf-8")
             if len(raw) > self.look:
@@ -176,32 +238,62 @@ class Encoder:
             symbols = [self.letters[b] for b in raw]
             symbols[-1] += self.suffix
             packed = array("I", [self.vocab[s] for s in self.merged(symbols)]).tobytes()
-            if len(new) >= RUNS:
-                self.runs = new, old = {}, new
-            new[piece] = packed
         return packed
 
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The packed ids of new words. Their short runs are merged together."""
+        plain = [w for w in words if b"<" not in w and len(w) <= self.look]
+        found = {w: self.word(w) for w in words if b"<" in w or len(w) > self.look}
+        # No line break can come of a word, so all are made normal at once.
+        texts = self.normal(b"\n".join(plain).decode("utf-8")).split("\n") if plain else []
+        pieces = [t if t.isalpha() else self.pieces(t) for t in texts]
+        runs = self.runs
+        fresh = {p for own in pieces for p in ((own,) if own.__class__ is str else own) if p not in runs}
+        if len(runs) + len(fresh) > RUNS:
+            runs = self.runs = {}
+            fresh = {p for own in pieces for p in ((own,) if own.__class__ is str else own)}
+        by_size = [], []
+        for p in fresh:
+            by_size[len(p) > SHORT].append(p)
+        if by_size[0]:
+            runs.update(zip(by_size[0], self.merged_many([p.encode("utf-8") for p in by_size[0]])))
+        runs.update((p, self._run(p)) for p in by_size[1])
+        found.update((w, runs[own] if own.__class__ is str else b"".join([runs[p] for p in own])) for w, own in zip(plain, pieces))
+        for p in by_size[1]:
+            del runs[p]
+        return found
+
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """The packed ids (uint32) of each text in UTF-8. Tokens never span ASCII white space, so words go one by one."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[bytes]]] = []
+
+        def flush() -> None:
+            used = {w for _, words in held for w in words}
+            if len(self.words) > WORDS:
+                self.words = {}
+            found = self.learn(list(used.difference(self.words)))
+            self.words.update(found)
+            for i, words in held:
+                out[i].append(b"".join(map(self.words.__getitem__, words)))
+            for w in found:
+                if len(w) > SHORT:
+                    del self.words[w]
+            held.clear()
+        size = 0
+        for i, text in enumerate(texts):
+            for chunk in chunks(text):
+                held.append((i, chunk.split()))
+                size += len(chunk)
+                if size >= GROUP:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(parts) for parts in out]
+
     def encode(self, text: bytes) -> Iterator[bytes]:
-        """The packed ids (uint32) of a text in UTF-8, chunk by chunk. Tokens never span ASCII white space, so words go one by one."""
-        for chunk in chunks(text):
-            words = chunk.split()
-            out = list(map(self.words[0].get, words))
-            if None in out:
-                for i, packed in enumerate(out):
-                    if packed is None:
-                        out[i] = self._fresh(words[i])
-            yield b"".join(out)
-
-    def _fresh(self, word: bytes) -> bytes:
-        new, old = self.words
-        packed = new.get(word) or old.get(word)
-        if packed is None:
-            packed = self.word(word)
-        if len(word) <= self.look:
-            if len(new) >= WORDS:
-                self.words = new, old = {}, new
-            new[word] = packed
-        return packed
+        """The packed ids of one text."""
+        yield self.encode_many([text])[0]
 
 
 def chunks(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -271,10 +363,13 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
-            for part in _parts(batch):
-                packed = [b"".join(bpe.encode(t.as_buffer().to_pybytes())) if t.is_valid else b"" for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(packed, pa.list_(pa.int32()))], names=["id", "ids"])
+        try:
+            for batch in batches:
+                for part in _parts(batch):
+                    packed = bpe.encode_many([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(1)])
+                    yield pa.RecordBatch.from_arrays([part.column(0), _lists(packed, pa.list_(pa.int32()))], names=["id", "ids"])
+        finally:
+            bpe.forget()
     rows = docs.select(F.col(id).cast("long").alias("id"), F.encode(F.col(text).cast("string"), "UTF-8").alias("text"))
     return rows.mapInArrow(run, "id long, ids array<int>")
 

@@ -66,18 +66,21 @@ def cut(id: int | None, ids: np.ndarray, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def _packed(kind: np.dtype, ids_of: Callable[[pa.Scalar], np.ndarray], level: int = 6):
+def _packed(kind: np.dtype, ids_of: Callable[[pa.Array], list[np.ndarray]], done: Callable[[], None] = lambda: None, level: int = 6):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, block = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.append(cut(id, ids_of(value), kind))
-                size += held[-1].nbytes
-                if size >= BLOCK:
-                    yield _block(block, held, level)
-                    held, size, block = [], 0, block + 1
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                for id, values in zip(part.column(0).to_pylist(), ids_of(part.column(1))):
+                    held.append(cut(id, values, kind))
+                    size += held[-1].nbytes
+                    if size >= BLOCK:
+                        yield _block(block, held, level)
+                        held, size, block = [], 0, block + 1
         if size:
             yield _block(block, held, level)
+        done()
     return run
 
 
@@ -166,16 +169,17 @@ def write_training_order(rows: DataFrame, folder: str, id: str = "doc_id", ids:
         known = encoder(tokenizer)
         fits(np.array([*known.vocab.values(), *known.added.values()]))
 
-        def ids_of(text: pa.Scalar) -> np.ndarray:
-            return np.frombuffer(b"".join(encoder(tokenizer).encode(text.as_buffer().to_pybytes())) if text.is_valid else b"", np.uint32)
+        def ids_of(texts: pa.Array) -> list[np.ndarray]:
+            return [np.frombuffer(ids, np.uint32) for ids in encoder(tokenizer).encode_many([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts])]
+        done = lambda: encoder(tokenizer).forget()
         value = F.encode(F.col(ids).cast("string"), "UTF-8")
     else:
-        def ids_of(list_: pa.Scalar) -> np.ndarray:
-            return fits(list_.values.to_numpy() if list_.is_valid else np.zeros(0, np.int32))
-        value = F.col(ids)
+        def ids_of(lists: pa.Array) -> list[np.ndarray]:
+            return [fits(x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32)) for x in lists]
+        done, value = (lambda: None), F.col(ids)
     # Blocks of sequences are written once, under numbers of their own; their counts then say where each begins.
     name = f"sequences_{uuid.uuid4().hex}"
-    (rows.select(F.col(id).cast("long").alias("id"), value.alias("value")).mapInArrow(_packed(kind, ids_of), "block long, n long, records binary")
+    (rows.select(F.col(id).cast("long").alias("id"), value.alias("value")).mapInArrow(_packed(kind, ids_of, done), "block long, n long, records binary")
      .write.format("parquet").option("compression", "uncompressed").option("path", shared_folder(spark, "sequences")).bucketBy(p, "block").saveAsTable(name))
     blocks = spark.table(name)
     task = F.shiftright("block", 32)
