@@ -19,18 +19,63 @@ from . import sqlbase as q
 from .registry import ORACLE, QUERIES, query
 
 
-@query("op_build_timeline")
+_TL_LEAST = 4 * q.HOUR
+
+
+def _md5_of(*columns: str) -> str:
+    return "md5(" + " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns) + ")"
+
+
+@query("op_build_timeline", f"""WITH RECURSIVE {q.AB}, {q.BC},
+ fl AS (SELECT key, min(t) AS b0, max(t) AS fin, max(value) >= 150 AS ha FROM ev GROUP BY key),
+ sg AS (SELECT key, id, s, s + (e - s) // 2 AS e, 'said' AS text, id % 5 = 0 AS made_up FROM a WHERE kind = 'click'),
+ dk AS (SELECT key, t AS ds, t + CAST(round(value * 300 * 1000000) AS BIGINT) AS de FROM ev WHERE kind = 'signup'),
+ fz AS (SELECT key, t AS fs, t + CAST(round(value * 900 * 1000000) AS BIGINT) AS fe FROM ev WHERE kind = 'error'),
+ tn AS (SELECT key, kind AS speaker, t AS ts, t + {24 * q.HOUR} AS te FROM ev WHERE kind IN ('view', 'purchase')),
+ inp AS (SELECT 'asset' AS what, key, b0 AS a, fin AS b, ha::VARCHAR AS text FROM fl UNION ALL SELECT 'segment', key, s, e, id || '/' || made_up || '/' || text FROM sg
+  UNION ALL SELECT 'silence', key, cs, ce, '' FROM bc UNION ALL SELECT 'scene', key, t, t, '' FROM ev WHERE kind = 'error' UNION ALL SELECT 'dark', key, ds, de, '' FROM dk
+  UNION ALL SELECT 'frozen', key, fs, fe, '' FROM fz UNION ALL SELECT 'turn', key, ts, te, speaker FROM tn),
+ hs AS (SELECT {_md5_of("what", "key", "a", "b", "text")} AS h FROM inp),
+ fp AS (SELECT sha256('v1/' || count(*) || '/' || sum(('0x' || substr(h, 1, 8))::BIGINT) || '/' || sum(('0x' || substr(h, 9, 8))::BIGINT) || '/' || sum(('0x' || substr(h, 17, 8))::BIGINT)
+  || '/' || sum(('0x' || substr(h, 25, 8))::BIGINT)) AS f FROM hs),
+ sc AS (SELECT sg.key, id, greatest(coalesce(lag(sg.e) OVER (PARTITION BY sg.key ORDER BY s, id), b0), s) AS s, least(sg.e, fin) AS e, text, made_up, b0 FROM sg JOIN fl ON sg.key = fl.key),
+ sd AS (SELECT * FROM sc WHERE e > s),
+ gr AS (SELECT key, coalesce(lag(e) OVER (PARTITION BY key ORDER BY s, id), b0) AS gs, s AS ge FROM sd
+  UNION ALL SELECT fl.key, coalesce(max(sd.e), any_value(fl.b0)), any_value(fin) FROM fl LEFT JOIN sd ON sd.key = fl.key GROUP BY fl.key),
+ gp AS (SELECT * FROM gr WHERE ge - gs >= {_TL_LEAST}),
+ cu AS (SELECT key, gs, ge, t, row_number() OVER (PARTITION BY key, gs ORDER BY t) AS rn FROM (SELECT DISTINCT gp.key, gs, ge, t FROM gp JOIN ev ON gp.key = ev.key AND kind = 'error' AND t > gs AND t < ge)),
+ w AS (SELECT key, gs, ge, gs AS last, CAST(0 AS BIGINT) AS rn, true AS taken FROM gp UNION ALL
+  SELECT w.key, w.gs, w.ge, CASE WHEN t - last >= {_TL_LEAST} AND w.ge - t >= {_TL_LEAST} THEN t ELSE last END, cu.rn, t - last >= {_TL_LEAST} AND w.ge - t >= {_TL_LEAST}
+  FROM w JOIN cu ON cu.key = w.key AND cu.gs = w.gs AND cu.rn = w.rn + 1),
+ st AS (SELECT key, s, e, text, made_up FROM sd UNION ALL SELECT key, last, coalesce(lead(last) OVER (PARTITION BY key, gs ORDER BY last), ge), '', false FROM w WHERE taken),
+ cl AS (SELECT st.*, fin, ha, 'tl_' || substr(f, 1, 8) || ':u' || printf('%04d', row_number() OVER (ORDER BY st.key, s) - 1) AS id FROM st JOIN fl ON st.key = fl.key, fp),
+ rw AS (SELECT key, 'black' AS what, ds AS ms, de AS me FROM dk UNION ALL SELECT key, 'frozen', fs, fe FROM fz),
+ rm AS (SELECT *, max(me) OVER (PARTITION BY key, what ORDER BY ms, me ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rw),
+ rg AS (SELECT *, sum(CASE WHEN reach IS NULL OR ms > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key, what ORDER BY ms, me) AS grp FROM rm),
+ mk AS (SELECT key, what, min(ms) AS ms, max(me) AS me FROM rg GROUP BY key, what, grp UNION ALL SELECT key, 'silence', cs, ce FROM bc),
+ sh AS (SELECT id, what, sum(least(e, me) - greatest(s, ms)) AS held FROM cl JOIN mk ON cl.key = mk.key AND s < me AND ms < e GROUP BY id, what),
+ sr AS (SELECT cl.id, {", ".join(f"round(least(1.0, coalesce(max(held) FILTER (what = '{w}'), 0)::DOUBLE / (any_value(e) - any_value(s))), 3) AS {w}" for w in ("silence", "black", "frozen"))}
+  FROM cl LEFT JOIN sh ON cl.id = sh.id GROUP BY cl.id),
+ hd AS (SELECT id, speaker, sum(least(e, te) - greatest(s, ts)) AS held FROM cl JOIN tn ON cl.key = tn.key AND s < te AND ts < e GROUP BY id, speaker),
+ sp AS (SELECT id, CASE WHEN held::DOUBLE / sum(held) OVER (PARTITION BY id) >= 0.8 THEN speaker END AS speaker FROM hd QUALIFY row_number() OVER (PARTITION BY id ORDER BY held DESC, speaker) = 1),
+ ri AS (SELECT id, max(least(s - cs, ce - cs)) AS v FROM cl JOIN bc ON cl.key = bc.key AND cs - 20000 <= s AND s <= ce + 20000 GROUP BY id),
+ ro AS (SELECT id, max(least(ce - e, ce - cs)) AS v FROM cl JOIN bc ON cl.key = bc.key AND cs - 20000 <= e AND e <= ce + 20000 GROUP BY id),
+ kd AS (SELECT cl.*, silence, black, frozen, CASE WHEN text <> '' AND NOT made_up AND (NOT ha OR silence < 0.9) THEN 'speech' WHEN black >= 0.5 OR frozen >= 0.5 THEN 'unusable'
+  WHEN ha AND silence >= 0.9 THEN 'silence' ELSE 'ambient' END AS kind FROM cl JOIN sr ON cl.id = sr.id)
+ SELECT kd.id, key, s, e, greatest(0, least(coalesce(ri.v, 0), s)) AS safe_in, greatest(0, least(coalesce(ro.v, 0), fin - e)) AS safe_out, kind, text, silence, black, frozen,
+  CASE WHEN kind = 'speech' THEN speaker END AS speaker FROM kd LEFT JOIN ri ON kd.id = ri.id LEFT JOIN ro ON kd.id = ro.id LEFT JOIN sp ON kd.id = sp.id""")
 def op_build_timeline(spark, sf):
     from ..operators.timeline import build_timeline
     ev = tb.events(spark, sf)
     a = tb.spans_a(spark, sf)
-    segments = a.where("kind = 'click'").select("key", "id", "s", F.expr("s + (e - s) div 2").alias("e"), F.lit("said").alias("text"))
+    segments = a.where("kind = 'click'").select("key", "id", "s", F.expr("s + (e - s) div 2").alias("e"), F.lit("said").alias("text"), (F.col("id") % 5 == 0).alias("made_up"))
     assets = ev.groupBy("key").agg(F.min("t").alias("begin"), F.max("t").alias("fin"), (F.max("value") >= 150).alias("has_audio"))
-    silences = iv.coalesce_spans(tb.spans_b(spark, sf), ["key"], "bs", "be", "bid", tb.CHUNK).select("key", F.col("bs").alias("qs"), F.col("be").alias("qe"))
+    silences = cut_lineage(iv.coalesce_spans(tb.spans_b(spark, sf), ["key"], "bs", "be", "bid", tb.CHUNK).select("key", F.col("bs").alias("qs"), F.col("be").alias("qe")))
     scenes = ev.where("kind = 'error'").select("key", F.col("t").alias("cut"))
     dark = ev.where("kind = 'signup'").select("key", F.col("t").alias("ds"), (F.col("t") + F.round(F.col("value") * 300 * tb.SECOND).cast("long")).alias("de"))
+    frozen = ev.where("kind = 'error'").select("key", F.col("t").alias("fs"), (F.col("t") + F.round(F.col("value") * 900 * tb.SECOND).cast("long")).alias("fe"))
     turns = ev.where(F.col("kind").isin("view", "purchase")).select("key", F.col("kind").alias("speaker"), F.col("t").alias("ts"), (F.col("t") + tb.DAY).alias("te"))
-    return build_timeline(assets, segments, silences, scenes, dark, turns, 4 * tb.HOUR, tb.BIN, tb.CHUNK, "v1")
+    return build_timeline(assets, segments, silences, scenes, dark, frozen, turns, _TL_LEAST, tb.BIN, tb.CHUNK, "v1")
 
 
 @query("op_join_voices", """WITH RECURSIVE v AS (SELECT vec_id AS id, CASE WHEN vec_id % 4 = 0 THEN vec_id ELSE -(vec_id // 3) - 1 END AS file, embedding::DOUBLE[] AS v,
