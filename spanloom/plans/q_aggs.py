@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import intervals as iv
 from ..operators import rollup as ru
 from ..operators.ordered import by_width, exact_quantiles, nxt, ordered_scan, rank_picks, row_number, spread_join
+from ..session import cut_lineage
 from ..sources import tables as tb
 from . import sqlbase as q
 from .registry import query
@@ -150,15 +151,13 @@ def agg_presence_note(spark, sf):
         "x_median", F.round("x_median", 6))
 
 
-@query("agg_counts", f"WITH {q.CLIPS} SELECT key, level, kind, count(*) AS n FROM clips GROUP BY GROUPING SETS ((key, level, kind), (level, kind), (level), ())")
+@query("agg_counts", f"""WITH {q.CLIPS} SELECT key, level, kind, GROUPING(key, level, kind) AS summed, count(*) AS n FROM clips
+ GROUP BY GROUPING SETS ((key, level, kind), (level, kind), (level), ())""")
 def agg_counts(spark, sf):
-    c = tb.clips(spark, sf).groupBy("key", "level", "kind").agg(F.count(F.lit(1)).alias("n"))
-    null = F.lit(None).cast("string")
-    # The finest counts are small, so the coarser levels add those up instead of expanding every row.
-    lk = c.groupBy("level", "kind").agg(F.sum("n").alias("n"))
-    return c.unionByName(lk.select(null.alias("key"), "level", "kind", "n")).unionByName(
-        lk.groupBy("level").agg(F.sum("n").alias("n")).select(null.alias("key"), "level", null.alias("kind"), "n")).unionByName(
-        lk.agg(F.sum("n").alias("n")).select(null.alias("key"), null.alias("level"), null.alias("kind"), "n"))
+    """The finest counts are made first, so the expanding pass over the sets of keys has few rows. ``summed`` tells a total from a null key."""
+    fine = tb.clips(spark, sf).groupBy("key", "level", "kind").agg(F.count(F.lit(1)).alias("n"))
+    sets = [["key", "level", "kind"], ["level", "kind"], ["level"], []]
+    return fine.groupingSets([[F.col(c) for c in x] for x in sets], "key", "level", "kind").agg(F.grouping_id().alias("summed"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 @query("agg_version_counts", "SELECT CAST(o_custkey AS VARCHAR) AS id, count(*) AS versions FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
@@ -293,27 +292,27 @@ def agg_zscore_tags(spark, sf):
 
 
 @query("agg_corrections", """WITH c AS (SELECT l_returnflag AS kind, l_suppkey AS project, l_linestatus = 'O' AS hand, l_quantity / 10 AS edge FROM lineitem)
- SELECT kind, project, count(*) AS versions, count(*) FILTER (WHERE hand) AS by_hand, count(*) FILTER (WHERE edge <= 1) AS cut_point, count(*) FILTER (WHERE edge > 1) AS wrong_piece, round(quantile_cont(edge, 0.5), 3) AS edge_median, max(edge) AS edge_largest
- FROM c GROUP BY ROLLUP (kind, project)""")
+ SELECT kind, project, GROUPING(kind, project) AS summed, count(*) AS versions, count(*) FILTER (WHERE hand) AS by_hand, count(*) FILTER (WHERE edge <= 1) AS cut_point, count(*) FILTER (WHERE edge > 1) AS wrong_piece, round(quantile_cont(edge, 0.5), 3) AS edge_median, max(edge) AS edge_largest
+ FROM c GROUP BY GROUPING SETS ((kind, project), (kind), (project), ())""")
 def agg_corrections(spark, sf):
+    """Per kind and project, per kind, per project and in total; ``summed`` says which."""
     c = tb.load(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("kind"), F.col("l_suppkey").alias("project"), (F.col("l_linestatus") == "O").cast("long").alias("hand"),
         (F.col("l_quantity") / 10).alias("edge"))
-    # Counted by edge length first; every level and its median is read off those counts.
+    # Counted by edge length first; every level and its median is read off those counts, expanded once.
     fine = c.groupBy("kind", "project", "edge").agg(F.count(F.lit(1)).alias("n"), F.sum("hand").alias("h"))
-    levels = fine.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
-        "level", F.when(F.col("level") < 2, F.col("kind")).alias("kind"), F.when(F.col("level") < 1, F.col("project")).alias("project"), "edge", "n", "h")
-    levels = levels.withColumn("g", F.concat_ws("/", "level", F.coalesce("kind", F.lit("*")), F.coalesce(F.col("project").cast("string"), F.lit("*"))))
-    out = levels.groupBy("g", "kind", "project").agg(
-        F.sum("n").alias("versions"), F.sum("h").alias("by_hand"), F.sum(F.when(F.col("edge") <= 1, F.col("n")).otherwise(0)).alias("cut_point"),
-        F.sum(F.when(F.col("edge") > 1, F.col("n")).otherwise(0)).alias("wrong_piece"), F.max("edge").alias("edge_largest"))
-    per = levels.groupBy("g", "edge").agg(F.sum("n").alias("n"))
-    run = ordered_scan(per, ["g"], ["edge"], F.floor("edge"), {"to": ru.running_sum(F.col("n")), "versions": ru.total_sum(F.col("n"))})
+    sets = [["kind", "project", "edge"], ["kind", "edge"], ["project", "edge"], ["edge"]]
+    per = cut_lineage(fine.groupingSets([[F.col(x) for x in s] for s in sets], "kind", "project", "edge").agg(
+        F.shiftright(F.grouping_id(), 1).alias("summed"), F.sum("n").alias("n"), F.sum("h").alias("h")))
+    g = ["summed", "kind", "project"]
+    run = ordered_scan(per, g, ["edge"], None, {"to": ru.running_sum(F.col("n")), "all": ru.total_sum(F.col("n"))})
 
     def at(rank):
         return F.max(F.when((F.col("to") - F.col("n") <= rank) & (rank < F.col("to")), F.col("edge")))
-    mid = run.groupBy("g").agg(((at(F.floor((F.col("versions") - 1) / 2)) + at(F.ceil((F.col("versions") - 1) / 2))) / 2).alias("m"))
-    return out.join(mid, "g").select("kind", "project", "versions", "by_hand", "cut_point", "wrong_piece", F.round("m", 3).alias("edge_median"), "edge_largest")
+    middle = (at(F.floor((F.col("all") - 1) / 2)) + at(F.ceil((F.col("all") - 1) / 2))) / 2
+    return run.groupBy(*g).agg(
+        F.sum("n").alias("versions"), F.sum("h").alias("by_hand"), F.sum(F.when(F.col("edge") <= 1, F.col("n")).otherwise(0)).alias("cut_point"),
+        F.sum(F.when(F.col("edge") > 1, F.col("n")).otherwise(0)).alias("wrong_piece"), F.round(middle, 3).alias("edge_median"), F.max("edge").alias("edge_largest"))
 
 
 _TRIAL = """t AS (SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'X' WHEN o_orderpriority = '5-LOW' THEN 'same' ELSE 'Y' END AS better,

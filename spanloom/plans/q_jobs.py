@@ -335,9 +335,10 @@ def op_baseline_cut(spark, sf):
     return r.where(F.col("used") < 100 * tb.HOUR).select("key", "s", F.least(F.col("e") - F.col("s"), F.lit(100 * tb.HOUR) - F.col("used")).alias("len"))
 
 
-@query("op_embed_refresh", """WITH c AS (SELECT conv_id AS key, turn, role, coalesce(lag(text) OVER w, '') || chr(10) || text || chr(10) || coalesce(lead(text) OVER w, '') AS x FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), d AS (SELECT key, turn, role, sha1('m1' || chr(10) || x) AS digest FROM c)
- SELECT key, turn, digest, 'compute' AS what FROM d WHERE role <> 'user' UNION ALL SELECT -key - 1, turn, NULL, 'drop' FROM d WHERE role = 'system'""")
+@query("op_embed_refresh", """WITH c AS (SELECT conv_id AS key, turn, role, coalesce(lag(text) OVER w, '') || chr(10) || text || chr(10) || coalesce(lead(text) OVER w, '') AS x FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), d AS (SELECT key, turn, role, sha1('m1' || chr(10) || x) AS digest, len(regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+'))::DOUBLE AS words FROM c)
+ SELECT key, turn, digest, words, 'compute' AS what FROM d WHERE role <> 'user' UNION ALL SELECT -key - 1, turn, NULL, NULL, 'drop' FROM d WHERE role = 'system'""")
 def op_embed_refresh(spark, sf):
+    from pyspark.ml.functions import vector_to_array
     c = tb.load(spark, sf, "conversations").select(F.col("conv_id").alias("key"), "turn", "role", "text")
     seen = ordered_scan(c, ["key"], ["turn"], by_width("turn", 10_000), {"b": prev(F.col("text")), "a": nxt(F.col("text"))})
     blank = F.lit("")
@@ -347,8 +348,10 @@ def op_embed_refresh(spark, sf):
     stored = x.select("key", "turn", digest.alias("digest"))
     stored = stored.unionByName(x.where("role = 'system'").select((-F.col("key") - 1).alias("key"), "turn", F.lit("old").alias("digest")))
     todo, orphans = vo.refresh_vectors(x.drop("role"), stored, ["key", "turn"], "x", "m1")
-    return todo.select("key", "turn", "digest", F.lit("compute").alias("what")).unionByName(
-        orphans.select("key", "turn", F.lit(None).cast("string").alias("digest"), F.lit("drop").alias("what")))
+    # A hashed vector counts every word once, so its parts add up to the words of the text.
+    weight = F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda s, v: s + v)
+    return todo.select("key", "turn", "digest", weight.alias("words"), F.lit("compute").alias("what")).unionByName(
+        orphans.select("key", "turn", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("double").alias("words"), F.lit("drop").alias("what")))
 
 
 @query("op_folder_tree", """WITH RECURSIVE t AS (SELECT p_partkey AS id, CASE WHEN p_partkey >= 10 THEN p_partkey // 10 END AS parent FROM part), a AS (SELECT id, id AS root, 0::BIGINT AS depth FROM t WHERE parent IS NULL UNION ALL SELECT t.id, a.root, a.depth + 1 FROM a JOIN t ON t.parent = a.id)

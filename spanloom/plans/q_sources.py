@@ -13,11 +13,38 @@ from . import sqlbase as q
 from .registry import query
 
 
-@query("src_flatten_analysis", f"""WITH {q.EV} SELECT key, id, kind, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM ev""")
+_SEC = f"(t - {q.EPOCH}) / 1000000.0::DOUBLE"
+
+
+@query("src_flatten_analysis", f"""WITH {q.EV}, d AS (SELECT *, key || '/' || t // {24 * q.HOUR} AS asset, t // {24 * q.HOUR} % 4 AS turn, {_SEC} AS sec FROM ev),
+ seg AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t, id) - 1 AS seg FROM d WHERE kind = 'click'),
+ has AS (SELECT asset, any_value(turn) AS turn, count(*) FILTER (kind = 'error') AS black, count(*) FILTER (kind = 'purchase') AS quiet FROM d GROUP BY asset)
+ SELECT 'black' AS part, asset, NULL::INT AS seg, NULL::INT AS idx, sec AS start, sec + value AS "end", NULL AS text FROM d WHERE kind = 'error'
+ UNION ALL SELECT 'silence', asset, NULL, NULL, sec, sec + value, NULL FROM d WHERE kind = 'purchase' AND turn > 1
+ UNION ALL SELECT 'word', asset, seg::INT, i::INT, sec + i, sec + i + 1, CASE WHEN i = 0 THEN kind ELSE id::VARCHAR END FROM seg, range(2) r(i)
+ UNION ALL SELECT 'state', asset, NULL, NULL, NULL, NULL, 'black_frames ' || CASE WHEN black = 0 THEN 'empty' ELSE 'filled' END FROM has
+ UNION ALL SELECT 'state', asset, NULL, NULL, NULL, NULL, 'silences ' || CASE turn WHEN 0 THEN 'absent' WHEN 1 THEN 'null' ELSE CASE WHEN quiet = 0 THEN 'empty' ELSE 'filled' END END FROM has""")
 def src_flatten_analysis(spark, sf):
-    ev = tb.events(spark, sf)
-    doc = F.from_json("props", "k bigint")
-    return ev.select("key", "id", F.inline(F.array(F.struct("kind", "value", doc["k"].alias("k")))))
+    """A user's day as one nested document kept as text: spans and a transcript with words; some documents lack silences, in some they are null."""
+    ev = tb.events(spark, sf).withColumn("asset_id", F.concat_ws("/", "key", F.expr(f"t div {tb.DAY}"))).withColumn("at", F.expr(f"(t - {q.EPOCH}) / 1000000.0D"))
+
+    def gathered(kind, *fields):  # a day's events at most
+        row = F.when(F.col("kind") == kind, F.struct("t", "id", F.struct(*fields).alias("x")))
+        return F.transform(F.array_sort(F.collect_list(row)), lambda r: r["x"])
+    span = F.col("at").alias("start"), (F.col("at") + F.col("value")).alias("end")
+    words = F.array(*[F.struct((F.col("at") + i).alias("start"), (F.col("at") + i + 1).alias("end"), F.col(c).cast("string").alias("text")) for i, c in enumerate(("kind", "id"))])
+    docs = ev.groupBy("asset_id", F.expr(f"t div {tb.DAY} % 4").alias("turn")).agg(
+        gathered("error", *span).alias("black_frames"), gathered("purchase", *span).alias("silences"), gathered("click", *span, words.alias("words")).alias("segments"))
+    told = F.to_json(F.struct("asset_id", "black_frames", F.when(F.col("turn") > 1, F.col("silences")).alias("silences"), F.struct("segments").alias("transcript")))
+    texts = docs.select(F.when(F.col("turn") == 1, F.concat(F.lit('{"silences":null,'), F.substring(told, F.lit(2), F.length(told)))).otherwise(told).alias("data"))
+    parts = logs.flatten_analyses(logs.parse_analyses(texts, "data"))
+    none = F.lit(None).cast("int")
+    spans = parts["spans"].select(F.col("kind").alias("part"), F.col("key").alias("asset"), none.alias("seg"), none.alias("idx"), "start", "end", F.lit(None).cast("string").alias("text"))
+    said = parts["words"].select(F.lit("word").alias("part"), F.col("key").alias("asset"), "seg", "idx", "start", "end", "text")
+    states = logs.part_states(texts, "data", ["black_frames", "silences"]).select(
+        F.lit("state").alias("part"), F.col("key").alias("asset"), none.alias("seg"), none.alias("idx"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"),
+        F.concat_ws(" ", "part", "state").alias("text"))
+    return spans.unionByName(said).unionByName(states)
 
 
 @query("src_event_log_pairs", f"""WITH {q.EV}, m AS (SELECT *, lead(kind) OVER w AS nk, lead(t) OVER w AS nt FROM ev

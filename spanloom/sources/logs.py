@@ -32,6 +32,20 @@ def read_analyses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ANALYSIS).json(path)
 
 
+def parse_analyses(texts: DataFrame, text: str) -> DataFrame:
+    """Documents kept as JSON text, one row each, as columns of their declared schema. Text that is no document gives nulls."""
+    return texts.select(F.from_json(text, ANALYSIS).alias("d")).select("d.*")
+
+
+def part_states(texts: DataFrame, text: str, parts: Sequence[str]) -> DataFrame:
+    """Whether a document has each part: key, part and state, which is absent, null, empty or filled. A document without a part was
+    never looked at for it, which is not the same as nothing having been found."""
+    held = texts.select(F.get_json_object(text, "$.asset_id").alias("key"), F.json_object_keys(text).alias("keys"), F.col(text).alias("__text"))
+    state = lambda p: (F.when(~F.array_contains("keys", p), "absent").when(F.get_json_object("__text", f"$.{p}").isNull(), "null")
+                       .when(F.json_array_length(F.get_json_object("__text", f"$.{p}")) == 0, "empty").otherwise("filled"))
+    return held.where("keys is not null").select("key", F.inline(F.array(*[F.struct(F.lit(p).alias("part"), state(p).alias("state")) for p in parts])))
+
+
 def flatten_analyses(docs: DataFrame) -> dict[str, DataFrame]:
     """The long tables held in nested analyses; each prunes to the part of the document it needs."""
     kinds = {"scenes": "scene", "black_frames": "black", "frozen_frames": "frozen", "silences": "silence"}
