@@ -220,8 +220,8 @@ class RunIndex:
         return np.where(self.before[at] >= 0, self.before[at] + gone, -1), np.maximum(self.match[at] - gone, 0)
 
 
-def least_documents(stretches: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string of each stretch, the smallest document in which any stretch holds it."""
+def least_documents(stretches: list[bytes], docs: np.ndarray, length: int) -> np.ndarray:
+    """For each string of each stretch, one stretch after the other, the smallest document in which any stretch holds it."""
     sizes = np.array([len(s) for s in stretches], np.int64)
     t = np.zeros(int(sizes.sum()) + len(sizes), np.uint16)
     ends = np.cumsum(sizes + 1) - 1
@@ -238,8 +238,13 @@ def least_documents(stretches: list[bytes], docs: np.ndarray, length: int) -> li
         up = further
     least = np.full(len(t), NO_ID, np.int64)
     np.minimum.at(least, up[whole], np.repeat(docs, sizes + 1)[whole])
-    starts = ends - sizes
-    return [least[up[s:s + n - length + 1]] for s, n in zip(starts, sizes)]
+    return least[up[whole]]
+
+
+def segments(flat: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The chosen ones of segments that lie end to end, end to end."""
+    ends, wanted = np.cumsum(sizes), sizes[chosen]
+    return flat[np.repeat((ends - sizes)[chosen] - np.cumsum(wanted) + wanted, wanted) + np.arange(wanted.sum())]
 
 
 def _indexed(length: int):
@@ -257,12 +262,24 @@ def _indexed(length: int):
         texts = sorted(docs)
         found = least_documents(texts, np.array([docs[s] for s in texts], np.int64), length)
         # Runs of strings with the same smallest document: how many in a stretch, how long, and which document.
-        packed = {}
-        for s, d in zip(texts, found):
-            first = np.flatnonzero(np.append([True], d[1:] != d[:-1]))
-            packed[s] = bytes([len(first)]) + np.diff(np.append(first, len(d))).astype(np.uint8).tobytes(), d[first].tobytes()
-        runs = [b"".join(packed[s][0] for s in own) for own in asked]
-        least = [b"".join(packed[s][1] for s in own) for own in asked]
+        held = np.array([len(s) - length + 1 for s in texts], np.int64)
+        new = np.ones(len(found), bool)
+        new[1:] = found[1:] != found[:-1]
+        new[(np.cumsum(held) - held)[held > 0]] = True
+        first = np.flatnonzero(new)
+        many = np.bincount(np.repeat(np.arange(len(texts)), held)[first], minlength=len(texts))
+        lengths = np.zeros(len(texts) + len(first), np.uint8)
+        heads = np.cumsum(many + 1) - many - 1
+        lengths[heads] = many
+        inside = np.ones(len(lengths), bool)
+        inside[heads] = False
+        lengths[inside] = np.diff(np.append(first, len(found)))
+        place = {s: i for i, s in enumerate(texts)}
+        runs, least = [], []
+        for own in asked:
+            at = np.array([place[s] for s in own], np.int64)
+            runs.append(segments(lengths, many + 1, at).tobytes())
+            least.append(segments(found[first], many, at).tobytes())
         n = rows.num_rows
         return pa.table({"part": rows.column("part"), "bucket": rows.column("bucket"), "flags": pa.nulls(n, pa.binary()), "sizes": pa.nulls(n, pa.int32()),
                          "runs": pa.array(runs, pa.binary()), "least": pa.array(least, pa.binary())})
