@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS, RUNS = 250_000, 150_000  # words and runs of letters remembered, none of more bytes than the lookahead
+WORDS, RUNS = 150_000, 100_000  # words and runs of letters remembered, none of more bytes than the lookahead
 GROUP = 1 << 20  # bytes of texts whose new words are merged together
 SHORT = 48  # bytes up to which a run is merged by plain passes
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -383,3 +383,19 @@ def decode(encoded: DataFrame, path: str, id: str = "id", ids: str = "ids", piec
                 texts = ["".join(text_of.decode(x.values.to_numpy())) if x.is_valid else "" for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["id", "ids", "text"])
     return encoded.select(F.col(id).cast("long").alias("id"), F.col(ids).alias("ids")).mapInArrow(run, "id long, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What ``decode(encode(docs, path), path)`` gives, by one worker a task instead of two."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, text_of = encoder(path), decoder(path, None)
+        try:
+            for batch in batches:
+                for part in _parts(batch):
+                    packed = bpe.encode_many([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(1)])
+                    texts = ["".join(text_of.decode(np.frombuffer(p, np.uint32))) for p in packed]
+                    yield pa.RecordBatch.from_arrays([part.column(0), _lists(packed, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["id", "ids", "text"])
+        finally:
+            bpe.forget()
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.encode(F.col(text).cast("string"), "UTF-8").alias("text"))
+    return rows.mapInArrow(run, "id long, ids array<int>, text string")

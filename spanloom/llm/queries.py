@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.ann import nearest
-from spanloom.llm.bpe import decode, encode
+from spanloom.llm.bpe import round_trip
 from spanloom.llm.chat import format_chats, parsed, unescaped
 from spanloom.llm.exact import exact_groups
 from spanloom.llm.filters import filter_audit
@@ -125,8 +125,7 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Every row's text encoded and decoded again; equal ids and texts have equal digests."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    read = decode(encode(docs, path), path)
+    read = round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
     return read.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
                        hex_of(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), hex_of("text").alias("decoded_sha256"))
 
