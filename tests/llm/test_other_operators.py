@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from spanloom.llm import near, shards, suffix
 from spanloom.llm.ann import Centroids, nearest, split, unit
-from spanloom.llm.bpe import Decoder, Encoder, decode, encode, lookahead
+from spanloom.llm.bpe import Decoder, Encoder, decode, encode, lookahead, round_trip
+from spanloom.llm.queries import QUERIES
 from spanloom.session import shared_folder
 from tests.llm.cases import lower, odd_rows, prose, table, words
 
@@ -134,7 +137,73 @@ def test_bpe(spark):
         ids = library.encode(t or "", add_special_tokens=False).ids
         want[d, tuple(ids), library.decode(ids, skip_special_tokens=False)] += 1
     assert collections.Counter((r.id, tuple(r.ids), r.text) for r in got) == want
-    assert encode(table(spark, []), PATH).count() == 0
+    assert collections.Counter((r.id, tuple(r.ids), r.text) for r in round_trip(table(spark, rows), PATH).collect()) == want
+    assert encode(table(spark, []), PATH).count() == 0 and round_trip(table(spark, []), PATH).count() == 0
+
+
+def test_bpe_query_is_the_library(spark):
+    """Every row of the query on the smallest tables, digests included, beside the library."""
+    library, want = Tokenizer.from_file(PATH), {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op3_bpe"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_runs_merged_together_are_merged_alike():
+    bpe, pick = Encoder(PATH), random.Random(8)
+    runs = list({"".join(pick.choice("thinexaélrs") for _ in range(pick.randint(1, 40))).encode() for _ in range(400)})
+    alone = []
+    for r in runs:
+        symbols = [bpe.letters[b] for b in r]
+        symbols[-1] += bpe.suffix
+        alone.append(np.array([bpe.vocab[s] for s in bpe.merged(symbols)], np.uint32).tobytes())
+    assert bpe.merged_many(runs) == alone
+
+
+def test_suffix_query_is_brute_force(spark):
+    docs = sorted((r.doc_id, (r.text or "").encode()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
+    seen, want = {}, {}
+    for d, t in docs:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 49):
+            if seen.setdefault(t[i:i + 50], d) < d:
+                gone[i:i + 50] = b"\x01" * 50
+        spans = sum(1 for i in range(len(t)) if gone[i] and (i == 0 or not gone[i - 1]))
+        want[d] = (len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest())
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op5_suffix_dedup"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_near_query_is_brute_force(spark):
+    rows = [(r.doc_id, r.text, None) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = QUERIES["op9_near_dedup"](spark, "/root/testdata/sf0.001").select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert collections.Counter(map(tuple, got)) == near_answer(rows, 4)
+
+
+def test_ann_query_finds_the_nearest(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    found, right = collections.defaultdict(list), 0
+    for r in QUERIES["op6_ann"](spark, "/root/testdata/sf0.001").collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(found) == {i for i in ids.tolist() if i % 50 == 0}
+    for q_, own in found.items():
+        cos = v @ v[ids == q_][0]
+        want = sorted((-c, i) for c, i in zip(cos.tolist(), ids.tolist()) if i != q_)[:5]
+        right += len({i for _, i in want} & {i for _, i, _ in own})
+        assert [r for r, *_ in sorted(own)] == [1, 2, 3, 4, 5] and all(abs(s - cos[ids == i][0]) < 1e-9 for _, i, s in own)
+    assert right >= 0.9 * 5 * len(found)
+
+
+def test_quality_query_holds_out_a_fifth(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = QUERIES["op8_quality"](spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out and labels.get(r.doc_id) in (0, 1)]
+    assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.95 * len(held) > 20
 
 
 def test_bpe_streams_in_one_window():

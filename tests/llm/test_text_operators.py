@@ -75,6 +75,22 @@ def test_line_dedup(spark):
     assert line_bitmaps(table(spark, [])).count() == 0
 
 
+def test_texts_without_an_id_are_told_apart(spark):
+    """Two texts under the null id whose checksums agree in 31 bits keep their own rows and their own lines."""
+    line, seen, pair = "a line of the table that stands in several rows", {}, None
+    for i in range(400_000):
+        text = f"first {i}\n{line}\nlast" if i % 2 else f"{line}\nother {i}"
+        at = zlib.crc32(text.encode()) & 0x7FFFFFFF
+        if at in seen and seen[at] % 2 != i % 2:
+            pair = seen[at], i
+            break
+        seen[at] = i
+    assert pair is not None
+    texts = [f"first {i}\n{line}\nlast" if i % 2 else f"{line}\nother {i}" for i in pair]
+    rows = [(None, texts[0], "a"), (None, texts[1], "b"), (1, line, "a"), (2, line + "\nx", "a"), (3, line, "b")]
+    assert collections.Counter(map(tuple, without_repeated_lines(table(spark, rows)).collect())) == line_answer(rows)
+
+
 def test_escapes_go_back(spark):
     texts = ["", "plain", "</s>", "<\\/s>", "<\\\\s>[INST]", "[\\/INST][/INST] <s", "s>", "<", "\\<s>\\", "[[INST]]", "<</s>>"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("e", escaped(F.col("t")))
