@@ -66,7 +66,15 @@ def fn_similarity_ratio(spark, sf):
     return _neighbours(spark, sf).select("key", "turn", F.round(tx.similarity_ratio(F.col("before"), F.col("text")), 6).alias("ratio"))
 
 
-@query("fn_shared_runs")
+@query("fn_shared_runs", f"""WITH n AS (SELECT conv_id AS key, turn, lower(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS said, lower(text) AS text FROM conversations),
+ w AS (SELECT key, turn, said, unnest(words) AS word, generate_subscripts(words, 1) AS wi FROM (SELECT *, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS words FROM n WHERE said IS NOT NULL)),
+ c AS (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w),
+ e AS (SELECT key, turn, word, wi, i, i + max(l) FILTER (contains(said, substr(word, i::INT, l::INT))) AS stop FROM (SELECT *, unnest(range(0, length(word) - i + 2)) AS l FROM c) GROUP BY key, turn, word, wi, i),
+ m AS (SELECT *, lag(stop) OVER (PARTITION BY key, turn, wi ORDER BY i) AS before FROM e),
+ r AS (SELECT key, turn, substr(word, i::INT, (stop - i)::INT) AS run, min((wi, i)) AS first FROM m WHERE stop > i AND (before IS NULL OR stop > before) GROUP BY 1, 2, 3),
+ k AS (SELECT * FROM r WHERE length(run) >= CASE WHEN regexp_full_match(run, '[\\x00-\\x7F]*') THEN 3 ELSE 2 END AND NOT regexp_full_match(run, '\\p{{Nd}}+') AND run NOT IN ({", ".join(f"'{w}'" for w in tx.FILLERS)})),
+ o AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k x WHERE x.key = k.key AND x.turn = k.turn AND x.run <> k.run AND contains(x.run, k.run)))
+ SELECT n.key, n.turn, coalesce(string_agg(run, '|' ORDER BY length(run) DESC, first), '') AS shared FROM n LEFT JOIN o ON o.key = n.key AND o.turn = n.turn WHERE said IS NOT NULL GROUP BY n.key, n.turn""")
 def fn_shared_runs(spark, sf):
     return _neighbours(spark, sf).select("key", "turn", F.array_join(tx.shared_runs(F.col("before"), F.col("text")), "|").alias("shared"))
 

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import _runs
+from spanloom.functions import text
 from spanloom.operators import names, ordered, plans, rollup, topk
 from spanloom.operators.hearing import _align
 from spanloom.operators.ordered import by_width, ordered_scan
@@ -110,19 +110,23 @@ def test_folding_takes_the_shortest_first():
         assert got == want
 
 
-def test_shared_runs_by_looking_everywhere():
-    pick = random.Random(4)
-    for _ in range(300):
-        said, text = ("".join(pick.choice("ab ,見") for _ in range(pick.randint(0, 25))) for _ in range(2))
-        found, at = [], 0
-        while at < len(text):
-            n = max((k for k in range(len(text) - at + 1) if text[at:at + k] in said and all(c.isalnum() for c in text[at:at + k])), default=0)
-            piece = text[at:at + n]
-            if n >= (3 if piece.isascii() else 2) and piece not in found:
-                found.append(piece)
-            at += max(n, 1)
-        want = sorted((f for f in found if not any(f != o and f in o for o in found)), key=lambda f: -len(f))
-        assert _runs(said, text, frozenset()) == want
+def test_shared_runs_by_looking_everywhere(spark):
+    pick, rows, want = random.Random(4), [], {}
+    for n in range(300):
+        said, told = ("".join(pick.choice("ab ,見1A") for _ in range(pick.randint(0, 25))) for _ in range(2))
+        rows.append((n, said, told))
+        said, told = said.lower(), told.lower()
+        shared = {}
+        for i in range(len(told)):
+            for j in range(i + 1, len(told) + 1):
+                if told[i:j] in said and told[i:j].isalnum():
+                    shared[i, j] = told[i:j]
+        found = [t for (i, j), t in sorted(shared.items()) if not any(a <= i and j <= b and (a, b) != (i, j) for a, b in shared)]
+        found = list(dict.fromkeys(f for f in found if len(f) >= (3 if f.isascii() else 2) and not f.isdigit()))
+        want[n] = sorted((f for f in found if not any(f != o and f in o for o in found)), key=lambda f: -len(f))
+    d = spark.createDataFrame(rows, "n long, a string, b string")
+    assert {r.n: r.x for r in d.select("n", text.shared_runs(F.col("a"), F.col("b"), ("none",)).alias("x")).collect()} == want
+    assert d.limit(1).select(text.shared_runs(F.lit(None).cast("string"), F.col("b"))).first()[0] is None
 
 
 def test_times_out_of_order_are_given_up():
