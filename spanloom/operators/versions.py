@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from .graph import components, greedy_match
 from .intervals import coalesce_spans, covered, overlap_join, overlap_length
-from .ordered import by_width, last_value, ordered_scan, row_number, running_sum
+from .ordered import by_width, islands, last_value, ordered_scan, prev, row_number, running_sum, spread_join
 
 
 def keyed_diff(before: DataFrame, after: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
@@ -29,26 +29,57 @@ def keyed_diff(before: DataFrame, after: DataFrame, key: str, fields: Sequence[s
     return j.select(key, status.alias("status"), F.inline(F.when(status == "changed", changes).otherwise(one)))
 
 
-def _staying(index: np.ndarray) -> np.ndarray:
-    """Flags of the longest rising run of old positions; of equally long ones the one found first."""
-    n = len(index)
-    length, back = np.ones(n, dtype=int), np.full(n, -1)
-    for k in range(1, n):
-        ok = np.flatnonzero(index[:k] < index[k])
-        if len(ok):
-            j = ok[np.argmax(length[ok])]
-            length[k], back[k] = length[j] + 1, j
-    keep, at = np.zeros(n, dtype=bool), int(np.argmax(length)) if n else -1
+def _heaviest(starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Flags of the rising sequence of starts with the largest sum of weights; among equal sums each step goes back to the earliest."""
+    n = len(starts)
+    rank = np.argsort(np.argsort(starts, kind="stable"), kind="stable") + 1
+    tree = [(0, 1)] * (n + 1)  # a prefix-maximum tree over the starts: the largest sum so far, and minus its index
+    back = [-1] * n
+    best = (0, 1)
+    for k, (r, w) in enumerate(zip(rank.tolist(), weights.tolist())):
+        at, found = r - 1, (0, 1)
+        while at > 0:
+            found = max(found, tree[at])
+            at -= at & -at
+        back[k] = -found[1]
+        mine = (found[0] + w, -k)
+        best = max(best, mine)
+        while r <= n:
+            tree[r] = max(tree[r], mine)
+            r += r & -r
+    keep, at = np.zeros(n, dtype=bool), -best[1]
     while at >= 0:
         keep[at], at = True, back[at]
     return keep
 
 
+def staying(both: DataFrame, plan: Sequence[str], old: str, new: str) -> DataFrame:
+    """Which matched items stayed in order: ``both`` with ``__stays``, true for the longest run of items whose old and new order agree.
+
+    Items that follow each other without a break in both orders stay or move together, so a plan is first cut into such runs, by
+    scans that put no plan into one task. Only the runs go on, a start and a length each, in one array a plan: as many as the edits made,
+    not as many as there are items. Their heaviest rising sequence is found in n log n steps. Of several, that which the earliest
+    items in the new order lead to is taken.
+    """
+    plan = list(plan)
+    ranked = ordered_scan(both, plan, [old], None, {"__o": row_number()})
+    runs = islands(ranked, plan, [new], None, {"__p": prev(F.col("__o"))}, F.col("__p").isNull() | (F.col("__o") != F.col("__p") + 1), "__run")
+    runs = cut_lineage(runs)
+    each = runs.groupBy(*plan, "__run").agg(F.min("__o").alias("o"), F.count(F.lit(1)).alias("n"))
+
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def flags(o: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_heaviest(np.asarray(x), np.asarray(w)) for x, w in zip(o, n)])
+    rows = each.groupBy(*plan).agg(F.array_sort(F.collect_list(F.struct("__run", "o", "n"))).alias("__r"))
+    kept = rows.withColumn("__k", flags("__r.o", "__r.n")).select(*plan, F.inline(F.arrays_zip(F.col("__r.__run").alias("__run"), F.col("__k").alias("__stays"))))
+    return spread_join(runs, kept, [*plan, "__run"], null_safe=True).select(*both.columns, "__stays")
+
+
 def sequence_diff(before: DataFrame, after: DataFrame, plan: Sequence[str], pos: str, what: str, start: str, end: str) -> DataFrame:
     """Windows added, dropped, kept, retrimmed or moved between two versions of a plan.
 
     Repeats are matched first to first by their occurrence number. What stayed is the longest run still in
-    its old order, worked out over the matched positions of one plan.
+    its old order (``staying``).
     """
     plan = list(plan)
 
@@ -59,13 +90,8 @@ def sequence_diff(before: DataFrame, after: DataFrame, plan: Sequence[str], pos:
     j = cut_lineage(numbered(before, "old").join(numbered(after, "new"), [*plan, what, "__occ"], "full"))
     both = j.where(F.col("old_pos").isNotNull() & F.col("new_pos").isNotNull()).select(*plan, "old_pos", "new_pos")
 
-    @F.pandas_udf(T.ArrayType(T.BooleanType()))
-    def stays(old: pd.Series) -> pd.Series:
-        return old.map(_staying)
-    # One plan is one short array; an Arrow batch carries thousands of them.
-    rows = both.groupBy(*plan).agg(F.array_sort(F.collect_list(F.struct("new_pos", "old_pos"))).alias("__r"))
-    kept = rows.withColumn("__k", stays(F.col("__r.old_pos"))).select(*plan, F.inline(F.arrays_zip(F.col("__r.new_pos").alias("new_pos"), F.col("__k").alias("__stays"))))
-    j = j.join(kept.where("__stays"), [*plan, "new_pos"], "left")
+    kept = staying(both, plan, "old_pos", "new_pos").where("__stays").select(*plan, "new_pos", "__stays")
+    j = j.join(kept, [*plan, "new_pos"], "left")
     status = F.when(F.col("old_pos").isNull(), "added").when(F.col("new_pos").isNull(), "dropped").when(
         F.col("__stays").isNull(), "moved").when(F.col("__old") == F.col("__new"), "kept").otherwise("retrimmed")
     return j.select(*plan, what, "old_pos", "new_pos", status.alias("status"))

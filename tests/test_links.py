@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from spanloom.operators import voices
+from spanloom.operators import versions, voices
 from spanloom.operators.intervals import interval_components
 from spanloom.operators.similar import look_alikes, look_classes
 from spanloom.operators.voices import bucketed, join_voices, tables_and_bits
@@ -151,3 +151,37 @@ def test_spans_that_hang_together(spark):
         own[g].append(r[3])
     want = sorted((i, min(x)) for x in own.values() if len(x) > 1 for i in x)
     assert sorted(map(tuple, interval_components(d, ["key"], "s", "e", "id").collect())) == want
+
+
+def staying_answer(index):
+    length, back = [1] * len(index), [-1] * len(index)
+    for k, x in enumerate(index):
+        for j in range(k):
+            if index[j] < x and length[j] + 1 > length[k]:
+                length[k], back[k] = length[j] + 1, j
+    keep, at = set(), length.index(max(length)) if index else -1
+    while at >= 0:
+        keep.add(at)
+        at = back[at]
+    return keep
+
+
+def test_what_stays_in_order(spark):
+    pick, rows, want = random.Random(7), [], set()
+    for plan in range(40):
+        order = list(range(pick.randint(1, 40)))
+        for _ in range(pick.choice([0, 1, 3, 30])):
+            a, b = sorted(pick.choices(range(len(order) + 1), k=2))
+            order = order[:a] + order[b:] + order[a:b]
+        rows += [(None if plan == 0 else plan, 3 * old, 2 * new) for new, old in enumerate(order)]
+        want |= {(None if plan == 0 else plan, 2 * new) for new in staying_answer(order)}
+    got = versions.staying(spark.createDataFrame(rows, "plan long, o long, n long"), ["plan"], "o", "n")
+    assert {(r.plan, r.n) for r in got.where("__stays").collect()} == want and got.count() == len(rows)
+
+
+def test_a_long_plan_is_a_few_runs(spark):
+    """A plan of 200,000 items with two blocks swapped: no array holds more than its runs."""
+    n = 200_000
+    d = spark.range(n).selectExpr("1L AS plan", "id AS o", f"CASE WHEN id < 50000 THEN id + 100000 WHEN id < 150000 THEN id - 50000 ELSE id END AS n")
+    got = versions.staying(d, ["plan"], "o", "n").groupBy("__stays").count().collect()
+    assert {r["__stays"]: r["count"] for r in got} == {True: 150_000, False: 50_000}
