@@ -118,26 +118,40 @@ def with_repeats(rows: DataFrame, keys: Sequence[str], name: str, order: Sequenc
 
 
 def ancestors(tree: DataFrame, node: str, parent: str) -> DataFrame:
-    """Depth and topmost ancestor of every node of a parent-pointer table, by pointer doubling."""
+    """Depth and topmost ancestor of every node of a parent-pointer table, by pointer doubling.
+
+    A node whose way up never ends, because it comes back to itself or leads into such a ring, has a null root and depth. A parent that the
+    table does not have is taken for a root.
+    """
     from ..session import cut_lineage
     up = cut_lineage(tree.select(F.col(node).alias("n"), F.coalesce(parent, node).alias("to"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    while True:
+    rounds = up.count().bit_length() + 1  # by then every way that ends has ended
+    for left in range(rounds, -1, -1):
         ahead = up.select(F.col("n").alias("to"), F.col("to").alias("to2"), F.col("depth").alias("d2"))
         step = cut_lineage(up.join(ahead, "to", "left").select(
             "n", F.coalesce("to2", "to").alias("to"), (F.col("depth") + F.coalesce("d2", F.lit(0).cast("long"))).alias("depth"), F.coalesce("d2", F.lit(0).cast("long")).alias("moved")))
         up = step.drop("moved")
-        if step.where("moved > 0").isEmpty():
-            return up.select(F.col("n").alias(node), F.col("to").alias("root"), "depth")
+        if not left or step.where("moved > 0").isEmpty():
+            ends = F.col("moved") == 0
+            return step.select(F.col("n").alias(node), F.when(ends, F.col("to")).alias("root"), F.when(ends, F.col("depth")).alias("depth"))
 
 
 def move_problems(moves: DataFrame, tree: DataFrame, node: str, parent: str) -> DataFrame:
-    """Moves of a folder into itself or below itself, found by walking every target up at once, one level a round."""
+    """Moves of a folder into itself or below itself, found by walking every target up at once, one level a round.
+
+    A second walk follows at half the pace: where the two meet, the way up is a ring that has been seen whole, and the walk ends.
+    """
     from ..session import cut_lineage
-    up = tree.select(F.col(node).alias("__at"), F.col(parent).alias("__up"))
-    walk = cut_lineage(moves.select(node, "target", F.col("target").alias("__at")))
-    bad = walk.where(F.col("__at") == F.col(node)).select(node, "target")
+    up = tree.select(F.col(node).alias("__at"), F.col(parent).alias("__up")).where("__up is not null")
+    slow_up = up.select(F.col("__at").alias("__slow"), F.col("__up").alias("__slow_up"))
+    walk = cut_lineage(moves.select(node, "target", F.col("target").alias("__at"), F.col("target").alias("__slow")))
+    bad, slow = walk.where(F.col("__at") == F.col(node)).select(node, "target"), False
     while True:
-        walk = cut_lineage(walk.join(up, "__at").where("__up is not null").select(node, "target", F.col("__up").alias("__at")))
+        walk = walk.join(up, "__at").select(node, "target", F.col("__up").alias("__at"), "__slow")
+        if slow:
+            walk = walk.join(slow_up, "__slow").select(node, "target", "__at", F.col("__slow_up").alias("__slow"))
+        walk, slow = cut_lineage(walk), not slow
         if walk.isEmpty():
             return bad.distinct()
         bad = bad.unionByName(walk.where(F.col("__at") == F.col(node)).select(node, "target"))
+        walk = walk.where("__at <> __slow")

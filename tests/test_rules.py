@@ -89,6 +89,14 @@ def test_structure_and_moves(spark):
     assert rows(pl.ancestors(tree, "id", "parent")) == [(1, 1, 0), (2, 1, 1), (3, 1, 2), (9, 9, 0)]
 
 
+def test_folders_in_a_ring(spark):
+    tree = spark.createDataFrame([(1, None), (2, 1), (5, 6), (6, 5), (7, 5), (8, 8), (9, 7)], "id long, parent long")
+    ends = {r.id: (r.root, r.depth) for r in pl.ancestors(tree, "id", "parent").collect()}
+    assert ends == {1: (1, 0), 2: (1, 1), **{i: (None, None) for i in (5, 6, 7, 8, 9)}}
+    moves = spark.createDataFrame([(5, 9), (9, 5), (8, 8), (6, 7), (1, 9), (1, 2), (7, 9)], "id long, target long")
+    assert rows(pl.move_problems(moves, tree, "id", "parent")) == [(1, 2), (5, 9), (6, 7), (7, 9), (8, 8)]
+
+
 def test_captions_and_footage(spark):
     cols = "key long, id long, s long, e long, text string"
     old = spark.createDataFrame([(1, 1, 0, 10, "one two"), (1, 2, 10, 20, "three"), (1, 3, 40, 50, "gone"), (1, 4, 60, 70, "same")], cols)
