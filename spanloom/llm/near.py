@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import text_or_empty, two_columns
 from spanloom.llm.shingles import mixed, word_runs, words_of
 from spanloom.operators.graph import components
-from spanloom.session import cut_lineage
+from spanloom.session import cut_lineage, shared_folder
 
 BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
@@ -235,6 +235,14 @@ def _halves(placed: DataFrame) -> DataFrame:
     return halves.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A wide intermediate result as a table in the shared folder: copies' keys and signatures lie there once a page, which a checkpoint would
+    write row by row, and its readers take only the columns they need."""
+    folder = shared_folder(df.sparkSession, "near")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable over links) and kept.
 
@@ -254,19 +262,19 @@ def _digest(text: Column) -> Column:
 def _judged(docs: DataFrame, id: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
     """``near_duplicates`` with the digest of each row's text, by which a row under a repeated id is known."""
     rows = two_columns(docs, id, text).select("id", F.encode("text", "UTF-8").alias("text"), _digest(F.col("text")).alias("digest"))
-    features = cut_lineage(rows.mapInArrow(_features(width), "id long, digest binary, node binary, n_shingles long, keys array<long>, sign array<long>"))
-    classes = cut_lineage(features.where("node is not null").groupBy("node").agg(
+    features = written(rows.mapInArrow(_features(width), "id long, digest binary, node binary, n_shingles long, keys array<long>, sign array<long>"))
+    classes = written(features.where("node is not null").groupBy("node").agg(
         F.first("keys").alias("keys"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n"), F.min(F.coalesce("id", F.lit(NO_ID))).alias("id")))
     buckets = classes.select("node", F.explode("keys").alias("key"))
     met = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = cut_lineage(buckets.join(met, "key"))  # only buckets of two classes or more
+    shared = written(buckets.join(met, "key"))  # only buckets of two classes or more
     signed = shared.join(classes.select("node", "sign"), "node").select("key", "members", "node", "sign")
 
     # Sets of the classes that share a bucket, from one row of each.
     wanted = shared.select("node").distinct().join(classes.select("node", "id", "n"), "node")
     texts = rows.join(wanted.select(F.nullif("id", F.lit(NO_ID)).alias("__id")).distinct(), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
     sets = texts.select("text").mapInArrow(_sets(width), "node binary, runs array<long>")
-    sets = cut_lineage(sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("runs").alias("runs")))
+    sets = written(sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("runs").alias("runs")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("ra")), "a").join(
@@ -280,7 +288,7 @@ def _judged(docs: DataFrame, id: str, text: str, width: int = 5, percent: int =
            .mapInArrow(_led(likely), "node binary, leader binary, equal int"))
     if not shared.where(F.col("members") > SPLIT).isEmpty():
         led = led.unionByName(_led_in_blocks(signed.where(F.col("members") > SPLIT), likely))
-    led = cut_lineage(led.distinct())
+    led = written(led.distinct())
     best = led.groupBy("node").agg(F.max_by("leader", F.struct("equal", "leader")).alias("leader"))
     links = cut_lineage(confirmed(best.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
     comps = cut_lineage(components(links, "a", "b"))
@@ -298,7 +306,7 @@ def _judged(docs: DataFrame, id: str, text: str, width: int = 5, percent: int =
     placed = shared.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     parted = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("large"), F.sum("n").alias("members")).where("large < members")
-    placed = cut_lineage(placed.join(parted, "key"))
+    placed = written(placed.join(parted, "key"))
     # The rarest runs of each class still in question, one more than a partner may lack.
     runs = sets.join(placed.select("node").distinct(), "node").select("node", F.explode("runs").alias("run"))
     runs = runs.withColumn("classes", F.count(F.lit(1)).over(W.partitionBy("run")))
