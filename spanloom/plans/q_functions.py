@@ -51,7 +51,7 @@ def fn_vector_cosine_distance(spark, sf):
         F.col("vec_id").alias("id"), F.round(sc.cosine_distance(F.col("embedding"), F.col("query")), 9).alias("distance"))
 
 
-@query("fn_hamming64", _look_sql().split(", d AS")[0] + " SELECT id, CAST(bit_count(xor(h0, h1)) AS INTEGER) AS bits FROM l")
+@query("fn_hamming64", _look_sql().split(", c AS")[0] + " SELECT id, CAST(bit_count(xor(h0, h1)) AS INTEGER) AS bits FROM l")
 def fn_hamming64(spark, sf):
     return _looks(spark, sf).select("id", sc.hamming64(F.col("h0"), F.col("h1")).alias("bits"))
 
