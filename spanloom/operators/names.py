@@ -36,8 +36,9 @@ def missing_terms(texts: DataFrame, text: str, terms: DataFrame, term: str) -> D
     """Terms that no text contains, spaces and punctuation inside a term included; case does not count.
 
     Most terms are one run of word characters, and only the distinct runs (or, of terms without any, the distinct
-    stretches between runs) matter for those. Of a term of several runs, the first has to end a run of the
-    text, so the texts to look into are found by an equality join on the ends of distinct runs.
+    stretches between runs) matter for those. A term of several runs lies in as many neighbouring runs of a text and what is around
+    them, and its first run ends the first of those: distinct stretches of that many runs meet the terms by an equality
+    join, so no text is held once a run.
     """
     low = F.lower(text)
     held = terms.select(term, F.lower(term).alias("__t"), F.regexp_extract(F.lower(term), _RUN, 0).alias("__first"))
@@ -48,7 +49,7 @@ def missing_terms(texts: DataFrame, text: str, terms: DataFrame, term: str) -> D
     def inside(some, pool):
         # One row a length, and stretches are short, so each gives few substrings.
         sizes = some.select(F.length("__t").alias("__n")).distinct()
-        at = pool.join(sizes, F.length("__r") >= F.col("__n")).select(
+        at = pool.join(F.broadcast(sizes), F.length("__r") >= F.col("__n")).select(
             F.explode(F.expr("transform(sequence(1, length(__r) - __n + 1), i -> substring(__r, i, __n))")).alias("__t")).distinct()
         return some.join(at, "__t", "left_semi").select("__t")
     runs = stretches(_RUN)
@@ -57,9 +58,14 @@ def missing_terms(texts: DataFrame, text: str, terms: DataFrame, term: str) -> D
     found = inside(plain, runs).unionByName(inside(held.where(bare & (F.col("__t") != "")), stretches(r"[^\p{L}\p{N}'-]+")))
     # Terms of several runs, or with something before their first.
     mixed = held.where(~whole & ~bare)
-    ends = runs.join(mixed.select(F.length("__first").alias("__n")).distinct(), F.length("__r") >= F.col("__n"))
-    ends = ends.select("__r", F.expr("right(__r, __n)").alias("__first")).join(mixed, "__first").select("__r", "__t")
-    said = texts.select(low.alias("__text"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(_RUN), F.lit(0)))).alias("__r"))
-    found = found.unionByName(said.join(ends, "__r").where(F.col("__text").contains(F.col("__t"))).select("__t"))
+    mixed = mixed.withColumn("__k", F.size(F.regexp_extract_all("__t", F.lit(_RUN), F.lit(0))))
+    ends = runs.join(F.broadcast(mixed.select(F.length("__first").alias("__n")).distinct()), F.length("__r") >= F.col("__n"))
+    ends = ends.select("__r", F.expr("right(__r, __n)").alias("__first")).join(mixed, "__first").select("__r", "__k", "__t")
+    cut = texts.select(F.regexp_extract_all(low, F.lit(_RUN), F.lit(0)).alias("__w"), F.split(low, _RUN, -1).alias("__b"))
+    cut = cut.join(F.broadcast(mixed.select("__k").distinct()), F.size("__w") >= F.col("__k"))
+    around = "concat(__b[i], array_join(transform(sequence(i, i + __k - 1), j -> concat(__w[j], __b[j + 1])), ''))"
+    near = cut.select("__k", F.inline(F.array_distinct(F.expr(f"transform(sequence(0, size(__w) - __k), i -> struct(__w[i] AS __r, {around} AS __a))"))))
+    # An exploded side looks smaller than it is, so the join is never left to a broadcast.
+    found = found.unionByName(near.distinct().hint("merge").join(ends, ["__r", "__k"]).where(F.col("__a").contains(F.col("__t"))).select("__t"))
     known = held.where(whole).join(runs.withColumnRenamed("__r", "__t"), "__t", "left_semi").select("__t")
     return held.where(F.col("__t") != "").join(found.unionByName(known).distinct(), "__t", "left_anti").select(term)
