@@ -35,3 +35,10 @@ def test_a_long_text_is_not_held_once_a_run(spark):
     text = " ".join(f"w{i:05d}" for i in range(20_000))
     terms = spark.createDataFrame([("00007 w00008",), ("w00007  w00008",), ("w19998 w19999",), ("9 w00010 w0",), ("w00001 w00003",)], "w string")
     assert {r.w for r in missing_terms(spark.createDataFrame([(text,)], "t string"), "t", terms, "w").collect()} == {"w00007  w00008", "w00001 w00003"}
+
+
+def test_masked_bands_are_not_broadcast(spark):
+    from spanloom.operators.similar import look_alikes
+    looks = spark.range(50).selectExpr("id", "id % 3 AS key", "id * 77 AS h0", "id * 91 AS h1", "id AS h2")
+    plan = look_alikes(looks, "id", "key", "id", ["h0", "h1", "h2"], 10)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [slot" in plan and "BroadcastHashJoin [slot" not in plan
