@@ -142,17 +142,17 @@ def _look_sql():
         "0" if k == 0 else f"embedding[(i - 1 + {k}) % 64 + 1]", k) for k in range(3))
     return f"""WITH l AS (SELECT vec_id AS id, label AS key, {bits} FROM embeddings), c AS (SELECT *, min(id) OVER (PARTITION BY h0, h1, h2) AS class FROM l),
  d AS (SELECT least(x.class, y.class) AS first, greatest(x.class, y.class) AS second,
-  list_sort([CAST({h(0)} AS INTEGER), CAST({h(1)} AS INTEGER), CAST({h(2)} AS INTEGER)])[2] AS bits FROM c x JOIN c y ON x.id + 1 < y.id AND x.key <> y.key)
- SELECT 'alike' AS row, first, second, bits, count(*) AS pairs FROM d WHERE bits <= 10 GROUP BY ALL
- UNION ALL SELECT 'member', class, id, 0, NULL FROM c"""
+  list_sort([CAST({h(0)} AS INTEGER), CAST({h(1)} AS INTEGER), CAST({h(2)} AS INTEGER)])[2] AS bits, coalesce(x.key <> y.key, true) AS differ FROM c x JOIN c y ON x.id + 1 < y.id)
+ SELECT 'alike' AS row, first, second, bits, count(*) AS pairs, count(*) FILTER (WHERE differ) AS apart FROM d WHERE bits <= 10 GROUP BY ALL
+ UNION ALL SELECT 'member', class, id, 0, NULL, NULL FROM c"""
 
 
 @query("jn_hash_similar", _look_sql())
 def jn_hash_similar(spark, sf):
     from ..operators.similar import look_alikes, look_classes
     looks, hashes = _looks(spark, sf), ["h0", "h1", "h2"]
-    alike = look_alikes(looks, "id", "key", "id", hashes, 10).select(F.lit("alike").alias("row"), "first", "second", "bits", "pairs")
-    members = look_classes(looks, "id", hashes).select(F.lit("member").alias("row"), F.col("class").alias("first"), F.col("id").alias("second"), F.lit(0).alias("bits"), F.lit(None).cast("long").alias("pairs"))
+    alike = look_alikes(looks, "id", "key", "id", hashes, 10, every=True).select(F.lit("alike").alias("row"), "first", "second", "bits", "pairs", "apart")
+    members = look_classes(looks, "id", hashes).select(F.lit("member").alias("row"), F.col("class").alias("first"), F.col("id").alias("second"), F.lit(0).alias("bits"), F.lit(None).cast("long").alias("pairs"), F.lit(None).cast("long").alias("apart"))
     return alike.unionByName(members)
 
 

@@ -42,3 +42,13 @@ def test_masked_bands_are_not_broadcast(spark):
     looks = spark.range(50).selectExpr("id", "id % 3 AS key", "id * 77 AS h0", "id * 91 AS h1", "id AS h2")
     plan = look_alikes(looks, "id", "key", "id", ["h0", "h1", "h2"], 10)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [slot" in plan and "BroadcastHashJoin [slot" not in plan
+
+
+def test_look_alikes_of_one_key_are_told(spark, tmp_path):
+    pick = random.Random(4)
+    base = [[pick.uniform(-1, 1) for _ in range(64)] for _ in range(4)]
+    near = [[x + pick.uniform(-0.01, 0.01) for x in base[i % 4]] for i in range(20)]
+    table = pd.DataFrame({"vec_id": range(24), "embedding": base + near, "label": [i % 4 // 2 for i in range(24)]})
+    assert beside_sql(spark, tmp_path, "jn_hash_similar", embeddings=table) == (None, len(QUERIES["jn_hash_similar"](spark, str(tmp_path)).collect()))
+    alike = QUERIES["jn_hash_similar"](spark, str(tmp_path)).where("row = 'alike'").collect()
+    assert sum(r.pairs for r in alike) > 40 and any(r.apart == 0 for r in alike)
