@@ -58,3 +58,12 @@ def test_a_purchase_of_no_length_belongs_to_the_run_it_falls_into(spark, tmp_pat
     rows = [(1, 1, "purchase", 0, 5), (2, 1, "purchase", 20, 0), (3, 1, "purchase", 200, 0), (4, 1, "purchase", 200, 1), (5, 1, "purchase", 205, 0), (6, 2, "purchase", 0, 1), (7, 2, "purchase", 0, 0),
             (8, 3, "purchase", 0, 2), (9, 3, "purchase", 5, None)]
     assert beside_sql(spark, tmp_path, "set_components", events=events(rows)) == (None, 8)
+
+
+def test_a_middle_value_is_as_far_from_both_sides(spark, tmp_path):
+    pick = random.Random(8)
+    rows = [(3 * u + i, u, "view", 100 * i, pick.randrange(60_000) / 100) for u in range(400) for i in range(3)]
+    diff, n = beside_sql(spark, tmp_path, "win_level_steps", events=events(rows))
+    assert diff is None and n > 200
+    d = spark.createDataFrame([(1, 0.1), (1, 0.7)], "k int, v double")
+    assert exact_quantiles(d, ["k"], "v", {"q": 0.5}, 1.0).first().q == 0.1 * 0.5 + 0.7 * 0.5
