@@ -83,3 +83,8 @@ def test_lines_become_objects_a_few_at_a_time():
     assert tracemalloc.get_traced_memory()[1] < 10_000_000  # 3000 lines of 80 words as objects are over 60 MB
     tracemalloc.stop()
     assert made.to_pylist() == [[{"n": 80, "t": str(i)}] for i in range(3000)] and len(run(words.slice(0, 0), words.slice(0, 0))) == 0
+
+
+def test_words_go_through_the_scan_without_what_is_not_wanted(spark):
+    from spanloom.sources import tables
+    assert tables.words(spark, "/root/testdata/sf0.001", only=()).columns == ["key", "ord", "s", "e", "prob"]
