@@ -88,3 +88,14 @@ def test_lines_become_objects_a_few_at_a_time():
 def test_words_go_through_the_scan_without_what_is_not_wanted(spark):
     from spanloom.sources import tables
     assert tables.words(spark, "/root/testdata/sf0.001", only=()).columns == ["key", "ord", "s", "e", "prob"]
+
+
+def test_rounds_see_runs_of_words_only(spark, monkeypatch):
+    from spanloom.operators import sequence
+    held = []
+    keep = sequence.cut_lineage
+    monkeypatch.setattr(sequence, "cut_lineage", lambda df: held.append(keep(df)) or held[-1])
+    d = spark.range(600).selectExpr("'a' AS key", "id AS o", "id * 10 + id div 100 * 50 AS s", "id * 10 + id div 100 * 50 + 10 AS e")
+    got = sequence.split_long(d, ["key"], "o", "s", "e", 1200, 50).groupBy("part").count().collect()
+    assert sorted((r.part, r["count"]) for r in got) == [(100 * i, 100) for i in range(6)]
+    assert max(x.count() for x in held[1:]) == 6
