@@ -99,3 +99,18 @@ def test_rounds_see_runs_of_words_only(spark, monkeypatch):
     got = sequence.split_long(d, ["key"], "o", "s", "e", 1200, 50).groupBy("part").count().collect()
     assert sorted((r.part, r["count"]) for r in got) == [(100 * i, 100) for i in range(6)]
     assert max(x.count() for x in held[1:]) == 6
+
+
+def test_lines_are_the_same_folded_and_walked(spark, monkeypatch):
+    from spanloom.operators import sequence
+    pick = random.Random(3)
+    rows, at = [], 0
+    for i in range(300):
+        at += pick.randrange(4)
+        rows.append(("long" if i < 250 else None, i, "x" * pick.choice([1, 2, 5, 9, 30]), at, at + pick.randrange(12)))
+    d = spark.createDataFrame(rows, "key string, o long, t string, s long, e long")
+    lines = lambda: sorted(map(tuple, sequence.caption_lines(d, ["key"], "o", "t", "s", "e", 20, 9).where("key is not null").collect()))
+    folded = lines()
+    assert len(folded) > 50 and sequence.caption_lines(d, ["key"], "o", "t", "s", "e", 20, 9).where("key is null").count() > 5
+    monkeypatch.setattr(sequence, "SHORT", 100)
+    assert lines() == folded
