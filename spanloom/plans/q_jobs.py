@@ -171,9 +171,8 @@ def op_plan_rules(spark, sf):
     def said(df, text):
         return df.withColumn("problem", F.lit(text)).select("plan", "item", "problem", "n")
     clips = part.select(F.col("p_partkey").alias("item"), "p_size")
-    # One count per selection first: the rules then join what is left of the plans.
-    per = pick.groupBy("plan", "item").agg(n, F.collect_set("l_quantity").alias("q"))
-    gone = said(per.join(clips.where("p_size <= 40"), "item", "left_anti"), "no such clip")
+    # What keeps the rules is dropped before it is counted, so only problems are held.
+    gone = said(pick.join(clips.where("p_size <= 40"), "item", "left_anti").groupBy("plan", "item").agg(n), "no such clip")
     twice = said(pick.groupBy("plan", F.col("l_linenumber").cast("long").alias("item")).agg(n).where("n > 1"), "chosen twice")
     out = said(pick.join(clips, "item").where("l_quantity > p_size").groupBy("plan", "item").agg(n), "outside its clip")
     empty = tb.load(spark, sf, "orders").select(F.col("o_orderkey").alias("plan")).join(pick.select("plan"), "plan", "left_anti").select(
