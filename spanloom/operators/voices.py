@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ VOICE_DISTANCE, LONE_DISTANCE, SAME_FILE_DISTANCE = 0.45, 0.6, 0.3
 
 BLOCK = 1000  # vectors that meet in one task, at most twice as many
 MISSED = 0.01  # how often a pair just within reach may share no bucket
+PASS = 4  # blocks of vectors that are held against all others at once
+PASSES = 8  # that many are made whatever they bring; while each leaves at most half, more
 
 
 def tables_and_bits(n: int, reach: float, block: int = BLOCK, missed: float = MISSED) -> tuple[int, int]:
@@ -44,8 +47,7 @@ def bucketed(vectors: DataFrame, reach: float, block: int = BLOCK, missed: float
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            rows = rows[[x is not None and len(x) > 0 and np.isfinite(x).all() and np.any(x) for x in rows["v"]]]
-            for size, own in rows.groupby(rows["v"].map(len)):
+            for size, own in _by_length(rows):
                 signs = (np.stack(own["v"].to_numpy()) @ _planes(size, tables, bits) > 0).reshape(len(own), tables, bits)
                 codes = signs @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((len(own), tables), np.int64)
                 for table in range(tables):
@@ -63,12 +65,24 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _by_length(rows: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The rows that are vectors, those of one length together."""
+    rows = rows[[x is not None and len(x) > 0 and np.isfinite(x).all() and np.any(x) for x in rows["v"]]]
+    return iter(rows.groupby(rows["v"].map(len)))
+
+
+def _near(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+    """Which classes of ``x`` are linked to which of ``y``."""
+    file, _ = pd.factorize(pd.concat([x["first_file"], y["first_file"]]))
+    one = np.concatenate([x["first_file"] == x["last_file"], y["first_file"] == y["last_file"]])
+    own, others = np.where(one, file, -1)[:len(x)], np.where(one, file, -2)[len(x):]
+    reach = np.maximum(x["reach"].to_numpy()[:, None], y["reach"].to_numpy()[None, :])
+    return 1 - _unit(x["v"]) @ _unit(y["v"]).T < np.where(own[:, None] == others[None, :], SAME_FILE_DISTANCE, reach)
+
+
 def _linked(rows: pd.DataFrame) -> pd.DataFrame:
     """Of the classes in one group, an edge from each to the first of those it hangs together with there: never all pairs."""
-    v, reach, one = _unit(rows["v"]), rows["reach"].to_numpy(), (rows["first_file"] == rows["last_file"]).to_numpy()
-    file = rows["first_file"].to_numpy()
-    same = one[:, None] & one[None, :] & (file[:, None] == file[None, :])
-    near = 1 - v @ v.T < np.where(same, SAME_FILE_DISTANCE, np.maximum(reach[:, None], reach[None, :]))
+    near = _near(rows, rows)
     label, before = np.arange(len(rows)), None
     while before is None or (label != before).any():
         before = label
@@ -78,6 +92,114 @@ def _linked(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
 
 
+def _together(label: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Labels of classes (each the place of the first it is known to hang together with) once those linked to one row hang together too."""
+    none = label.dtype.type(len(label))
+    while True:
+        least = np.where(near, label[None, :], none).min(axis=1)
+        lower = np.where(near, least[:, None], none).min(axis=0)
+        root = label.copy()
+        np.minimum.at(root, label, lower)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == label).all():
+            return label
+        label = root
+
+
+def _slices(batches: Iterator[pd.DataFrame], chosen: dict[int, pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    for rows in batches:
+        for size, own in _by_length(rows):
+            if size in chosen:
+                for at in range(0, len(own), BLOCK):
+                    yield size, own.iloc[at:at + BLOCK]
+
+
+def _against(chosen: pd.DataFrame):
+    """Holds all classes against the chosen ones: an edge from each to the first it is linked to, and edges between those of the chosen that
+    hang together by the classes of one task."""
+    chosen = dict(_by_length(chosen))
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        labels = {size: np.arange(len(own), dtype=np.int32) for size, own in chosen.items()}
+        for size, own in _slices(batches, chosen):
+            near = _near(own, chosen[size])
+            found = near.any(axis=1)
+            if not found.any():
+                continue
+            labels[size] = _together(labels[size], near[found])
+            yield pd.DataFrame({"a": own["id"].to_numpy()[found], "b": chosen[size]["id"].to_numpy()[near[found].argmax(axis=1)]})
+        for size, own in chosen.items():
+            ids, moved = own["id"].to_numpy(), labels[size] != np.arange(len(own))
+            yield pd.DataFrame({"a": ids[moved], "b": ids[labels[size][moved]]})
+    return linked
+
+
+def _share(n: int, block: int, turn: int = 0) -> tuple[Column, int]:
+    """A number for each of ``n`` rows by a hash of its id, and how many there are: about PASS blocks of rows have the same, all if there are no more."""
+    parts = max(1, math.ceil(n / (PASS * block)))
+    return F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(parts)), parts
+
+
+def linked_classes(points: DataFrame, block: int = BLOCK, missed: float = MISSED) -> DataFrame:
+    """Node and component of the classes (id, v, reach, first_file, last_file) that have a link.
+
+    A pass holds some of the classes against all others, so that every link of theirs is known. Of the rest, those that hang together with the largest
+    component of the first pass need no look among themselves. While much is left, passes take of those with the widest reach, which meet most; once
+    PASSES passes can hold all that is left, they do, and nothing is missed. Where passes leave more than half each time and much
+    is left, or none of the widest reach are, the classes meet in buckets (``bucketed``) instead.
+    """
+    kind, n = dict(points.dtypes)["id"], points.count()
+    points = cut_lineage(points.repartition(max(1, math.ceil(n / (PASS * block))), "id"))
+    wide = points.groupBy("reach").count().orderBy(F.col("reach").desc()).first()
+    rest, left, turn, linked, first, before = points, n, 0, None, None, n
+    while left:
+        few = left <= PASSES * PASS * block
+        part, parts = _share(left, block, turn + 1) if few else _share(wide["count"], block)
+        if not few and (turn >= parts or turn >= PASSES and 2 * left > before):
+            met = bucketed(points, LONE_DISTANCE, block, missed).groupBy("bucket", "lo", "hi").applyInPandas(_linked, f"a {kind}, b {kind}")
+            return components(met.unionByName(linked.toDF("a", "b")), "a", "b")
+        taken = part == 0 if few else (F.col("reach") == wide["reach"]) & (part == turn)
+        chosen = (rest if few else points).where(taken).toPandas()
+        found = points.mapInPandas(_against(chosen), f"a {kind}, b {kind}")
+        linked = cut_lineage(components(found if linked is None else found.unionByName(linked.toDF("a", "b")), "a", "b"))
+        if first is None:
+            first = linked.groupBy("component").count().orderBy(F.col("count").desc(), "component").first()
+        rest = rest.where(~taken)
+        if first is not None:
+            held = linked.where(F.col("node") == F.lit(first["component"])).first()["component"]
+            rest = rest.join(linked.where(F.col("component") == F.lit(held)).select(F.col("node").alias("id")), "id", "left_anti")
+        rest = cut_lineage(rest)
+        before, left, turn = left, rest.count(), turn + 1
+    return points.selectExpr("id AS node", "id AS component") if linked is None else linked
+
+
+def _closest(prints: pd.DataFrame):
+    """For each voice the nearest of these prints."""
+    prints = dict(_by_length(prints.sort_values("id", kind="stable")))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for size, own in _slices(batches, prints):
+            apart = 1 - _unit(own["v"]) @ _unit(prints[size]["v"]).T
+            best = np.round(apart, 9).argmin(axis=1)
+            yield pd.DataFrame({"id": own["id"].to_numpy(), "label": prints[size]["id"].to_numpy()[best], "distance": apart[np.arange(len(own)), best]})
+    return nearest
+
+
+def nearest_prints(voices: DataFrame, prints: DataFrame, block: int = BLOCK, missed: float = MISSED) -> DataFrame:
+    """Id, label and distance of prints (id, v) near to voices (id, v): the nearest of each pass over at most PASSES times PASS blocks of prints. More
+    prints meet the voices in buckets, where one within LONE_DISTANCE may be missed."""
+    kind, n = dict(voices.dtypes)["id"], prints.count()
+    told = f"id {kind}, label {kind}, distance double"
+    part, parts = _share(n, block)
+    if parts > PASSES:
+        both = voices.withColumn("print", F.lit(False)).unionByName(prints.withColumn("print", F.lit(True)))
+        return bucketed(both, LONE_DISTANCE, block, missed).groupBy("bucket", "lo", "hi").applyInPandas(_nearest, told)
+    voices = cut_lineage(voices.repartition(max(1, math.ceil(voices.count() / (PASS * block))), "id"))
+    found = [voices.mapInPandas(_closest(prints.where(part == i).toPandas()), told) for i in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _nearest(rows: pd.DataFrame) -> pd.DataFrame:
     """For each voice in one group the nearest print there."""
     prints, voices = rows[rows["print"]], rows[~rows["print"]]
@@ -103,8 +225,9 @@ def join_voices(voices: DataFrame, ident: str, file: str, vector: str, seconds:
     only within SAME_FILE_DISTANCE. A voice without a print stands alone. So a chain whose ends sit far from its middle comes apart.
     Nothing depends on the order of the files, which a greedy pass would.
 
-    Equal vectors are one point from the start. Others meet in buckets of random hyperplanes (``bucketed``): up to ``block`` different vectors
-    none is missed; beyond, a pair just within LONE_DISTANCE with probability ``missed``, nearer ones less. A null, empty or zero vector
+    Equal vectors are one point from the start. Others are linked in passes (``linked_classes``) and take their prints in passes (``nearest_prints``),
+    and no link is missed; where passes would not end, vectors meet in buckets of random hyperplanes (``bucketed``), and a pair just within
+    LONE_DISTANCE is missed with probability ``missed``, nearer ones less. A null, empty or zero vector
     stands alone with a null distance. Ids must be unique and not null; a null file is a file of its own for each voice.
     """
     v = voices.select(F.col(ident).alias("id"), F.coalesce(F.col(file).cast("string"), F.concat(F.lit("no file "), F.col(ident).cast("string"))).alias("file"),
@@ -114,9 +237,7 @@ def join_voices(voices: DataFrame, ident: str, file: str, vector: str, seconds:
     v = cut_lineage(v.join(alone, "file").withColumn("reach", reach).drop("alone").withColumn("shape", F.xxhash64("v")))
     # One row per different vector and reach; only the smallest and largest file matter for whether two can be of different files.
     points = cut_lineage(v.groupBy("shape", "v", "reach").agg(F.min("id").alias("id"), F.min("file").alias("first_file"), F.max("file").alias("last_file")))
-    kind = dict(points.dtypes)["id"]
-    edges = bucketed(points.drop("shape"), LONE_DISTANCE, block, missed).groupBy("bucket", "lo", "hi").applyInPandas(_linked, f"a {kind}, b {kind}")
-    linked = components(edges, "a", "b")
+    linked = linked_classes(points.drop("shape"), block, missed)
     named = points.join(linked.withColumnRenamed("node", "id"), "id", "left").select(
         "shape", "v", "reach", F.coalesce("component", "id").alias("group"))
     # Equal vectors are alike whatever their reach.
@@ -128,8 +249,7 @@ def join_voices(voices: DataFrame, ident: str, file: str, vector: str, seconds:
     prints = each.groupBy("group", "at").agg((F.sum(F.col("x") * F.col("seconds")) / F.sum("seconds")).alias("m")).groupBy("group").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda x: x["m"]).alias("print"))  # as long as a vector
     prints = cut_lineage(prints)
-    both = grouped.select("id", "v", F.lit(False).alias("print")).unionByName(prints.select(F.col("group").alias("id"), F.col("print").alias("v"), F.lit(True).alias("print")))
-    found = bucketed(both, LONE_DISTANCE, block, missed).groupBy("bucket", "lo", "hi").applyInPandas(_nearest, f"id {kind}, label {kind}, distance double")
+    found = nearest_prints(grouped.select("id", "v"), prints.select(F.col("group").alias("id"), F.col("print").alias("v")), block, missed)
     own = grouped.join(prints, "group").select("id", F.col("group").alias("label"), _apart("v", "print").alias("distance"))
     # Distances are rounded before they are compared, so that no sum's order decides.
     best = found.unionByName(own.where("distance is not null")).groupBy("id").agg(F.min(F.struct(F.round("distance", 9).alias("distance"), "label")).alias("best"))
