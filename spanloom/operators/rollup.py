@@ -87,11 +87,12 @@ def combine_scores(parts: DataFrame, ids: Sequence[str], name: str, value: str,
     mean, energy = weighted_mean(v, w), energy_mean(v, w)
     value_of = F.when(n.isin(by["energy"]), energy).when(n.isin(by["max"]), F.max(v)).otherwise(mean)
     straight = parts.where(~n.isin(by["median"])) if by["median"] else parts
-    out = straight.groupBy(*ids, name).agg(value_of.alias("value"), F.sum(w).alias("__w"))
+    weighed = [F.sum(w).alias("__w")] if whole is not None else []  # only the whole length asks for it
+    out = straight.groupBy(*ids, name).agg(value_of.alias("value"), *weighed)
     if by["median"]:
         typical = parts.where(n.isin(by["median"]))
-        out = out.unionByName(weighted_median(typical, [*ids, name], value, weight, width, "value").join(
-            typical.groupBy(*ids, name).agg(F.sum(w).alias("__w")), [*ids, name]))
+        middle = weighted_median(typical, [*ids, name], value, weight, width, "value")
+        out = out.unionByName(middle.join(typical.groupBy(*ids, name).agg(*weighed), [*ids, name]) if weighed else middle)
     value = F.col("value")
     if whole is not None:
         out = out.join(whole, ids)
