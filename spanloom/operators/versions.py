@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .graph import components, greedy_match
-from .intervals import coalesce_spans, covered, overlap_join, overlap_length
+from .intervals import coalesce_spans, covered, overlap_join, overlap_length, subtract_from_met
 from .ordered import by_width, islands, last_value, ordered_scan, prev, row_number, running_sum, spread_join
 
 
@@ -124,21 +124,24 @@ def footage_changes(before: DataFrame, after: DataFrame, key: str, s: str, e: st
     or come; a gone and a come stretch over the same output time are one replacement; pieces only one version
     shows next to common footage are edges moved.
     """
-    from .intervals import subtract_spans
-
     def union(df, tag):
         u = coalesce_spans(df, [key], s, e, tie, chunk_width, touching, extra=[F.min(out[0]).alias("o0"), F.max(out[1]).alias("o1")])
         return cut_lineage(u.withColumn("st", F.concat_ws("/", F.lit(tag), key, s)))
     old, new = union(before, "a"), union(after, "b")
 
-    def against(mine, theirs):
-        other = theirs.select(key, F.col(s).alias("ts"), F.col(e).alias("te"), F.col(s).alias("__tie"))
-        pairs = overlap_join(mine, other, [key], (s, e), ("ts", "te"), width).where(overlap_length(s, e, "ts", "te") > touching)
-        shared = mine.join(pairs.select("st").distinct(), "st", "left_semi")
-        pieces = subtract_spans(shared.select(key, "st", s, e), other, [key], ["st"], (s, e), ("ts", "te"), width, chunk_width, "__tie")
+    # What both versions show is looked for once; each side then reads it.
+    met = overlap_join(old.select(key, "st", s, e), new.select(key, F.col("st").alias("with"), F.col(s).alias("ts"), F.col(e).alias("te")),
+                       [key], (s, e), ("ts", "te"), width).where(overlap_length(s, e, "ts", "te") > touching)
+    met = cut_lineage(met.select("st", "with"))
+
+    def against(mine, theirs, both):
+        shared = mine.join(both, "st", "left_semi")
+        # A union's spans lie apart, and one that is shared meets another.
+        pieces = subtract_from_met(shared.select(key, "st", s, e), theirs.select(key, F.col(s).alias("ts"), F.col(e).alias("te")),
+                                   [key], ["st"], (s, e), ("ts", "te"), width, chunk_width)
         edges = pieces.select(key, (F.col("pe") - F.col("ps")).alias("len")).where(F.col("len") > touching)
-        return mine.join(pairs.select("st").distinct(), "st", "left_anti"), edges
-    (gone, taken), (come, given) = against(old, new), against(new, old)
+        return mine.join(both, "st", "left_anti"), edges
+    (gone, taken), (come, given) = against(old, new, met.select("st")), against(new, old, met.select(F.col("with").alias("st")))
     gone, come = cut_lineage(gone), cut_lineage(come)
     swaps = overlap_join(gone.select(key, F.col("st").alias("g"), "o0", "o1"), come.select(key, F.col("st").alias("c"), F.col("o0").alias("p0"), F.col("o1").alias("p1")),
                          [key], ("o0", "o1"), ("p0", "p1"), width)
