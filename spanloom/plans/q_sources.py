@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.ordered import by_width, ordered_scan, row_number
+from ..operators.ordered import by_width, row_number
 from ..session import shared_folder
 from ..sources import files, logs, sinks
 from ..sources import tables as tb
@@ -133,7 +133,7 @@ def sink_append_versions(spark, sf):
  a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000, b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000)
  || chr(10) || text || chr(10) AS block FROM m""")
 def sink_timed_text(spark, sf):
-    cues = ordered_scan(tb.turns(spark, sf), ["key"], ["turn"], by_width("turn", 10_000), {"n": row_number()})
+    cues = tb.turns(spark, sf, n=row_number())
     folder = shared_folder(spark, "captions")
     sinks.write_srt(sinks.srt_blocks(cues), folder, "key")
     return sinks.read_srt(spark, folder, "key", "long").select("key", "n", "block")

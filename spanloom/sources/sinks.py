@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,16 +48,67 @@ def srt_blocks(cues: DataFrame, n: str = "n", text: str = "text") -> DataFrame:
         F.lit("\n"), F.col(text), F.lit("\n")))
 
 
+LISTERS = 32  # tasks that list the folders of a table; by default Spark starts one for each folder
+
+
+def _store(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri("file://" + folder.removeprefix("file:") if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+
+
+def _folder(key: str, value: object) -> str:
+    """A key's folder as Spark names and reads it."""
+    escaped = re.sub(r"[\x00-\x1f\"#%'*/:=?\\\x7f{}\[\]^]", lambda m: f"%{ord(m[0]):02X}", "" if value is None else str(value))
+    return f"{key}={escaped or '__HIVE_DEFAULT_PARTITION__'}"
+
+
+def _files(path: str, key: str):
+    """Writes rows (key, block), sorted by key, to one file for each key; a file gets its name when it is whole."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = _store(path)
+        name, draft, now, out, written = f"part-{TaskContext.get().partitionId():05d}.txt", f"{base}/_temporary/{uuid.uuid4().hex}", None, None, 0
+
+        def close():
+            out.close()
+            files.create_dir(f"{base}/{now}", recursive=False)
+            files.move(draft, f"{base}/{now}/{name}")
+        for batch in batches:
+            for value, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                folder = _folder(key, value)
+                if folder != now:
+                    if out:
+                        close()
+                    now, out, written = folder, files.open_output_stream(draft), written + 1
+                out.write(((block or "") + "\n").encode())
+        if out:
+            close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
+    return run
+
+
 def write_srt(blocks: DataFrame, path: str, key: str, n: str = "n") -> None:
     """One folder per key, its files in order of their names: range partitioning keeps a huge key in several files. Blocks are
-    divided by an empty line, so none inside a caption survives: they become one line break."""
+    divided by an empty line, so none inside a caption survives: they become one line break.
+
+    The tasks write the files through ``pyarrow.fs``: Spark's writer spends tens of milliseconds on each of them where a folder's
+    rights are set by a process of their own, and there are as many as keys."""
+    files, base = _store(path)
+    files.create_dir(f"{base}/_temporary", recursive=True)
     one = F.concat(F.regexp_replace(F.regexp_replace("block", "\n+$", ""), "\n{2,}", "\n"), F.lit("\n"))
-    blocks.repartitionByRange(key, n).sortWithinPartitions(key, n).select(key, one.alias("block")).write.partitionBy(key).text(path)
+    rows = blocks.repartitionByRange(key, n).sortWithinPartitions(key, n).select(key, one.alias("block"))
+    rows.mapInArrow(_files(path, key), "files long").agg(F.sum("files")).first()
+    files.delete_dir(f"{base}/_temporary")
+    files.open_output_stream(f"{base}/_SUCCESS").close()
 
 
 def read_srt(spark: SparkSession, path: str, key: str, kind: str, n: str = "n") -> DataFrame:
     """The blocks that ``write_srt`` wrote: key, number and block."""
-    lines = spark.read.schema(f"value string, `{key}` {kind}").option("lineSep", "\n\n").text(path)
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, LISTERS)
+    try:  # the folders are listed here
+        lines = spark.read.schema(f"value string, `{key}` {kind}").option("lineSep", "\n\n").text(path)
+    finally:
+        spark.conf.set(name, before)
     return lines.select(key, F.substring_index("value", "\n", 1).cast("long").alias(n), F.concat("value", F.lit("\n")).alias("block"))
 
 
