@@ -89,8 +89,10 @@ def with_quotas(cands: DataFrame, group: str, item: str, file: str, unread: str,
     def first(df, keys, n, name):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
     # No more than `per_file` of a file can be taken whatever happens, and an unread one that many back neither.
-    some = cands.where(F.col(unread)).groupBy(group).agg(F.count(F.lit(1)).alias("__u"))
-    base = cut_lineage(first(cands, [group, unread, file], per_file, "__f"))
+    # The candidates are read once: as many of each file are kept as tell whether a group has `kept` unread ones.
+    base = cut_lineage(first(cands, [group, unread, file], max(per_file, kept), "__f"))
+    some = base.where(F.col(unread)).groupBy(group).agg(F.count(F.lit(1)).alias("__u"))
+    base = base.where(F.col("__f") <= per_file)
     read = base.where(~F.col(unread)).join(some, group, "left")
     room = places - F.least(F.lit(kept), F.coalesce("__u", F.lit(0)))
     one = cut_lineage(first(read, [group], places, "__n").where(F.col("__n") <= room).select(group, item, file))
@@ -106,7 +108,7 @@ def with_quotas(cands: DataFrame, group: str, item: str, file: str, unread: str,
         return first(open_, [group], places, "__n").where(F.col("__n") <= places - F.coalesce("__taken", F.lit(0))).select(group, item, file)
     two = cut_lineage(one.unionByName(fill(base.where(F.col(unread)), one)))
     three = two.unionByName(fill(base.where(~F.col(unread)), two))
-    chosen = cands.join(three.select(group, item), [group, item], "left_semi")
+    chosen = base.join(three.select(group, item), [group, item], "left_semi")
     w = Window.partitionBy(group).orderBy(F.col(unread), *order)
     return chosen.select(group, item, file, unread, F.row_number().over(w).cast("long").alias("place"))
 
