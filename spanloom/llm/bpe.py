@@ -15,17 +15,19 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS, RUNS = 150_000, 100_000  # words and runs of letters remembered, none of more bytes than the lookahead
-GROUP = 1 << 20  # bytes of texts whose new words are merged together
-SHORT = 48  # bytes up to which a run is merged by plain passes
+RUNS = 100_000  # runs of letters or signs remembered as used of late, and as many as used before that
+GROUP = 1 << 20  # bytes of texts whose new runs are merged together
+SHORT = 48  # bytes up to which a run is merged by plain passes, and characters up to which it is remembered
+NEAR = 0x250  # code points below it, which all tables have alike, are told apart by a pattern of their own
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 NEVER = 1 << 60  # the rank of a pair that is not merged
 DECODED = 1 << 15  # ids decoded at a time
@@ -38,10 +40,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
-@lru_cache(2)
-def ranges(kind: str) -> str:
-    """The code points of a general category, as the inside of a character class."""
-    inside = np.array([0, *(unicodedata.category(chr(c))[0] == kind for c in range(0x110000)), 0], np.int8)
+@lru_cache(4)
+def ranges(kind: str, end: int = 0x110000) -> str:
+    """The code points of a general category below ``end``, as the inside of a character class."""
+    inside = np.array([0, *(unicodedata.category(chr(c))[0] == kind for c in range(end)), 0], np.int8)
     turns = np.flatnonzero(np.diff(inside))
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(turns[::2].tolist(), turns[1::2].tolist()))
 
@@ -81,17 +83,24 @@ class Encoder:
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.composed, self.lower = '"NFC"' in kinds, '"Lowercase"' in kinds
         pattern = next(p["pattern"]["Regex"] for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.plain = regex.compile(pattern)
+        # White space is that of regex also where re reads the pattern, which counts four more signs.
+        near = pattern.replace(r"\s", "".join(f"\\U{c:08x}" for c in range(NEAR) if regex.match(r"\s", chr(c))))
         for kind in "LN":  # letters and numbers as this Python's Unicode tables have them, whatever those of regex are
-            pattern = pattern.replace(f"\\p{{{kind}}}", ranges(kind))
-        self.pattern = regex.compile(pattern)
-        self.words: dict[bytes, bytes] = {}
+            near, pattern = near.replace(f"\\p{{{kind}}}", ranges(kind, NEAR)), pattern.replace(f"\\p{{{kind}}}", ranges(kind))
+        self.near, self.pattern = re.compile(near), regex.compile(pattern)
         self.runs: dict[str, bytes] = {}
-        # The merges by pairs of ids, in order of the pair.
-        inside = [(self.vocab[u], self.vocab[v], rank, self.vocab[u + v]) for rank, (u, v) in enumerate(merges)]
-        table = np.array(inside, np.int64).reshape(-1, 4)
-        table = table[np.argsort(table[:, 0] << 32 | table[:, 1])]
-        self.pairs, self.pair_rank, self.pair_id = table[:, 0] << 32 | table[:, 1], table[:, 2].copy(), table[:, 3].copy()
+        self.older: dict[str, bytes] = {}
+        # The merges by pairs of ids, each in the first free place from where its hash points.
+        table = np.array([(self.vocab[u], self.vocab[v], self.vocab[u + v]) for u, v in merges], np.int64).reshape(-1, 3)
+        self.bits = max(4, len(table).bit_length() + 2)
+        self.pairs, self.pair_rank, self.pair_id = np.full(1 << self.bits, -1), np.full(1 << self.bits, NEVER), np.zeros(1 << self.bits, np.int64)
+        keys = table[:, 0] << 32 | table[:, 1]
+        left, at = np.arange(len(keys)), self.places(keys)
+        while len(left):
+            free, own = np.unique(np.where(self.pairs[at] < 0, at, -1), return_index=True)
+            own = own[free >= 0]
+            self.pairs[at[own]], self.pair_rank[at[own]], self.pair_id[at[own]] = keys[left[own]], left[own], table[left[own], 2]
+            left, at = np.delete(left, own), np.delete(at, own) + 1 & len(self.pairs) - 1
         self.first = np.array([self.vocab[c] for c in self.letters], np.int64)
         self.final = np.array([self.vocab[c + self.suffix] for c in self.letters], np.int64)
 
@@ -159,18 +168,27 @@ class Encoder:
 
     def forget(self) -> None:
         """Drops what is remembered, so that an idle worker holds the tables alone."""
-        self.words, self.runs = {}, {}
+        self.runs, self.older = {}, {}
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def worth(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rank of each pair of ids (NEVER if it is not merged) and where it stands in the table."""
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.pair_rank[at], NEVER), at
+        keys = left << 32 | right
+        at = self.places(keys)
+        found = self.pairs[at]
+        on = np.flatnonzero((found != keys) & (found >= 0))
+        while len(on):  # another pair stands there
+            at[on] = at[on] + 1 & len(self.pairs) - 1
+            found = self.pairs[at[on]]
+            on = on[(found != keys[on]) & (found >= 0)]
+        return self.pair_rank[at], at
 
     def merged_many(self, runs: list[bytes]) -> list[bytes]:
         """The packed ids of many short runs: in each round every run makes its best merge, the leftmost among equals."""
         done = []  # (runs, their numbers of ids, their ids), as they end
-        if not len(self.pairs):
+        if not self.ranks:
             raise ValueError("a merge list is needed")
         sizes = np.array([len(r) for r in runs], np.int64)
         ids, ends = self.first[np.frombuffer(b"".join(runs), np.uint8)], np.cumsum(sizes)
@@ -214,76 +232,57 @@ class Encoder:
             out[i] = packed[a:b]
         return out
 
-    def word(self, word: bytes) -> bytes:
-        """The packed ids of a piece of text between white space."""
-        text, out, start = word.decode("utf-8"), [], 0
-        for found in self.special.finditer(text) if "<" in text else ():
-            out += [*map(self._run, self.pieces(self.normal(text[start:found.start()]))), np.uint32(self.added[found[0]]).tobytes()]
+    def pieces(self, text: str) -> list[str]:
+        """The runs of a text that are merged each by itself, and the added tokens in it."""
+        if "<" not in text:
+            return self._runs_of(text)
+        out, start = [], 0
+        for found in self.special.finditer(text):
+            out += [*self._runs_of(text[start:found.start()]), found[0]]
             start = found.end()
-        out += map(self._run, self.pieces(self.normal(text[start:])))
-        return b"".join(out)
+        return out + self._runs_of(text[start:])
 
-    def pieces(self, text: str) -> list[str]:
-        """The runs of a normal text that are merged each by itself."""
-        if text.isalpha():  # one run of letters, as most words are
-            return [text]
-        return [found[0] for found in (self.plain if max(text, default="") < "\u0250" else self.pattern).finditer(text)]
+    def _runs_of(self, text: str) -> list[str]:
+        text = self.normal(text)
+        near = text.isascii() or np.frombuffer(text.encode("utf-16-le"), np.uint16).max() < NEAR
+        return (self.near if near else self.pattern).findall(text)
 
     def _run(self, piece: str) -> bytes:
-        packed = self.runs.get(piece)
-        if packed is None:
-            raw = piece.encode("utf-8")
-            if len(raw) > self.look:
-                return b"".join(np.fromiter(chunk, np.uint32).tobytes() for chunk in iter(lambda s=self.stream(raw): list(islice(s, DECODED)), []))
-            symbols = [self.letters[b] for b in raw]
-            symbols[-1] += self.suffix
-            packed = array("I", [self.vocab[s] for s in self.merged(symbols)]).tobytes()
-        return packed
-
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The packed ids of new words. Their short runs are merged together."""
-        plain = [w for w in words if b"<" not in w and len(w) <= self.look]
-        found = {w: self.word(w) for w in words if b"<" in w or len(w) > self.look}
-        # No line break can come of a word, so all are made normal at once.
-        texts = self.normal(b"\n".join(plain).decode("utf-8")).split("\n") if plain else []
-        pieces = [t if t.isalpha() else self.pieces(t) for t in texts]
-        runs = self.runs
-        fresh = {p for own in pieces for p in ((own,) if own.__class__ is str else own) if p not in runs}
-        if len(runs) + len(fresh) > RUNS:
-            runs = self.runs = {}
-            fresh = {p for own in pieces for p in ((own,) if own.__class__ is str else own)}
-        by_size = [], []
-        for p in fresh:
-            by_size[len(p) > SHORT].append(p)
-        if by_size[0]:
-            runs.update(zip(by_size[0], self.merged_many([p.encode("utf-8") for p in by_size[0]])))
-        runs.update((p, self._run(p)) for p in by_size[1])
-        found.update((w, runs[own] if own.__class__ is str else b"".join([runs[p] for p in own])) for w, own in zip(plain, pieces))
-        for p in by_size[1]:
-            del runs[p]
-        return found
+        """The packed ids of a run of any length."""
+        raw = piece.encode("utf-8")
+        if len(raw) > self.look:
+            return b"".join(np.fromiter(chunk, np.uint32).tobytes() for chunk in iter(lambda s=self.stream(raw): list(islice(s, DECODED)), []))
+        symbols = [self.letters[b] for b in raw]
+        symbols[-1] += self.suffix
+        return array("I", [self.vocab[s] for s in self.merged(symbols)]).tobytes()
+
+    def learn(self, used: set[str]) -> dict[str, bytes]:
+        """The packed ids of all runs in use, those just remembered and others. New short ones are merged together; long ones are not remembered."""
+        fresh = used.difference(self.runs)
+        if len(self.runs) + len(fresh) > RUNS:
+            self.older, self.runs, fresh = self.runs, {}, used
+        long = {p: np.uint32(self.added[p]).tobytes() if p in self.added else self._run(p) for p in fresh if len(p) > SHORT or p in self.added}
+        known = {p: self.older[p] for p in fresh if p in self.older}
+        new = [p for p in fresh if p not in known and p not in long]
+        if new:
+            known.update(zip(new, self.merged_many([p.encode("utf-8") for p in new])))
+        self.runs.update(known)
+        return self.runs | long if long else self.runs
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        """The packed ids (uint32) of each text in UTF-8. Tokens never span ASCII white space, so words go one by one."""
+        """The packed ids (uint32) of each text in UTF-8. Tokens never span ASCII white space, so a text may be read in chunks cut there."""
         out: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[int, list[bytes]]] = []
+        held: list[tuple[int, list[str]]] = []
 
         def flush() -> None:
-            used = {w for _, words in held for w in words}
-            if len(self.words) > WORDS:
-                self.words = {}
-            found = self.learn(list(used.difference(self.words)))
-            self.words.update(found)
-            for i, words in held:
-                out[i].append(b"".join(map(self.words.__getitem__, words)))
-            for w in found:
-                if len(w) > SHORT:
-                    del self.words[w]
+            ids = self.learn(set().union(*(pieces for _, pieces in held)))
+            for i, pieces in held:
+                out[i].append(b"".join(map(ids.__getitem__, pieces)))
             held.clear()
         size = 0
         for i, text in enumerate(texts):
             for chunk in chunks(text):
-                held.append((i, chunk.split()))
+                held.append((i, self.pieces(chunk.decode("utf-8"))))
                 size += len(chunk)
                 if size >= GROUP:
                     flush()
@@ -350,9 +349,12 @@ def _lists(packed: list[bytes], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.uint32).astype(np.int32)), type=kind)
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``GROUP`` bytes of texts each; the texts are in the second column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    turns = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // GROUP)) + 1
+    for start, end in pairwise([0, *turns.tolist(), batch.num_rows]):
+        yield batch.slice(start, end - start)
 
 
 def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -365,7 +367,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
         bpe = encoder(path)
         try:
             for batch in batches:
-                for part in _parts(batch):
+                for part in parts(batch):
                     packed = bpe.encode_many([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(1)])
                     yield pa.RecordBatch.from_arrays([part.column(0), _lists(packed, pa.list_(pa.int32()))], names=["id", "ids"])
         finally:
@@ -379,7 +381,8 @@ def decode(encoded: DataFrame, path: str, id: str = "id", ids: str = "ids", piec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_of = decoder(path, pieces)
         for batch in batches:
-            for part in _parts(batch):
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
                 texts = ["".join(text_of.decode(x.values.to_numpy())) if x.is_valid else "" for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["id", "ids", "text"])
     return encoded.select(F.col(id).cast("long").alias("id"), F.col(ids).alias("ids")).mapInArrow(run, "id long, ids array<int>, text string")
@@ -391,7 +394,7 @@ def round_trip(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text
         bpe, text_of = encoder(path), decoder(path, None)
         try:
             for batch in batches:
-                for part in _parts(batch):
+                for part in parts(batch):
                     packed = bpe.encode_many([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(1)])
                     texts = ["".join(text_of.decode(np.frombuffer(p, np.uint32))) for p in packed]
                     yield pa.RecordBatch.from_arrays([part.column(0), _lists(packed, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["id", "ids", "text"])

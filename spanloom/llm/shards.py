@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.bpe import encoder
+from spanloom.llm.bpe import encoder, parts
 from spanloom.llm.common import partitions
 from spanloom.llm.shingles import mixed
 from spanloom.session import cut_lineage, shared_folder
@@ -66,12 +66,17 @@ def cut(id: int | None, ids: np.ndarray, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def _packed(kind: np.dtype, ids_of: Callable[[pa.Array], list[np.ndarray]], done: Callable[[], None] = lambda: None, level: int = 6):
+def _by_rows(batch: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+def _packed(kind: np.dtype, ids_of: Callable[[pa.Array], list[np.ndarray]], cut_up: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] = _by_rows,
+            done: Callable[[], None] = lambda: None, level: int = 6):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, block = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
+            for part in cut_up(batch):
                 for id, values in zip(part.column(0).to_pylist(), ids_of(part.column(1))):
                     held.append(cut(id, values, kind))
                     size += held[-1].nbytes
@@ -171,15 +176,15 @@ def write_training_order(rows: DataFrame, folder: str, id: str = "doc_id", ids:
 
         def ids_of(texts: pa.Array) -> list[np.ndarray]:
             return [np.frombuffer(ids, np.uint32) for ids in encoder(tokenizer).encode_many([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts])]
-        done = lambda: encoder(tokenizer).forget()
+        cut_up, done = parts, lambda: encoder(tokenizer).forget()
         value = F.encode(F.col(ids).cast("string"), "UTF-8")
     else:
         def ids_of(lists: pa.Array) -> list[np.ndarray]:
             return [fits(x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32)) for x in lists]
-        done, value = (lambda: None), F.col(ids)
+        cut_up, done, value = _by_rows, (lambda: None), F.col(ids)
     # Blocks of sequences are written once, under numbers of their own; their counts then say where each begins.
     name = f"sequences_{uuid.uuid4().hex}"
-    (rows.select(F.col(id).cast("long").alias("id"), value.alias("value")).mapInArrow(_packed(kind, ids_of, done), "block long, n long, records binary")
+    (rows.select(F.col(id).cast("long").alias("id"), value.alias("value")).mapInArrow(_packed(kind, ids_of, cut_up, done), "block long, n long, records binary")
      .write.format("parquet").option("compression", "uncompressed").option("path", shared_folder(spark, "sequences")).bucketBy(p, "block").saveAsTable(name))
     blocks = spark.table(name)
     task = F.shiftright("block", 32)

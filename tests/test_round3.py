@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -142,3 +143,22 @@ def test_candidates_of_quotas_are_read_once(spark):
     assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.g, r.item, r.place) for r in out.collect()) == [
         (0, 0, 4), (0, 3, 1), (0, 4, 2), (0, 5, 3), (1, 6, 4), (1, 9, 1), (1, 10, 2), (1, 11, 3)]
+
+
+def test_words_that_differ_in_their_signs_share_their_runs(monkeypatch):
+    """A run is merged once whatever stands around it, and outlasts a full memory while it is in use."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from spanloom.llm import bpe as module
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, bpe, merged = Tokenizer.from_file(path), module.Encoder(path), []
+    keep = bpe.merged_many
+    monkeypatch.setattr(bpe, "merged_many", lambda runs: merged.extend(runs) or keep(runs))
+    texts = ["thing, Thing. (thing) thing's\x1cthing", "thing\xa0éß\u0085日本語 İstanbul thing", "<|endoftext|>thing<|endoftext|>", "", "Ⱥb 1２3 ẛ̣"]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in bpe.encode_many([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert merged.count(b"thing") == 1
+    monkeypatch.setattr(module, "RUNS", 8)
+    for i in range(9):
+        bpe.encode_many([f"thing{',.;:!?()&'[i]} {'abcdefghi'[i]}{'xyzuvwopq'[i]}x {'ihgfedcba'[i]}yy".encode()])
+    assert merged.count(b"thing") == 1
