@@ -162,3 +162,14 @@ def test_words_that_differ_in_their_signs_share_their_runs(monkeypatch):
     for i in range(9):
         bpe.encode_many([f"thing{',.;:!?()&'[i]} {'abcdefghi'[i]}{'xyzuvwopq'[i]}x {'ihgfedcba'[i]}yy".encode()])
     assert merged.count(b"thing") == 1
+
+
+def test_counts_of_words_are_dealt_out_before_they_are_summed(spark, monkeypatch):
+    """Those of one boundary come from several turns, so sums before the shuffle hold nearly all rows and grow with a task's input."""
+    from spanloom.operators import sequence
+    monkeypatch.setattr(sequence, "MEETING", 40, raising=False)
+    tokens = spark.createDataFrame([("k", t, w) for t in range(8) for w in "abcde"], "key string, turn long, token string")
+    got = sequence.vocabulary_overlap(tokens, ["key"], "turn")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 7" in plan  # 40 counts at six boundaries each, 40 a task
+    assert {(r.turn, round(r.overlap, 9)) for r in got.collect()} == {(b, 1.0) for b in range(1, 8)}
